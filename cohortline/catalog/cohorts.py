@@ -33,7 +33,7 @@ FOCAL = "NATION_0"
 PEERS = ["NATION_1", "NATION_5", "NATION_7"]
 
 
-def _doubling_sql(cohort: str, entity: str, rows: str = "coh") -> str:
+def doubling_sql(cohort: str, entity: str, rows: str = "coh") -> str:
     """Doubling table from a cohort CTE, by looking up rows from the end of each entity."""
     headers = [
         "Última Semana",
@@ -221,20 +221,20 @@ def interval_ends_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "W7 G3 G4 C6 C7 C8 P4 P11 D6 D9 D13 R5 K2", _doubling_sql(USER_COHORT_SQL, "user_id")
+    "W7 G3 G4 C6 C7 C8 P4 P11 D6 D9 D13 R5 K2", doubling_sql(USER_COHORT_SQL, "user_id")
 )
 def doubling_time_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly doubling times of users' cumulative events (flagship)."""
     return doubling_table(event_cohort(spark, sf_dir, "user_id"), "user_id", "Count")
 
 
-@register("W7 G3 G4 C6 C7 C8 P11", _doubling_sql(TYPE_COHORT_SQL, "event_type"))
+@register("W7 G3 G4 C6 C7 C8 P11", doubling_sql(TYPE_COHORT_SQL, "event_type"))
 def doubling_time_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly doubling times of event types."""
     return doubling_table(event_cohort(spark, sf_dir, "event_type"), "event_type", "Count")
 
 
-@register("G4 O5 U4", _doubling_sql(NATION_COHORT_SQL, "n_name", "ncoh"))
+@register("G4 O5 U4", doubling_sql(NATION_COHORT_SQL, "n_name", "ncoh"))
 def doubling_time_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling times over seven quarters, the focal nation on top."""
     table = doubling_table(nation_cohort(spark, sf_dir), "n_name", "Count")
