@@ -471,7 +471,7 @@ FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events)"
 def newest_day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of events on the newest day."""
     events = table(spark, sf_dir, "events")
-    newest = F.date_trunc("day", latest(events, "ts"))
+    newest = F.date_trunc("day", latest(events, "ts")).cast("timestamp_ntz")
     return events.filter(F.col("ts") >= newest).agg(
         F.to_date(F.max("ts")).cast("string").alias("newest_day"),
         F.count(F.lit(1)).alias("events"),

@@ -386,7 +386,7 @@ def two_level_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "band", band_of("agefrom", "ageto", SIZE_BANDS["25-34"], "25-34", "55-64")
     )
     segments = segment_rates(rows, ["country", "band"], "pop", "lhc", "rate")
-    mean = weighted_rate(segments, "band", "pop", "rate", "percent")
+    mean = weighted_rate(segments, ["band"], "pop", "rate", "percent")
     return mean.withColumn("percent", F.round("percent", 6))
 
 

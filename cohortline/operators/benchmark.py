@@ -34,12 +34,37 @@ def group_mean(
     df: DataFrame, by: str, value: str, entity: str, name: str, digits: int | None = None
 ) -> DataFrame:
     """Unweighted mean per group as the series of one named entity."""
-    mean = strict_mean(value)
-    if digits is not None:
-        mean = half_even(mean, digits)
+    mean = _rounded(strict_mean(value), digits)
     return df.groupBy(by).agg(mean.alias(value)).withColumn(entity, F.lit(name))
 
 
+def region_and_world_mean(
+    df: DataFrame,
+    codes: DataFrame,
+    on: str,
+    by: str,
+    value: str,
+    entity: str,
+    names: tuple[str, str],
+    digits: int | None = None,
+) -> DataFrame:
+    """Unweighted means of the rows in a code set and of all rows, as two named series.
+
+    Rows in the code set count twice, once per series, ahead of one partial aggregate:
+    the input is read once for both.
+    """
+    region, world = names
+    flagged = df.join(codes.toDF(on).distinct().withColumn("_member", F.lit(True)), on, "left")
+    series = F.explode(F.array_compact(F.array(F.when(F.col("_member"), F.lit(region)), F.lit(world))))
+    mean = _rounded(strict_mean(value), digits)
+    fanned = flagged.select(by, value, series.alias(entity))
+    return fanned.groupBy(entity, by).agg(mean.alias(value))
+
+
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else half_even(value, digits)
+
+
 def weighted_by_population(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """Mean per group with weights ``weight / sum(weight)`` that are not renormalised.
 
@@ -78,7 +103,7 @@ def segment_rates(
 
 
 def weighted_rate(
-    segments: DataFrame, by: str, weight: str, rate: str, to: str, scale: float = 100.0
+    segments: DataFrame, by: Sequence[str], weight: str, rate: str, to: str, scale: float = 100.0
 ) -> DataFrame:
     """Mean of the segments' rates, weighted by their share of the group's population.
 
@@ -86,7 +111,7 @@ def weighted_rate(
     """
     population = column(weight).cast("double")
     mean = F.try_divide(strict_sum(population * column(rate)), strict_sum(population))
-    return segments.groupBy(by).agg((mean * scale).alias(to))
+    return segments.groupBy(*by).agg((mean * scale).alias(to))
 
 
 def ratio_to_base(

@@ -20,9 +20,9 @@ from cohortline.functions import (
 )
 from cohortline.functions.categories import benchmark_classes
 from cohortline.operators.benchmark import (
-    group_mean,
     keep_members,
     members,
+    region_and_world_mean,
     segment_rates,
     weighted_by_population,
     weighted_rate,
@@ -102,7 +102,8 @@ def education_panel(
 ) -> DataFrame:
     """Tertiary completion of two age bands: countries, region and world, population-weighted.
 
-    The year is filtered on the scan, before any grouping.
+    The year is filtered on the scan, before any grouping. The survey is read and reduced
+    to segments once; each segment then counts for its country, its region and the world.
     """
     (young, young_bands), (old, old_bands) = bands.items()
     rows = survey.filter(F.col("year") == year).filter(
@@ -111,20 +112,16 @@ def education_panel(
     rows = rows.withColumn("Edad", band_of("agefrom", "ageto", young_bands, young, old))
     percent = "Porc.Completado.Edu.Terciaria"
 
-    labelled = rows.filter(any_rule("country", rules)).withColumn(
-        "Region", label_rules("country", rules)
+    segments = segment_rates(rows, ["country", "region_code", "Edad"], "pop", "lhc", "rate")
+    groups = F.array_compact(
+        F.array(
+            F.when(any_rule("country", rules), label_rules("country", rules)),
+            F.when(F.lower("region_code").rlike(region_pattern), F.lit(REGION)),
+            F.lit(WORLD),
+        )
     )
-    countries = segment_rates(labelled, ["Region", "Edad"], "pop", "lhc", "rate").select(
-        "Region", "Edad", (F.col("rate") * 100).alias(percent)
-    )
-
-    def aggregate(part: DataFrame, name: str) -> DataFrame:
-        segments = segment_rates(part, ["country", "Edad"], "pop", "lhc", "rate")
-        mean = weighted_rate(segments, "Edad", "pop", "rate", percent)
-        return mean.withColumn("Region", F.lit(name))
-
-    in_region = rows.filter(F.lower("region_code").rlike(region_pattern))
-    panel = bind_rows(countries, aggregate(in_region, REGION), aggregate(rows, WORLD))
+    members_of = segments.select(F.explode(groups).alias("Region"), "Edad", "pop", "rate")
+    panel = weighted_rate(members_of, ["Region", "Edad"], "pop", "rate", percent)
     return (
         panel.withColumn(percent, half_even(percent, digits))
         .withColumn("drawn", clip_to_domain(percent, *limits))
@@ -146,9 +143,10 @@ def satisfaction_panel(
     selected = scores.filter(column("Code").isin(*countries)).select(
         label_rules("Code", rules).alias("Region"), "Year", "Index"
     )
-    region = group_mean(keep_members(scores, codes, "Code"), "Year", "Index", "Region", REGION)
-    world = group_mean(scores, "Year", "Index", "Region", WORLD)
-    panel = bind_rows(selected, region, world, fill=True)
+    means = region_and_world_mean(
+        scores, codes, "Code", "Year", "Index", "Region", (REGION, WORLD)
+    )
+    panel = bind_rows(selected, means, fill=True)
     return classed(
         panel, "Region", "RegionTipo", FOCAL, [REGION, WORLD], PANEL_LEVELS
     ).withColumnsRenamed({"Year": "Año", "Index": "Indice"})
@@ -167,13 +165,11 @@ def regime_panel(
     selected = scores.filter(any_rule("Entity", rules)).select(
         label_rules("Entity", rules).alias("Entity"), "Year", "Score"
     )
-    world = group_mean(scores, "Year", "Score", "Entity", WORLD, digits=0)
-    key = codes.columns[0]
-    kept = members(codes, key, F.lit(True), exclude=excluded)
-    region = group_mean(
-        keep_members(scores, kept, "Code"), "Year", "Score", "Entity", REGION, digits=0
+    kept = members(codes, codes.columns[0], F.lit(True), exclude=excluded)
+    means = region_and_world_mean(
+        scores, kept, "Code", "Year", "Score", "Entity", (REGION, WORLD), digits=0
     )
-    panel = bind_rows(selected, world, region).withColumnsRenamed(
+    panel = bind_rows(selected, means).withColumnsRenamed(
         {"Entity": "Region", "Year": "Año", "Score": "Puntuacion"}
     )
     return classed(panel, "Region", "RegionType", FOCAL, [REGION, WORLD], PANEL_LEVELS)

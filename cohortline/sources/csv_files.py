@@ -16,6 +16,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from cohortline.functions import column, to_year
 from cohortline.operators.reshape import melt
 
+# Fixed value: text of a missing cell, beside the empty one.
+MISSING = "NA"
+
 # The leading columns of a wide case series.
 SERIES_IDS = StructType(
     [
@@ -52,7 +55,7 @@ def read_table(
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("nullValue", MISSING)
     if by_position:
         return reader.schema(schema).csv(path)
     wanted = {f.name: f for f in schema.fields}
@@ -72,7 +75,8 @@ def read_wide_series(
     fields = [
         id_fields.get(name, StructField(name, DoubleType())) for name in header_names(spark, path)
     ]
-    return spark.read.option("header", True).schema(StructType(fields)).csv(path)
+    reader = spark.read.option("header", True).option("nullValue", MISSING)
+    return reader.schema(StructType(fields)).csv(path)
 
 
 def read_titled(
@@ -89,7 +93,7 @@ def read_titled(
         names = next(csv.reader([head[skip].lstrip("﻿")]))
     fields = [StructField(key, StringType())]
     fields += [StructField(n, IntegerType()) for n in list(names)[1:]]
-    rows = spark.read.schema(StructType(fields)).csv(path)
+    rows = spark.read.schema(StructType(fields)).option("nullValue", MISSING).csv(path)
     return rows.filter(column(key).isNotNull() & ~column(key).isin("", list(names)[0]))
 
 

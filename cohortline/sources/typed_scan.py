@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cohortline.functions import parse_yyyymmdd
+from cohortline.sources.csv_files import MISSING
 
 # Six measures of value, scope flag and note; five of value and note.
 SCOPED_MEASURES = 6
@@ -43,7 +44,8 @@ def export_schema() -> StructType:
 
 def read_stringency(spark: SparkSession, path: str) -> DataFrame:
     """Country, code, date, index and cases; the other columns are never parsed."""
-    raw = spark.read.option("header", True).schema(export_schema()).csv(path)
+    reader = spark.read.option("header", True).option("nullValue", MISSING)
+    raw = reader.schema(export_schema()).csv(path)
     return raw.select(
         F.col("CountryName").alias("Country"),
         F.col("CountryCode").alias("iso3c"),
