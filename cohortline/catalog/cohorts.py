@@ -13,6 +13,7 @@ from cohortline.catalog.inputs import (
     iso,
     nation_cohort,
     nation_quarters,
+    table,
     wide_case_series,
 )
 from cohortline.catalog.registry import register
@@ -20,7 +21,7 @@ from cohortline.functions import doubling_growth, thousands
 from cohortline.operators.cohort import align_since_threshold, comparison_subset, label_maximum
 from cohortline.operators.doubling import doubling_table, focal_first, interval_ends
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
-from cohortline.operators.latest import value_at_latest
+from cohortline.operators.latest import latest, value_at_latest
 from cohortline.operators.overlay import axis_domain, clip_counts
 from cohortline.operators.series import running_total
 from cohortline.operators.stacking import overlay
@@ -97,8 +98,7 @@ FROM kept""",
 def cohort_nations_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with at least eight orders in the newest quarter, and their quarters of eight or more."""
     series = nation_quarters(spark, sf_dir)
-    newest = F.max(F.to_date(F.date_trunc("quarter", "o_orderdate")))
-    newest = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(newest.alias("q")).scalar()
+    newest = F.trunc(F.to_date(latest(table(spark, sf_dir, "orders"), "o_orderdate")), "quarter")
     cohort = align_since_threshold(series, "n_name", "date", "Count", 8, newest)
     return cohort.select("n_name", iso("date"), "Count", "Day", "NumDays")
 
@@ -237,8 +237,8 @@ def doubling_time_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("G4 O5 U4", doubling_sql(NATION_COHORT_SQL, "n_name", "ncoh"))
 def doubling_time_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling times over seven quarters, the focal nation on top."""
-    table = doubling_table(nation_cohort(spark, sf_dir), "n_name", "Count")
-    return focal_first(table, "n_name", FOCAL)
+    times = doubling_table(nation_cohort(spark, sf_dir), "n_name", "Count")
+    return focal_first(times, "n_name", FOCAL)
 
 
 @register(

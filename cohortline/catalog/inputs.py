@@ -31,7 +31,7 @@ def iso(col: str) -> Column:
 
 
 def quarter_start(col: str) -> Column:
-    return F.to_date(F.date_trunc("quarter", F.col(col)))
+    return F.trunc(F.to_date(col), "quarter")
 
 
 # --- events ---------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def wide_case_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         *place, F.col("period").alias("date"), F.col("n").alias("Count")
     )
     cumulative = running_total(series, place, "date", "Count")
-    last_quarter = F.to_date(F.date_trunc("quarter", latest(orders, "o_orderdate")))
+    last_quarter = F.trunc(F.to_date(latest(orders, "o_orderdate")), "quarter")
     filled = carry_forward(cumulative, place, "date", last_quarter, months=3)
     named = filled.select(
         *place,

@@ -28,7 +28,6 @@ from cohortline.catalog.panels import (
     index_rows,
     score_rows,
     wide_vaccination,
-    year_names,
 )
 from cohortline.catalog.registry import register
 from cohortline.functions import (
@@ -52,6 +51,7 @@ from cohortline.functions import (
     recode,
     reversed_level_rank,
     swap,
+    template,
     thousands,
     within_any_band,
 )
@@ -150,18 +150,18 @@ FROM f""",
 )
 def category_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities with their rank under four level orders."""
-    orders = table(spark, sf_dir, "orders")
-    appearance = levels_by_first_appearance(orders, "o_orderpriority", F.col("o_orderkey"))
-    return (
-        orders.select(F.col("o_orderpriority").alias("priority"))
-        .distinct()
-        .select(
-            "priority",
-            level_rank("priority", PRIORITIES).alias("listed"),
-            reversed_level_rank("priority", PRIORITIES).alias("reversed"),
-            level_rank("priority", levels_sorted(orders, "o_orderpriority")).alias("sorted"),
-            level_rank("priority", appearance).alias("appearance"),
-        )
+    priorities = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("priority"))
+        .agg(F.min("o_orderkey").alias("first"))
+    )
+    appearance = levels_by_first_appearance(priorities, "priority", F.col("first"))
+    return priorities.select(
+        "priority",
+        level_rank("priority", PRIORITIES).alias("listed"),
+        reversed_level_rank("priority", PRIORITIES).alias("reversed"),
+        level_rank("priority", levels_sorted(priorities, "priority")).alias("sorted"),
+        level_rank("priority", appearance).alias("appearance"),
     )
 
 
@@ -258,9 +258,11 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.to_date("o_orderdate").alias("d"),
-        F.date_format("o_orderdate", "M/d/yy").alias("mdy"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("dashed"),
-        F.date_format("o_orderdate", "yyyyMMdd").cast("double").alias("number"),
+    ).select(
+        "*",
+        F.date_format("d", "M/d/yy").alias("mdy"),
+        F.date_format("d", "yyyy-MM-dd").alias("dashed"),
+        F.date_format("d", "yyyyMMdd").cast("double").alias("number"),
     )
     return dates.select(
         "o_orderkey",
@@ -289,7 +291,7 @@ def format_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         thousands("n").alias("shown"),
         paste("n_name", "n", F.lit("días")).alias("pasted"),
         paste(F.when(F.col("n") > 80, F.col("n")), F.lit("días")).alias("missing"),
-        F.format_string("Fecha más reciente: %d (%s)", "year", "n_name").alias("template"),
+        template("Fecha más reciente: %s (%s)", "year", "n_name").alias("template"),
     )
 
 
@@ -382,13 +384,14 @@ def positional_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("S4 F5 C3 R2 D12 D17 U1 O3", VACCINATION_SQL)
 def titled_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vaccination panel from CSV files with a title line above the header."""
-    years = year_names(spark, sf_dir)
     paths = []
     for wide in wide_vaccination(spark, sf_dir):
-        key, names = wide.columns[0], wide.columns
+        names = wide.columns
+        key = names[0]
         text = wide.select([column(c).cast("string").alias(c) for c in names])
-        title = spark.createDataFrame([("", *["coverage"] * len(years))], text.schema)
-        header = spark.createDataFrame([tuple(names)], text.schema)
+        one = spark.range(0, 1, 1, 1)
+        title = one.select(F.lit("").alias(key), *[F.lit("coverage").alias(y) for y in names[1:]])
+        header = one.select([F.lit(c).alias(c) for c in names])
         path = scratch_path(spark, "titled")
         title.union(header).union(text).write.csv(path)
         paths.append((path, key, names))
@@ -471,7 +474,7 @@ FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events)"
 def newest_day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of events on the newest day."""
     events = table(spark, sf_dir, "events")
-    newest = F.date_trunc("day", latest(events, "ts")).cast("timestamp_ntz")
+    newest = F.to_date(latest(events, "ts")).cast("timestamp_ntz")
     return events.filter(F.col("ts") >= newest).agg(
         F.to_date(F.max("ts")).cast("string").alias("newest_day"),
         F.count(F.lit(1)).alias("events"),

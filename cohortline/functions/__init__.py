@@ -26,6 +26,7 @@ from cohortline.functions.text import (
     fill_blank,
     paste,
     swap,
+    template,
     thousands,
     to_year,
 )
@@ -58,6 +59,7 @@ __all__ = [
     "strict_sum",
     "sum_or_zero",
     "swap",
+    "template",
     "thousands",
     "to_year",
     "within_any_band",

@@ -21,6 +21,12 @@ def paste(*parts: str | Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *[F.coalesce(column(p).cast("string"), F.lit("NA")) for p in parts])
 
 
+def template(text: str, *parts: str | Column) -> Column:
+    """Text with a ``%s`` for each part; a missing value shows as ``NA``."""
+    shown = [F.coalesce(column(p).cast("string"), F.lit("NA")) for p in parts]
+    return F.format_string(text, *shown)
+
+
 def thousands(col: str | Column) -> Column:
     """Whole number with comma separators; ``NA`` when missing."""
     return F.coalesce(F.format_number(column(col), 0), F.lit("NA"))

@@ -78,9 +78,14 @@ def weighted_by_population(df: DataFrame, by: str, value: str, weight: str) -> D
 
 
 def with_group_total(df: DataFrame, by: str, measure: str, total: str) -> DataFrame:
-    """Add the strict total of the group to each row."""
-    totals = df.groupBy(by).agg(strict_sum(measure).alias(total))
-    return df.join(totals, by, "left")
+    """Add the strict total of the group to each row; rows without a group form one too.
+
+    Joining the total back as one row per group, instead of a window over the group,
+    keeps a large group spread over its tasks. Null-safe equality adds no null filter to
+    either side, so both sides are the same plan and Spark runs it once.
+    """
+    totals = df.groupBy(column(by).alias("_group")).agg(strict_sum(measure).alias(total))
+    return df.join(totals, column(by).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def share_of_total(df: DataFrame, by: str, measure: str, share: str) -> DataFrame:

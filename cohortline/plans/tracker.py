@@ -112,12 +112,14 @@ def country_tracker(
 ) -> dict[str, DataFrame]:
     """Every table of the country tabs: curves, growth lines and doubling times per comparison.
 
-    Deaths are selected on the newest date of the cases.
+    Deaths are selected on the newest date of the cases. The tables are separate plans:
+    with a large input, persist it, or write the curves first, before using several.
     """
     if comparisons is None:
         comparisons = {"referencia": REFERENCE_COUNTRIES, "sudamerica": SOUTH_AMERICA}
     latest = last_column(confirmed)
-    tables: dict[str, DataFrame] = {}
+    header = update_label(parse_mdy(F.lit(latest))).alias("header")
+    tables = {"encabezado": confirmed.sparkSession.range(1).select(header)}
     for measure, wide in (("confirmados", confirmed), ("fallecidos", deaths)):
         curves = country_curves(wide, threshold, latest=latest)
         tables[f"total_{measure}"] = country_total(wide, focal, latest)
@@ -177,7 +179,8 @@ def department_tracker(
     """Every table of the department tab; deaths leave out the newest date of the cases."""
     latest = newest_record(document, "confirmados")
     levels = sorted([*(departments or {n: n for n in DEPARTMENTS}).values(), focal])
-    tables: dict[str, DataFrame] = {}
+    header = update_label(day_before(parse_iso(latest))).alias("header")
+    tables = {"encabezado": document.sparkSession.range(1).select(header)}
     for records in ("confirmados", "decesos"):
         curves = department_curves(document, latest, records, departments, focal, threshold)
         labelled = label_last_day(curves, "Dpto").withColumn("Dpto_ord", reversed_level_rank("Dpto", levels))

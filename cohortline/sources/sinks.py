@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Mapping
+
 from pyspark.sql import DataFrame
 
 
@@ -17,3 +19,14 @@ def save_summary_table(df: DataFrame, path: str | None = None) -> DataFrame:
     if path is not None:
         df.write.mode("overwrite").option("header", True).csv(path)
     return df
+
+
+def save_tables(
+    tables: Mapping[str, DataFrame], folder: str | None = None, summaries: Collection[str] = ()
+) -> None:
+    """Write each named table below the folder, if one is given; ``summaries`` as CSV."""
+    if folder is None:
+        return
+    for name, df in tables.items():
+        save = save_summary_table if name in summaries else save_chart_table
+        save(df, f"{folder.rstrip('/')}/{name}")

@@ -60,6 +60,8 @@ def test_totals_and_shares(spark, rows):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("b", 3, 0.0)], "g string, i int, n double")
     assert rows(with_group_total(df, "g", "n", "t"), "i", "t") == [(1, 4.0), (2, 4.0), (3, 0.0)]
     assert rows(share_of_total(df, "g", "n", "s"), "i", "s") == [(1, 0.25), (2, 0.75), (3, None)]
+    loose = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0)], "g string, i int, n double")
+    assert rows(with_group_total(loose, "g", "n", "t"), "i", "t") == [(1, 3.0), (2, 3.0)]
 
 
 def test_ratio_to_base(spark, rows):

@@ -34,6 +34,7 @@ from cohortline.functions import (
     strict_sum,
     sum_or_zero,
     swap,
+    template,
     thousands,
     to_year,
     within_any_band,
@@ -137,8 +138,9 @@ def test_text(spark):
         blank_if(F.lit("x"), "x"),
         fill_blank(F.lit(None).cast("string"), "NA"),
         swap(F.lit("old"), "old", "new"),
+        template("%s of %s", F.lit(1), F.lit(None)),
     )
-    assert out == ("7 días", "NA días", "1,234,567", None, "NA", "new")
+    assert out == ("7 días", "NA días", "1,234,567", None, "NA", "new", "1 of NA")
 
 
 @pytest.mark.parametrize(

@@ -66,7 +66,9 @@ def test_country_tracker_tables(spark, rows):
     cases = wide(spark, [(None, "Bolivia", range(10, 18)), (None, "Brazil", [12] * 8), (None, "Peru", [1] * 8)], 8)
     deaths = wide(spark, [(None, "Bolivia", [0] * 7 + [10]), (None, "Brazil", range(8))], 8)
     tables = country_tracker(cases, deaths)
+    assert tables["encabezado"].first()[0] == "Última fecha de actualización:  29/01/2020"
     assert set(tables) == {
+        "encabezado",
         "total_confirmados",
         "total_fallecidos",
         *[
@@ -125,6 +127,7 @@ def test_department_curves(spark, rows):
 def test_department_tracker_puts_the_total_first(spark):
     df = document(spark, [record(d, Beni=20 * d, Pando=11) for d in range(12, 1, -1)], [])
     tables = department_tracker(df)
+    assert tables["encabezado"].first()[0] == "Última fecha de actualización:  11/03/2020"
     assert [r.Dpto for r in tables["confirmados_duplicacion"].collect()] == ["Bolivia", "Beni", "Pando"]
     ranks = {r.Dpto: r.Dpto_ord for r in tables["confirmados_curvas"].collect()}
     assert ranks == {"Beni": 10, "Bolivia": 9, "Pando": 4}  # seventh of ten names, from the end

@@ -17,6 +17,7 @@ from cohortline.sources import (
     read_wide_series,
     save_chart_table,
     save_summary_table,
+    save_tables,
 )
 from cohortline.sources.csv_files import COUNTRY_DIMENSION, GDP, SATISFACTION
 
@@ -119,6 +120,10 @@ def test_sinks_write_only_with_a_path(spark, tmp_path, rows):
     save_summary_table(df, str(tmp_path / "table"))
     assert rows(spark.read.parquet(str(tmp_path / "chart"))) == [("Bolivia", "7 días")]
     back = spark.read.option("header", True).csv(str(tmp_path / "table"))
+    save_tables({"a": df, "b": df}, None)
+    save_tables({"a": df, "b": df}, str(tmp_path / "all"), summaries=["b"])
+    assert spark.read.parquet(str(tmp_path / "all" / "a")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "all" / "b")).count() == 1
     assert back.columns == df.columns and rows(back.select(column("País"))) == [("Bolivia",)]
 
 
