@@ -58,7 +58,7 @@ from cohortline.functions import (
 from cohortline.operators.benchmark import keep_members, members
 from cohortline.operators.doubling import doubling_table
 from cohortline.operators.latest import latest
-from cohortline.operators.stacking import levels_by_first_appearance, levels_sorted
+from cohortline.operators.stacking import with_first_appearance
 from cohortline.plans.panels import vaccination_panel
 from cohortline.plans.tracker import (
     country_curves,
@@ -138,30 +138,41 @@ PRIORITIES = ["5-LOW", "1-URGENT", "3-MEDIUM"]
 
 
 @register(
-    "O3 O4 O6 A9",
-    """WITH f AS (
-  SELECT o_orderpriority AS priority, min(o_orderkey) AS first_key FROM orders GROUP BY 1)
-SELECT priority,
-       CASE priority WHEN '5-LOW' THEN 1::BIGINT WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS listed,
-       CASE priority WHEN '5-LOW' THEN 3::BIGINT WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 1 END AS reversed,
-       dense_rank() OVER (ORDER BY priority) AS sorted,
-       dense_rank() OVER (ORDER BY first_key) AS appearance
-FROM f""",
+    "O3 O4 O6",
+    """SELECT o_orderkey, o_orderpriority AS priority,
+       CASE o_orderpriority WHEN '5-LOW' THEN 1::BIGINT WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 3
+            END AS listed,
+       CASE o_orderpriority WHEN '5-LOW' THEN 3::BIGINT WHEN '1-URGENT' THEN 2 WHEN '3-MEDIUM' THEN 1
+            END AS reversed,
+       min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS appearance
+FROM orders""",
 )
 def category_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order priorities with their rank under four level orders."""
-    priorities = (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.col("o_orderpriority").alias("priority"))
-        .agg(F.min("o_orderkey").alias("first"))
+    """Orders with the rank of their priority in a list, from its end, and by first appearance."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority")
     )
-    appearance = levels_by_first_appearance(priorities, "priority", F.col("first"))
-    return priorities.select(
+    return with_first_appearance(orders, "priority", "o_orderkey", "appearance").select(
+        "o_orderkey",
         "priority",
         level_rank("priority", PRIORITIES).alias("listed"),
         reversed_level_rank("priority", PRIORITIES).alias("reversed"),
-        level_rank("priority", levels_sorted(priorities, "priority")).alias("sorted"),
-        level_rank("priority", appearance).alias("appearance"),
+        "appearance",
+    )
+
+
+@register(
+    "A9",
+    """SELECT DISTINCT o_orderpriority AS priority, o_orderstatus AS status FROM orders""",
+)
+def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations of priority and status that occur."""
+    return (
+        table(spark, sf_dir, "orders")
+        .select(
+            F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")
+        )
+        .distinct()
     )
 
 

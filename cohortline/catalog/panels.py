@@ -43,7 +43,7 @@ from cohortline.operators.benchmark import (
     with_group_total,
 )
 from cohortline.operators.latest import drop_latest, keep_latest, latest
-from cohortline.operators.reshape import spread
+from cohortline.operators.reshape import explode_records, spread
 from cohortline.operators.stacking import bind_rows, with_total_level
 from cohortline.plans.panels import (
     education_panel,
@@ -269,6 +269,23 @@ def department_curves_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "R4 D18 S6",
+    """WITH days AS (
+  SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)),
+         INTERVAL 1 DAY)) AS DATE) AS d FROM events)
+SELECT CAST(d AS VARCHAR) AS date, event_type,
+       CAST(nullif((SELECT count(*) FROM events e WHERE e.event_type = t.event_type
+                    AND CAST(e.ts AS DATE) <= d), 0) AS DOUBLE) AS "Count"
+FROM days, (SELECT DISTINCT event_type FROM events) t""",
+)
+def record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records to one row per date and map entry."""
+    document = department_document(spark, sf_dir)
+    entries = explode_records(document, "confirmados", "fecha", "dep", "event_type", "Count")
+    return entries.select(F.col("fecha").alias("date"), "event_type", "Count")
+
+
 # --- benchmarks -----------------------------------------------------------------------
 
 
@@ -531,7 +548,7 @@ panel AS (
   SELECT 'Bolivia' AS "Region", year, bol / usa AS v FROM wide
   UNION ALL SELECT 'Corea del Sur', year, kor / usa FROM wide
   UNION ALL SELECT 'LATAM', year, latam / usa FROM wide)
-{_classed_sql("panel", 'year AS "Año", round(v, 8) AS value', "RegionTipo", "['Bolivia', 'Corea del Sur', 'LATAM']")}""",
+{_classed_sql("panel", 'year AS "Año", round(v, 8) AS value, round_even(v * 100, 2) AS percent', "RegionTipo", "['Bolivia', 'Corea del Sur', 'LATAM']")}""",
 )
 def gdp_panel_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order value relative to one nation, with some values missing."""

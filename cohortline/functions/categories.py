@@ -70,9 +70,9 @@ def band_of(
     return F.when(within_any_band(low, high, bands), F.lit(label)).otherwise(F.lit(otherwise))
 
 
-def level_rank(col: str | Column, levels: Sequence[str] | Column) -> Column:
+def level_rank(col: str | Column, levels: Sequence[str]) -> Column:
     """1-based position of the value in an explicit level list; null for an unlisted value."""
-    listed = levels if isinstance(levels, Column) else F.array(*[F.lit(v) for v in levels])
+    listed = F.array(*[F.lit(v) for v in levels])
     return F.nullif(F.array_position(listed, column(col)), F.lit(0).cast("bigint"))
 
 

@@ -37,16 +37,12 @@ def with_total_level(
     return doubled.groupBy(*keys, entity).agg(strict_sum(measure).alias(measure))
 
 
-def levels_by_first_appearance(df: DataFrame, label: str, position: Column) -> Column:
-    """Level list of a label column in order of first appearance, as a scalar array.
+def with_first_appearance(
+    df: DataFrame, label: str, position: str | Column, to: str
+) -> DataFrame:
+    """Add the position at which the row's label first appears, the key that orders labels by it.
 
-    For label columns with a fixed set of values, such as the entities of a panel.
+    One row per label is joined back, so the number of labels is not limited.
     """
-    first = df.groupBy(column(label).alias("v")).agg(F.min(position).alias("p"))
-    pairs = F.array_sort(F.collect_list(F.struct("p", "v")))
-    return first.agg(F.transform(pairs, lambda x: x["v"]).alias("levels")).scalar()
-
-
-def levels_sorted(df: DataFrame, label: str) -> Column:
-    """Level list of a label column in sort order, as a scalar array."""
-    return df.agg(F.array_sort(F.collect_set(column(label))).alias("levels")).scalar()
+    first = df.groupBy(column(label).alias("_label")).agg(F.min(column(position)).alias(to))
+    return df.join(first, column(label).eqNullSafe(F.col("_label")), "left").drop("_label")

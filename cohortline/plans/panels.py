@@ -202,7 +202,10 @@ def gdp_panel(
         *[ratio(code, base).alias(code) for code in codes_shown if code != base],
     )
     panel = melt(relative, ["Año"], "code", "value").select(
-        "Año", "value", first_match("code", rules, REGION).alias("Region")
+        "Año",
+        "value",
+        half_even(F.col("value") * 100, 2).alias("percent"),
+        first_match("code", rules, REGION).alias("Region"),
     )
     return classed(panel, "Region", "RegionTipo", FOCAL, [REGION], GDP_LEVELS)
 

@@ -4,9 +4,7 @@ from datetime import date
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from cohortline.functions import level_rank
 from cohortline.operators.latest import (
     drop_latest,
     keep_latest,
@@ -18,9 +16,8 @@ from cohortline.operators.latest import (
 from cohortline.operators.reshape import explode_records, melt, spread
 from cohortline.operators.stacking import (
     bind_rows,
-    levels_by_first_appearance,
-    levels_sorted,
     overlay,
+    with_first_appearance,
     with_total_level,
 )
 
@@ -90,11 +87,10 @@ def test_total_level_is_strict(spark, rows):
     ]
 
 
-def test_level_orders(spark, rows):
-    df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a")], "pos int, v string")
-    first = levels_by_first_appearance(df, "v", F.col("pos"))
-    out = df.select("v", level_rank("v", first).alias("f"), level_rank("v", levels_sorted(df, "v")).alias("s"))
-    assert rows(out.distinct()) == [("a", 3, 1), ("b", 2, 2), ("c", 1, 3)]
+def test_first_appearance(spark, rows):
+    df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a"), (5, None)], "pos int, v string")
+    out = with_first_appearance(df, "v", "pos", "first")
+    assert rows(out, "pos", "v", "first") == [(1, "c", 1), (2, "b", 2), (3, "b", 2), (4, "a", 4), (5, None, 5)]
 
 
 def test_newest_date(spark, rows):
