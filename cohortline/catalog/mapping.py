@@ -13,6 +13,7 @@ from cohortline.catalog.cohorts import (
 from cohortline.catalog.inputs import (
     NATION_YEARS_SQL,
     event_cohort,
+    hundredths,
     iso,
     nation_years,
     table,
@@ -107,7 +108,7 @@ def recode_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     balances = (
         table(spark, sf_dir, "customer")
         .groupBy("c_nationkey", "c_mktsegment")
-        .agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("balance"))
+        .agg(F.sum(hundredths("c_acctbal")).alias("cents"))
     )
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     names = {"NATION_0": "Bolivia", "NATION_1": "EEUU"}
@@ -115,7 +116,7 @@ def recode_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         balances.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(entity.alias("entity"))
-        .agg(F.sum("balance").cast("double").alias("balance"))
+        .agg((F.sum("cents") / 100).alias("balance"))
     )
 
 

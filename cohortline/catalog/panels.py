@@ -9,6 +9,8 @@ from cohortline.catalog.inputs import (
     MONEY,
     NATION_YEARS_SQL,
     event_series,
+    from_year,
+    hundredths,
     iso,
     nation_years,
     order_span,
@@ -98,9 +100,9 @@ UNION ALL SELECT 'Total', CAST(d AS VARCHAR), CAST(sum(amount) AS DOUBLE) FROM n
 def total_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order value per nation and quarter plus a row for all nations together."""
     placed = orders_by_place(spark, sf_dir, quarter_start("o_orderdate"), "n_name")
-    rows = placed.select("n_name", F.col("period").alias("date"), "amount")
-    levels = with_total_level(rows, "n_name", ["date"], "amount", "Total")
-    return levels.select("n_name", iso("date"), F.col("amount").cast("double").alias("amount"))
+    rows = placed.select("n_name", F.col("period").alias("date"), "cents")
+    levels = with_total_level(rows, "n_name", ["date"], "cents", "Total")
+    return levels.select("n_name", iso("date"), (F.col("cents") / 100).alias("amount"))
 
 
 @register(
@@ -304,7 +306,7 @@ FROM ny LEFT JOIN base USING (year) WHERE ny.n_name <> 'NATION_3'""",
 def ratio_to_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly order value of each nation relative to a base nation."""
     panel = nation_years(spark, sf_dir).select(
-        "n_name", "year", F.col("amount").cast("double").alias("amount")
+        "n_name", "year", "amount"
     )
     return ratio_to_base(panel, "n_name", "year", "amount", "NATION_3", "relative")
 
@@ -321,7 +323,7 @@ FROM sel JOIN pop USING (year) GROUP BY year""",
 )
 def region_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order value of a region, weighted by orders, with some values missing."""
-    recent = nation_years(spark, sf_dir).filter(F.col("year") >= 1996)
+    recent = nation_years(spark, sf_dir, first_year=1996)
     value = F.when(F.col("amount") / F.col("n") < 270000, mean_value())
     rows = keep_members(recent, american_nations(spark, sf_dir), "n_name")
     mean = weighted_by_population(
@@ -344,16 +346,21 @@ def group_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_group_total(rows, "year", "n", "region_n")
 
 
-def brand_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+def brand_survey(
+    spark: SparkSession, sf_dir: str, only_year: int | None = None
+) -> DataFrame:
     """Line items as a survey: brand, type, year, size class; quantity and discount percent.
 
     Items are added up per part and year before parts are joined.
     """
     items = table(spark, sf_dir, "lineitem")
-    quantity = F.col("l_quantity").cast(MONEY)
+    if only_year is not None:
+        next_year = F.lit(f"{only_year + 1}-01-01").cast("timestamp_ntz")
+        items = from_year(items, "l_shipdate", only_year).filter(F.col("l_shipdate") < next_year)
+    discounted = F.col("l_quantity") * F.col("l_discount") * 100
     per_part = items.groupBy("l_partkey", F.year("l_shipdate").alias("year")).agg(
-        F.sum(quantity).alias("pop"),
-        F.sum(quantity * F.col("l_discount").cast("decimal(4,2)")).alias("hits"),
+        F.sum(hundredths("l_quantity")).alias("pop"),
+        F.sum(hundredths(discounted)).alias("hits"),
     )
     low = (F.floor((F.col("p_size") - 1) / 5) * 5 + 20).cast("int")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", low.alias("agefrom"))
@@ -367,8 +374,8 @@ def brand_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
             "year",
             "agefrom",
             (F.col("agefrom") + 4).alias("ageto"),
-            (ratio("hits", "pop") * 100).alias("lhc"),
-            F.col("pop").cast("double").alias("pop"),
+            (ratio(F.col("hits") / 10000, F.col("pop") / 100) * 100).alias("lhc"),
+            (F.col("pop") / 100).alias("pop"),
         )
     )
 
@@ -421,7 +428,7 @@ def share_of_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_part = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey")
-        .agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("quantity"))
+        .agg(F.sum(hundredths("l_quantity")).alias("quantity"))
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     segments = (
@@ -431,7 +438,7 @@ def share_of_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shares = share_of_total(segments, "p_size", "quantity", "share")
     return shares.select(
-        "p_brand", "p_size", F.col("quantity").cast("double").alias("quantity"), "share"
+        "p_brand", "p_size", (F.col("quantity") / 100).alias("quantity"), "share"
     )
 
 
@@ -440,9 +447,11 @@ def share_of_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES = {"NATION_0": "BOL", "NATION_1": "USA", "NATION_2": "KOR", "NATION_6": "VEN"}
 
 
-def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_rows(
+    spark: SparkSession, sf_dir: str, first_year: int | None = None
+) -> DataFrame:
     """Nations as a score panel: Entity, Code, Year, mean order value, orders."""
-    return nation_years(spark, sf_dir).select(
+    return nation_years(spark, sf_dir, first_year).select(
         F.col("n_name").alias("Entity"),
         recode("n_name", CODES).alias("Code"),
         F.col("year").alias("Year"),
@@ -553,7 +562,7 @@ panel AS (
 def gdp_panel_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order value relative to one nation, with some values missing."""
     value = F.when(F.col("Index") < 270000, F.col("Index"))
-    series = score_rows(spark, sf_dir).select(
+    series = score_rows(spark, sf_dir, first_year=1996).select(
         F.col("Code").alias("countrycode"),
         F.col("Year").alias("year"),
         value.alias("cgdppc"),
@@ -590,7 +599,7 @@ FROM panel""",
 def education_panel_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discount rates by size band: three brands, a group of types and all items."""
     return education_panel(
-        brand_survey(spark, sf_dir),
+        brand_survey(spark, sf_dir, only_year=2000),
         year=2000,
         rules=_BRAND_RULES,
         region_pattern="promo|economy",

@@ -105,6 +105,16 @@ def test_newest_date_filter_reaches_the_scan(spark):
     assert re.search(r"PushedFilters: \[[^]]*ScalarSubquery", plan)
 
 
+@needs_data
+@pytest.mark.parametrize(
+    ("name", "column"),
+    [("region_weighted", "o_orderdate"), ("education_panel_brands", "l_shipdate")],
+)
+def test_year_bounds_reach_the_scan(spark, name, column):
+    plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PushedFilters: \[[^]]*GreaterThanOrEqual\({column},", plan)
+
+
 def test_no_broadcast_hints_and_no_local_checkpoints():
     package = Path(__file__).resolve().parents[1] / "cohortline"
     for source in package.rglob("*.py"):
