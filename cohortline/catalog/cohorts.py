@@ -10,6 +10,7 @@ from cohortline.catalog.inputs import (
     NATION_QUARTERS_SQL,
     event_cohort,
     event_cohort_sql,
+    event_runs,
     iso,
     nation_cohort,
     nation_quarters,
@@ -217,7 +218,7 @@ FROM coh GROUP BY user_id""",
 )
 def interval_ends_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' counts at the last day and one, two and three weeks before it."""
-    return interval_ends(event_cohort(spark, sf_dir, "user_id"), "user_id", "Count", intervals=3)
+    return interval_ends(event_runs(spark, sf_dir, "user_id"), "user_id", "Count", intervals=3)
 
 
 @register(
@@ -225,13 +226,13 @@ def interval_ends_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def doubling_time_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly doubling times of users' cumulative events (flagship)."""
-    return doubling_table(event_cohort(spark, sf_dir, "user_id"), "user_id", "Count")
+    return doubling_table(event_runs(spark, sf_dir, "user_id"), "user_id", "Count")
 
 
 @register("W7 G3 G4 C6 C7 C8 P11", doubling_sql(TYPE_COHORT_SQL, "event_type"))
 def doubling_time_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly doubling times of event types."""
-    return doubling_table(event_cohort(spark, sf_dir, "event_type"), "event_type", "Count")
+    return doubling_table(event_runs(spark, sf_dir, "event_type"), "event_type", "Count")
 
 
 @register("G4 O5 U4", doubling_sql(NATION_COHORT_SQL, "n_name", "ncoh"))
@@ -247,7 +248,7 @@ def doubling_time_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def growth_lines_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference lines as long as the longest user cohort, five rates."""
-    cohort = event_cohort(spark, sf_dir, "user_id")
+    cohort = event_runs(spark, sf_dir, "user_id")
     return growth_lines(cohort, "user", "Count", 10, COUNTRY_RATES)
 
 
@@ -257,7 +258,7 @@ def growth_lines_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def growth_lines_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference lines for the event types, six rates."""
-    cohort = event_cohort(spark, sf_dir, "event_type")
+    cohort = event_runs(spark, sf_dir, "event_type")
     return growth_lines(cohort, "event_type", "Count", 10, DEPARTMENT_RATES)
 
 
@@ -304,7 +305,7 @@ FROM lines, top""",
 )
 def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth lines cut off at the decade above the largest user count."""
-    cohort = event_cohort(spark, sf_dir, "user_id")
+    cohort = event_runs(spark, sf_dir, "user_id")
     lines = growth_lines(cohort, "user", "Count", 10).select("user", "Day", "Count")
     return clip_counts(lines, "Count", cohort)
 
@@ -319,6 +320,6 @@ FROM coh""",
 )
 def axis_domain_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of the chart axes for the user cohort."""
-    return axis_domain(event_cohort(spark, sf_dir, "user_id"), "Count")
+    return axis_domain(event_runs(spark, sf_dir, "user_id"), "Count")
 
 

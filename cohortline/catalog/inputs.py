@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.functions import column, recode
-from cohortline.operators.cohort import align_since_threshold
+from cohortline.operators.cohort import align_runs, align_since_threshold
 from cohortline.operators.latest import latest
 from cohortline.operators.reshape import spread
 from cohortline.operators.series import carry_forward, count_by_date, running_total
@@ -45,22 +45,33 @@ def quarter_start(col: str) -> Column:
 # --- events ---------------------------------------------------------------------------
 
 
-def event_series(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
-    """Cumulative events per entity on every calendar day since its first event."""
+def event_totals(spark: SparkSession, sf_dir: str, entity: str) -> tuple[DataFrame, Column]:
+    """Cumulative events per entity on the days that have any, and the last day of all."""
     events = table(spark, sf_dir, "events")
     daily = count_by_date(events, entity, F.to_date("ts"), "date", "Count")
-    cumulative = running_total(daily, entity, "date", "Count")
-    last_day = F.to_date(latest(events, "ts"))
-    return carry_forward(cumulative, entity, "date", last_day)
+    return running_total(daily, entity, "date", "Count"), F.to_date(latest(events, "ts"))
+
+
+def event_series(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    """Cumulative events per entity on every calendar day since its first event."""
+    totals, last_day = event_totals(spark, sf_dir, entity)
+    return carry_forward(totals, entity, "date", last_day)
 
 
 def event_cohort(
     spark: SparkSession, sf_dir: str, entity: str, threshold: int = 10
 ) -> DataFrame:
+    """The series aligned on the threshold, a row per day."""
     series = event_series(spark, sf_dir, entity)
     return align_since_threshold(series, entity, "date", "Count", threshold)
 
 
+def event_runs(spark: SparkSession, sf_dir: str, entity: str, threshold: int = 10) -> DataFrame:
+    """The cohort with a row per run of equal days, for results that need no row per day."""
+    totals, last_day = event_totals(spark, sf_dir, entity)
+    return align_runs(totals, entity, "date", "Count", threshold, last_day)
+
+
 def event_cohort_sql(entity: str, threshold: int = 10) -> str:
     """Common table expressions ending in ``coh``, filled by a join with a calendar."""
     return f"""

@@ -13,6 +13,7 @@ from cohortline.catalog.cohorts import (
 from cohortline.catalog.inputs import (
     NATION_YEARS_SQL,
     event_cohort,
+    event_runs,
     hundredths,
     iso,
     nation_years,
@@ -473,7 +474,7 @@ def chart_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The doubling-time table written as CSV."""
     path = scratch_path(spark, "summary")
-    table_ = doubling_table(event_cohort(spark, sf_dir, "user_id"), "user_id", "Count")
+    table_ = doubling_table(event_runs(spark, sf_dir, "user_id"), "user_id", "Count")
     save_summary_table(table_, path)
     return spark.read.option("header", True).schema(table_.schema).csv(path)
 

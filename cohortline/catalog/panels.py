@@ -44,7 +44,7 @@ from cohortline.operators.benchmark import (
     weighted_rate,
     with_group_total,
 )
-from cohortline.operators.latest import drop_latest, keep_latest, latest
+from cohortline.operators.latest import drop_latest, keep_latest
 from cohortline.operators.reshape import explode_records, spread
 from cohortline.operators.stacking import bind_rows, with_total_level
 from cohortline.plans.panels import (

@@ -129,12 +129,13 @@ def ratio_to_base(
     """
     base_values = (
         panel.filter(column(entity) == base)
-        .groupBy(period)
+        .groupBy(column(period).alias("_period"))
         .agg(F.max(column(value)).alias("_base"))
     )
     others = panel.filter(column(entity) != base)
+    same_period = column(period).eqNullSafe(F.col("_period"))
     return (
-        others.join(base_values, period, "left")
+        others.join(base_values, same_period, "left")
         .withColumn(to, ratio(value, "_base"))
-        .drop("_base")
+        .drop("_period", "_base")
     )

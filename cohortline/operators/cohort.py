@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortline.functions import column, reversed_level_rank
+from cohortline.operators.series import valid_until
 
 
 def align_since_threshold(
@@ -39,6 +40,36 @@ def align_since_threshold(
     return kept.withColumn("Day", day).withColumn("NumDays", F.max("Day").over(by_entity))
 
 
+def align_runs(
+    cumulative: DataFrame,
+    entity: str,
+    date: str,
+    count: str,
+    threshold: float,
+    last_date: Column,
+) -> DataFrame:
+    """Alignment of a series with gaps, each row standing for its run of calendar days.
+
+    Numbers the days as :func:`align_since_threshold` does after
+    :func:`~cohortline.operators.series.carry_forward`, without writing them out: a row
+    covers the days ``Day`` to ``LastDay``. Long gaps cost nothing, and all windows use one
+    sort by entity and date.
+    """
+    by_entity = W.partitionBy(entity)
+    so_far = by_entity.orderBy(date).rowsBetween(W.unboundedPreceding, W.currentRow)
+    length = F.date_diff(valid_until(entity, date, last_date), column(date)) + 1
+    kept = (
+        cumulative.withColumn("_length", length)
+        .filter((F.col("_length") > 0) & (column(count) >= threshold))
+        .withColumn("LastDay", F.sum("_length").over(so_far).cast("int"))
+    )
+    return (
+        kept.withColumn("Day", F.col("LastDay") - F.col("_length") + 1)
+        .withColumn("NumDays", F.max("LastDay").over(by_entity))
+        .drop("_length")
+    )
+
+
 def label_last_day(aligned: DataFrame, entity: str, label: str = "label") -> DataFrame:
     """Put the entity's name on its last row and null on the others."""
     return aligned.withColumn(label, F.when(F.col("Day") == F.col("NumDays"), column(entity)))

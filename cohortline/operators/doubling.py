@@ -31,14 +31,13 @@ def interval_ends(
     """Counts at 0, 1, 2, ... intervals before each entity's last row, as columns ``end_0`` ...
 
     One aggregate over the rows, already partitioned by entity; an end that lies before
-    the first row is null.
+    the first row is null. Rows that stand for a run of days have a ``LastDay``.
     """
-    ends = [
-        F.max(
-            F.when(F.col("Day") == F.col("NumDays") - interval * k, column(count).cast("double"))
-        ).alias(f"end_{k}")
-        for k in range(intervals + 1)
-    ]
+    last_day = F.col("LastDay" if "LastDay" in aligned.columns else "Day")
+    ends = []
+    for k in range(intervals + 1):
+        here = (F.col("NumDays") - interval * k).between(F.col("Day"), last_day)
+        ends.append(F.max(F.when(here, column(count).cast("double"))).alias(f"end_{k}"))
     return aligned.groupBy(entity).agg(F.max("NumDays").alias("NumDays"), *ends)
 
 

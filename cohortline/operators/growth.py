@@ -35,15 +35,15 @@ def growth_lines(
     rates: Mapping[str, int] = COUNTRY_RATES,
     extra_days: int = 10,
 ) -> DataFrame:
-    """One line per rate over days 0 .. max(Day) + ``extra_days``, in the layout of ``aligned``.
+    """One line per rate over days 0 .. max(NumDays) + ``extra_days``, in the layout of ``aligned``.
 
-    Only the maximum ``Day`` is taken from the data. Days and rates are generated from
+    Only the largest number of days is taken from the data. Days and rates are generated from
     that one row; a line never falls, so its largest value is the one on its last day.
     """
     names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("rate")) for n, r in rates.items()])
     last = F.col("last")
     days = (
-        aligned.agg((F.max("Day") + extra_days).alias("last"))
+        aligned.agg((F.max("NumDays") + extra_days).alias("last"))
         .select(last, F.explode(F.sequence(F.lit(0), last)).alias("elapsed"))
         .select(last, "elapsed", F.explode(names).alias("line"))
     )

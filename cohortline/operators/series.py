@@ -35,6 +35,12 @@ def running_total(daily: DataFrame, entity: str | list[str], date: str, measure:
     return daily.withColumn(measure, F.sum(measure).over(order))
 
 
+def valid_until(entity: str | list[str], date: str, last_date: Column) -> Column:
+    """Last day on which a row is its entity's newest one: the day before the next row's."""
+    next_date = F.lead(date).over(W.partitionBy(entity).orderBy(date))
+    return F.coalesce(F.date_sub(next_date, 1), last_date)
+
+
 def carry_forward(
     cumulative: DataFrame, entity: str | list[str], date: str, last_date: Column, months: int = 0
 ) -> DataFrame:
@@ -46,10 +52,8 @@ def carry_forward(
     beyond the partitioning by entity that the next row needs anyway.
     """
     step = F.make_interval(months=F.lit(months)) if months else F.make_interval(days=F.lit(1))
-    next_date = F.lead(date).over(W.partitionBy(entity).orderBy(date))
-    until = F.coalesce(F.date_sub(next_date, 1), last_date)
+    until = valid_until(entity, date, last_date)
     others = [c for c in cumulative.columns if c != date]
     bounded = cumulative.withColumn("_until", until).filter(F.col("_until") >= F.col(date))
-    return bounded.select(*others, F.explode(F.sequence(F.col(date), F.col("_until"), step)).alias(date)).select(
-        *cumulative.columns
-    )
+    days = F.explode(F.sequence(F.col(date), F.col("_until"), step))
+    return bounded.select(*others, days.alias(date)).select(*cumulative.columns)

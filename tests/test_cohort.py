@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortline.operators.cohort import (
+    align_runs,
     align_since_threshold,
     comparison_subset,
     label_last_day,
@@ -229,6 +230,28 @@ def test_cumulative_daily_series(spark):
     ]
 
 
+@settings(
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    st.dictionaries(
+        st.tuples(st.sampled_from("abcd"), st.integers(0, 40)), st.integers(5, 30), min_size=1
+    )
+)
+def test_runs_number_the_days_like_the_filled_series(spark, counts):
+    data = [(e, START + timedelta(days=d), c) for (e, d), c in counts.items()]
+    sparse = spark.createDataFrame(data, "e string, date date, Count int")
+    last = F.lit(START + timedelta(days=35))
+    filled = carry_forward(sparse, "e", "date", last)
+    aligned = align_since_threshold(filled, "e", "date", "Count", 10)
+    runs = align_runs(sparse, "e", "date", "Count", 10, last)
+    assert sorted((r.e, r.Day, r.NumDays, r.Count) for r in aligned.collect()) == sorted(
+        (r.e, day, r.NumDays, r.Count) for r in runs.collect() for day in range(r.Day, r.LastDay + 1)
+    )
+    tables = [doubling_table(a, "e", "Count") for a in (aligned, runs)]
+    assert sorted(map(tuple, tables[0].collect())) == sorted(map(tuple, tables[1].collect()))
+
+
 def test_total_by_date_is_strict(spark, rows):
     df = spark.createDataFrame(
         [("a", "d1", 1), ("a", "d1", None), ("a", "d2", 2), ("a", "d2", 3)],
