@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortline.catalog import cohorts, mapping, panels  # noqa: F401
+from cohortline.catalog import cohorts, mapping, panels, trackers  # noqa: F401
 from cohortline.catalog.registry import OPERATORS, QUERIES, SQL, Query
 
 

@@ -35,8 +35,8 @@ FOCAL = "NATION_0"
 PEERS = ["NATION_1", "NATION_5", "NATION_7"]
 
 
-def doubling_sql(cohort: str, entity: str, rows: str = "coh") -> str:
-    """Doubling table from a cohort CTE, by looking up rows from the end of each entity."""
+def doubling_cells() -> tuple[str, str]:
+    """Aggregates and cells of a doubling table, by looking up rows from the end of each entity."""
     headers = [
         "Última Semana",
         "Penúltima Semana",
@@ -53,6 +53,12 @@ def doubling_sql(cohort: str, entity: str, rows: str = "coh") -> str:
                   || ' días' END AS "{h}\""""
         for k, h in enumerate(headers)
     )
+    return points, cells
+
+
+def doubling_sql(cohort: str, entity: str, rows: str = "coh") -> str:
+    """Doubling table from a cohort CTE."""
+    points, cells = doubling_cells()
     return f"""WITH {cohort},
 ends AS (SELECT {entity}, max(nd) AS nd, {points} FROM {rows} GROUP BY {entity})
 SELECT {entity}, {cells} FROM ends"""
@@ -104,12 +110,15 @@ def cohort_nations_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.select("n_name", iso("date"), "Count", "Day", "NumDays")
 
 
-PLACES_SQL = """
-quarters AS (
+def places_sql(status: str | None = None, name: str = "aligned") -> str:
+    """Common table expressions ending in the aligned curves of all orders or of one status."""
+    chosen = f"WHERE o_orderstatus = '{status}'" if status else ""
+    return f"""
+quarters_{name} AS (
   SELECT CAST(unnest(generate_series(
            date_trunc('quarter', min(o_orderdate)), date_trunc('quarter', max(o_orderdate)),
            INTERVAL 3 MONTH)) AS DATE) AS q FROM orders),
-placed AS (
+placed_{name} AS (
   SELECT CASE n_name WHEN 'NATION_0' THEN 'Bolivia' WHEN 'NATION_1' THEN 'Korea, South'
               WHEN 'NATION_2' THEN 'US' WHEN 'NATION_3' THEN 'Italy' WHEN 'NATION_4' THEN 'Spain'
               WHEN 'NATION_5' THEN 'Brazil' WHEN 'NATION_6' THEN 'Ecuador'
@@ -117,24 +126,28 @@ placed AS (
          CASE WHEN n_name = 'NATION_7' AND c_mktsegment = 'BUILDING' THEN 'Hong Kong'
               ELSE c_mktsegment END AS province,
          CAST(o_orderdate AS DATE) AS od
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-named AS (
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  {chosen}),
+named_{name} AS (
   SELECT CASE WHEN province = 'Hong Kong' THEN 'Hong Kong'
               WHEN country = 'Korea, South' THEN 'Corea del Sur' WHEN country = 'US' THEN 'EEUU'
               WHEN country = 'Italy' THEN 'Italia' WHEN country = 'Spain' THEN 'España'
               WHEN country = 'Brazil' THEN 'Brasil' ELSE country END AS country, od
-  FROM placed),
-curve AS (
+  FROM placed_{name}),
+curve_{name} AS (
   SELECT country, q, sum(n) OVER (PARTITION BY country ORDER BY q) AS cnt
-  FROM (SELECT c.country, quarters.q, count(od) AS n
-        FROM (SELECT DISTINCT country FROM named) c CROSS JOIN quarters
-        LEFT JOIN named x ON x.country = c.country AND date_trunc('quarter', x.od) = quarters.q
+  FROM (SELECT c.country, t.q, count(od) AS n
+        FROM (SELECT DISTINCT country FROM named_{name}) c CROSS JOIN quarters_{name} t
+        LEFT JOIN named_{name} x ON x.country = c.country AND date_trunc('quarter', x.od) = t.q
         GROUP BY 1, 2)),
-aligned AS (
+{name} AS (
   SELECT country, q, CAST(cnt AS DOUBLE) AS cnt,
          CAST(row_number() OVER (PARTITION BY country ORDER BY q) AS INTEGER) AS rn,
          CAST(count(*) OVER (PARTITION BY country) AS INTEGER) AS nd
-  FROM curve WHERE cnt >= 10)"""
+  FROM curve_{name} WHERE cnt >= 10)"""
+
+
+PLACES_SQL = places_sql()
 
 
 @register(

@@ -45,16 +45,24 @@ def quarter_start(col: str) -> Column:
 # --- events ---------------------------------------------------------------------------
 
 
-def event_totals(spark: SparkSession, sf_dir: str, entity: str) -> tuple[DataFrame, Column]:
-    """Cumulative events per entity on the days that have any, and the last day of all."""
+def event_totals(
+    spark: SparkSession, sf_dir: str, entity: str, least_value: float | None = None
+) -> tuple[DataFrame, Column]:
+    """Cumulative events per entity on the days that have any, and the last day of all.
+
+    With ``least_value`` only events of that value or more are counted.
+    """
     events = table(spark, sf_dir, "events")
-    daily = count_by_date(events, entity, F.to_date("ts"), "date", "Count")
+    counted = events if least_value is None else events.filter(F.col("value") >= least_value)
+    daily = count_by_date(counted, entity, F.to_date("ts"), "date", "Count")
     return running_total(daily, entity, "date", "Count"), F.to_date(latest(events, "ts"))
 
 
-def event_series(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+def event_series(
+    spark: SparkSession, sf_dir: str, entity: str, least_value: float | None = None
+) -> DataFrame:
     """Cumulative events per entity on every calendar day since its first event."""
-    totals, last_day = event_totals(spark, sf_dir, entity)
+    totals, last_day = event_totals(spark, sf_dir, entity, least_value)
     return carry_forward(totals, entity, "date", last_day)
 
 
@@ -105,9 +113,12 @@ def orders_by_place(
     period: Column,
     *places: str,
     first_year: int | None = None,
+    status: str | None = None,
 ) -> DataFrame:
     """Orders ``n`` and their value in ``cents`` per period, nation and customer columns."""
     orders = table(spark, sf_dir, "orders")
+    if status is not None:
+        orders = orders.filter(F.col("o_orderstatus") == status)
     if first_year is not None:
         orders = from_year(orders, "o_orderdate", first_year)
     per_customer = orders.groupBy("o_custkey", period.alias("period")).agg(
@@ -211,18 +222,19 @@ def quarter_headers(spark: SparkSession, sf_dir: str) -> list[str]:
     return [f"{q % 4 * 3 + 1}/1/{q // 4 % 100:02d}" for q in range(start, end + 1)]
 
 
-def wide_case_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_case_series(
+    spark: SparkSession, sf_dir: str, status: str | None = None
+) -> DataFrame:
     """Cumulative orders in the layout of a case series: a row per place, a column per quarter.
 
     Places are nation and market segment; the segment BUILDING of the nation China plays the
-    promoted province.
+    promoted province. Orders of one status play the deaths.
     """
     orders = table(spark, sf_dir, "orders")
     headers = quarter_headers(spark, sf_dir)
     place = ["n_name", "c_mktsegment"]
-    series = orders_by_place(spark, sf_dir, quarter_start("o_orderdate"), *place).select(
-        *place, F.col("period").alias("date"), F.col("n").alias("Count")
-    )
+    placed = orders_by_place(spark, sf_dir, quarter_start("o_orderdate"), *place, status=status)
+    series = placed.select(*place, F.col("period").alias("date"), F.col("n").alias("Count"))
     cumulative = running_total(series, place, "date", "Count")
     last_quarter = F.trunc(F.to_date(latest(orders, "o_orderdate")), "quarter")
     filled = carry_forward(cumulative, place, "date", last_quarter, months=3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -90,3 +90,26 @@ def comparison_subset(
     return label_last_day(subset, entity).withColumn(
         f"{entity}_ord", reversed_level_rank(entity, names)
     )
+
+
+def fan_out_sets(
+    df: DataFrame, entity: str, sets: Mapping[str, Sequence[str]], to: str
+) -> DataFrame:
+    """One row per comparison set that lists the entity; entities in no set drop out."""
+    listed = {name for names in sets.values() for name in names}
+    member_of = F.array_compact(
+        F.array(*[F.when(column(entity).isin(*names), F.lit(key)) for key, names in sets.items()])
+    )
+    return df.filter(column(entity).isin(*sorted(listed))).withColumn(to, F.explode(member_of))
+
+
+def comparison_sets(
+    aligned: DataFrame, entity: str, focal: str, sets: Mapping[str, Sequence[str]], to: str
+) -> DataFrame:
+    """:func:`comparison_subset` for several sets of peers in one pass over the series."""
+    listed = {key: [focal, *peers] for key, peers in sets.items()}
+    rank = F.coalesce(
+        *[F.when(column(to) == key, reversed_level_rank(entity, n)) for key, n in listed.items()]
+    )
+    fanned = fan_out_sets(label_last_day(aligned, entity), entity, listed, to)
+    return fanned.withColumn(f"{entity}_ord", rank)

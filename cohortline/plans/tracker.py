@@ -20,7 +20,12 @@ from cohortline.functions import (
     reversed_level_rank,
     thousands,
 )
-from cohortline.operators.cohort import align_since_threshold, comparison_subset, label_last_day
+from cohortline.operators.cohort import (
+    align_since_threshold,
+    comparison_sets,
+    fan_out_sets,
+    label_last_day,
+)
 from cohortline.operators.doubling import doubling_table, focal_first
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
 from cohortline.operators.latest import last_column, rows_for_entity
@@ -110,26 +115,32 @@ def country_tracker(
     comparisons: Mapping[str, Sequence[str]] | None = None,
     threshold: float = THRESHOLD,
 ) -> dict[str, DataFrame]:
-    """Every table of the country tabs: curves, growth lines and doubling times per comparison.
+    """Every table of the country tabs: totals, curves, growth lines and doubling times.
 
-    Deaths are selected on the newest date of the cases. The tables are separate plans:
-    with a large input, persist it, or write the curves first, before using several.
+    The column ``Comparacion`` tells the sets of peers apart, so that one pass over the
+    curves serves all of them. Deaths are selected on the newest date of the cases. The
+    tables are separate plans: with a large input, persist it before using several.
     """
     if comparisons is None:
         comparisons = {"referencia": REFERENCE_COUNTRIES, "sudamerica": SOUTH_AMERICA}
+    members = {name: [focal, *peers] for name, peers in comparisons.items()}
     latest = last_column(confirmed)
     header = update_label(parse_mdy(F.lit(latest))).alias("header")
     tables = {"encabezado": confirmed.sparkSession.range(1).select(header)}
     for measure, wide in (("confirmados", confirmed), ("fallecidos", deaths)):
         curves = country_curves(wide, threshold, latest=latest)
+        shown = comparison_sets(curves, "Country", focal, comparisons, "Comparacion")
+        times = fan_out_sets(
+            doubling_table(curves, "Country", "Count"), "Country", members, "Comparacion"
+        )
         tables[f"total_{measure}"] = country_total(wide, focal, latest)
-        for name, peers in comparisons.items():
-            subset = comparison_subset(curves, "Country", focal, peers)
-            lines = growth_lines(subset, "Country", "Count", threshold, COUNTRY_RATES)
-            table = doubling_table(subset, "Country", "Count").orderBy("Country")
-            tables[f"{measure}_{name}_curvas"] = subset
-            tables[f"{measure}_{name}_lineas"] = lines
-            tables[f"{measure}_{name}_duplicacion"] = table.withColumnRenamed("Country", "País")
+        tables[f"curvas_{measure}"] = shown
+        tables[f"lineas_{measure}"] = growth_lines(
+            shown, "Country", "Count", threshold, COUNTRY_RATES, by=["Comparacion"]
+        )
+        tables[f"duplicacion_{measure}"] = times.orderBy(
+            "Comparacion", "Country"
+        ).withColumnRenamed("Country", "País")
     return tables
 
 
@@ -184,11 +195,11 @@ def department_tracker(
     for records in ("confirmados", "decesos"):
         curves = department_curves(document, latest, records, departments, focal, threshold)
         labelled = label_last_day(curves, "Dpto").withColumn("Dpto_ord", reversed_level_rank("Dpto", levels))
-        tables[f"{records}_curvas"] = labelled
-        tables[f"{records}_lineas"] = growth_lines(
+        tables[f"curvas_{records}"] = labelled
+        tables[f"lineas_{records}"] = growth_lines(
             curves, "Dpto", "Count", threshold, DEPARTMENT_RATES
         )
-        tables[f"{records}_duplicacion"] = focal_first(
+        tables[f"duplicacion_{records}"] = focal_first(
             doubling_table(curves, "Dpto", "Count"), "Dpto", focal
         )
     return tables

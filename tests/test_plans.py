@@ -67,26 +67,28 @@ def test_country_tracker_tables(spark, rows):
     deaths = wide(spark, [(None, "Bolivia", [0] * 7 + [10]), (None, "Brazil", range(8))], 8)
     tables = country_tracker(cases, deaths)
     assert tables["encabezado"].first()[0] == "Última fecha de actualización:  29/01/2020"
+    kinds = ("total", "curvas", "lineas", "duplicacion")
     assert set(tables) == {
         "encabezado",
-        "total_confirmados",
-        "total_fallecidos",
-        *[
-            f"{m}_{c}_{t}"
-            for m in ("confirmados", "fallecidos")
-            for c in ("referencia", "sudamerica")
-            for t in ("curvas", "lineas", "duplicacion")
-        ],
+        *[f"{kind}_{measure}" for kind in kinds for measure in ("confirmados", "fallecidos")],
     }
-    table = tables["confirmados_sudamerica_duplicacion"]
-    assert table.columns[0] == "País"
-    assert [tuple(r)[:3] for r in table.collect()] == [
-        ("Bolivia", "9 días", "NA"),
-        ("Brasil", "Sin Cambio", "NA"),
+    table = tables["duplicacion_confirmados"]
+    assert [tuple(r)[:3] for r in table.select("Comparacion", *table.columns[:3]).collect()] == [
+        ("referencia", "Bolivia", "9 días"),
+        ("sudamerica", "Bolivia", "9 días"),
+        ("sudamerica", "Brasil", "Sin Cambio"),
+    ]
+    curves = tables["curvas_confirmados"].filter("label IS NOT NULL")
+    assert rows(curves, "Comparacion", "label", "Day", "Country_ord") == [
+        ("referencia", "Bolivia", 8, 7),
+        ("sudamerica", "Bolivia", 8, 10),
+        ("sudamerica", "Brasil", 8, 8),
     ]
-    assert rows(tables["confirmados_referencia_curvas"].select("Country").distinct()) == [("Bolivia",)]
-    assert rows(tables["fallecidos_sudamerica_duplicacion"]) == [("Bolivia", *["Sin Cambio"] * 4)]
-    assert tables["confirmados_sudamerica_lineas"].count() == 5 * 19
+    deaths_table = tables["duplicacion_fallecidos"]
+    assert {r["País"] for r in deaths_table.collect()} == {"Bolivia"}
+    assert set(deaths_table.first()[1:5]) == {"Sin Cambio"}
+    lines = tables["lineas_confirmados"].groupBy("Comparacion").count()
+    assert rows(lines) == [("referencia", 5 * 19), ("sudamerica", 5 * 19)]
 
 
 def document(spark, confirmed, deaths):
@@ -128,10 +130,10 @@ def test_department_tracker_puts_the_total_first(spark):
     df = document(spark, [record(d, Beni=20 * d, Pando=11) for d in range(12, 1, -1)], [])
     tables = department_tracker(df)
     assert tables["encabezado"].first()[0] == "Última fecha de actualización:  11/03/2020"
-    assert [r.Dpto for r in tables["confirmados_duplicacion"].collect()] == ["Bolivia", "Beni", "Pando"]
-    ranks = {r.Dpto: r.Dpto_ord for r in tables["confirmados_curvas"].collect()}
+    assert [r.Dpto for r in tables["duplicacion_confirmados"].collect()] == ["Bolivia", "Beni", "Pando"]
+    ranks = {r.Dpto: r.Dpto_ord for r in tables["curvas_confirmados"].collect()}
     assert ranks == {"Beni": 10, "Bolivia": 9, "Pando": 4}  # seventh of ten names, from the end
-    assert tables["decesos_curvas"].count() == 0
+    assert tables["curvas_decesos"].count() == 0
 
 
 def test_education_panel(spark):
