@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortline.catalog.scope import once
 from cohortline.functions import column, recode
 from cohortline.operators.cohort import align_runs, align_since_threshold
 from cohortline.operators.latest import latest
@@ -22,7 +23,8 @@ MONEY = "decimal(18,2)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return once(path, lambda: spark.read.parquet(path))
 
 
 def iso(col: str) -> Column:
@@ -211,7 +213,7 @@ def order_span(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
     dates = table(spark, sf_dir, "orders").agg(
         F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))
     )
-    first, last = dates.first()
+    first, last = once(("span", sf_dir), dates.first)
     return first, last
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortline.catalog.scope import building
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -21,10 +24,15 @@ def register(operators: str, sql: str | None = None) -> Callable[[Query], Query]
     """
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with building():
+                return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = query
         OPERATORS[fn.__name__] = tuple(operators.split())
         if sql is not None:
             SQL[fn.__name__] = sql
-        return fn
+        return query
 
     return add
