@@ -226,19 +226,28 @@ EVENT_TYPES = {
 }
 
 
-def department_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_records(
+    spark: SparkSession, sf_dir: str, least_value: float | None = None
+) -> DataFrame:
     """Cumulative events per day as records with a map from event type to count.
 
-    One record per document: all days never meet in one array.
+    One record per row: all days never meet in one array.
     """
-    series = event_series(spark, sf_dir, "event_type")
+    series = event_series(spark, sf_dir, "event_type", least_value)
     wide = spread(series, ["date"], "event_type", list(EVENT_TYPES), "Count")
-    entries = [(F.lit(k), F.col(k).cast("double")) for k in EVENT_TYPES]
+    entries = [c for k in EVENT_TYPES for c in (F.lit(k), F.col(k).cast("double"))]
     record = F.struct(
-        F.col("date").cast("string").alias("fecha"),
-        F.create_map(*[c for pair in entries for c in pair]).alias("dep"),
+        F.col("date").cast("string").alias("fecha"), F.create_map(*entries).alias("dep")
+    )
+    return wide.select(F.array(record).alias("records"))
+
+
+def department_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose cases and deaths are the same records."""
+    records = F.col("records")
+    return event_records(spark, sf_dir).select(
+        records.alias("confirmados"), records.alias("decesos")
     )
-    return wide.select(F.array(record).alias("confirmados"), F.array(record).alias("decesos"))
 
 
 DEPARTMENTS_SQL = """

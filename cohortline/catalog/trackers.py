@@ -6,27 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.catalog.cohorts import doubling_cells, places_sql
-from cohortline.catalog.inputs import event_series, wide_case_series
-from cohortline.catalog.panels import EVENT_TYPES
+from cohortline.catalog.inputs import wide_case_series
+from cohortline.catalog.panels import EVENT_TYPES, event_records
 from cohortline.catalog.registry import register
-from cohortline.operators.reshape import spread
 from cohortline.operators.stacking import bind_rows, overlay
-from cohortline.plans.tracker import country_tracker, department_tracker
+from cohortline.plans.tracker import (
+    FOCAL,
+    REFERENCE_COUNTRIES,
+    SOUTH_AMERICA,
+    country_tracker,
+    department_tracker,
+)
 
 COMPARISONS = {
-    "referencia": ["Bolivia", "Corea del Sur", "Italia", "España", "EEUU", "Iran", "Singapur"],
-    "sudamerica": [
-        "Bolivia",
-        "Argentina",
-        "Brasil",
-        "Chile",
-        "Colombia",
-        "Paraguay",
-        "Peru",
-        "Uruguay",
-        "Venezuela",
-        "Ecuador",
-    ],
+    "referencia": [FOCAL, *REFERENCE_COUNTRIES],
+    "sudamerica": [FOCAL, *SOUTH_AMERICA],
 }
 MEASURES_SQL = f"{places_sql(None, 'confirmados')}, {places_sql('F', 'fallecidos')}"
 
@@ -117,22 +111,14 @@ DEATH_VALUE = 20
 
 
 def tracker_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of all events and of the valuable ones, one record per document."""
-
-    def records(least_value: float | None) -> DataFrame:
-        series = event_series(spark, sf_dir, "event_type", least_value)
-        wide = spread(series, ["date"], "event_type", list(EVENT_TYPES), "Count")
-        entries = [c for k in EVENT_TYPES for c in (F.lit(k), F.col(k).cast("double"))]
-        record = F.struct(
-            F.col("date").cast("string").alias("fecha"), F.create_map(*entries).alias("dep")
-        )
-        return wide.select(F.array(record).alias("records"))
-
+    """Documents with the records of all events as cases or of the valuable ones as deaths."""
     none = F.expr("CAST(array() AS array<struct<fecha:string,dep:map<string,double>>>)")
-    cases, deaths = records(None), records(DEATH_VALUE)
+    records = F.col("records")
+    cases = event_records(spark, sf_dir)
+    deaths = event_records(spark, sf_dir, DEATH_VALUE)
     return bind_rows(
-        cases.select(F.col("records").alias("confirmados"), none.alias("decesos")),
-        deaths.select(none.alias("confirmados"), F.col("records").alias("decesos")),
+        cases.select(records.alias("confirmados"), none.alias("decesos")),
+        deaths.select(none.alias("confirmados"), records.alias("decesos")),
     )
 
 
