@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import column
@@ -29,6 +29,25 @@ def melt(
     )
 
 
+def melt_positions(
+    df: DataFrame, ids: Sequence[str], measures: Sequence[str], position_to: str, values_to: str
+) -> DataFrame:
+    """Wide to long with the position of the column instead of its name.
+
+    For tables with hundreds of columns of one type: one array per row and a number per
+    cell, which is cheaper to make and to group by than a copy of the row and a text.
+    :func:`name_at` gives the names back once the rows are added up.
+    """
+    kept = [column(c) for c in ids]
+    packed = df.select(*kept, F.array(*[column(c) for c in measures]).alias("_cells"))
+    return packed.select(*kept, F.posexplode("_cells").alias(position_to, values_to))
+
+
+def name_at(position: str | Column, names: Sequence[str]) -> Column:
+    """Name at a position counted from 0."""
+    return F.element_at(F.array(*[F.lit(n) for n in names]), column(position) + 1)
+
+
 def spread(
     df: DataFrame, ids: Sequence[str], key: str, levels: Sequence[str], value: str
 ) -> DataFrame:

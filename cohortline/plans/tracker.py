@@ -29,12 +29,13 @@ from cohortline.operators.cohort import (
 from cohortline.operators.doubling import doubling_table, focal_first
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
 from cohortline.operators.latest import last_column, rows_for_entity
-from cohortline.operators.reshape import melt
+from cohortline.operators.reshape import melt, melt_positions, name_at
 from cohortline.operators.series import total_by_date
 
 # Names, threshold and comparison sets of the public dashboard.
 THRESHOLD = 10
 FOCAL = "Bolivia"
+PLACE_COLUMNS = ["Province/State", "Country/Region", "Lat", "Long"]
 COUNTRY_NAMES = {
     "Korea, South": "Corea del Sur",
     "US": "EEUU",
@@ -85,11 +86,13 @@ def country_curves(
     defaults to the last one, and deaths are usually given the one of the cases.
     """
     latest = latest or last_column(wide)
-    place = wide.withColumn(
-        "Country", promote("Province/State", recode("Country/Region", names), promoted)
-    ).drop("Province/State", "Country/Region", "Lat", "Long")
-    long = melt(place, ["Country"], "Date", "Count")
-    totals = total_by_date(long, "Country", "Date", "Count").withColumn("Date", parse_mdy("Date"))
+    country = promote("Province/State", recode("Country/Region", names), promoted)
+    dates = [c for c in wide.columns if c not in PLACE_COLUMNS]
+    place = wide.withColumn("Country", country)
+    long = melt_positions(place, ["Country"], dates, "position", "Count")
+    totals = total_by_date(long, "Country", "position", "Count").select(
+        "Country", parse_mdy(name_at("position", dates)).alias("Date"), "Count"
+    )
     curves = align_since_threshold(
         totals, "Country", "Date", "Count", threshold, parse_mdy(F.lit(latest))
     )

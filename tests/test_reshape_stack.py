@@ -13,7 +13,7 @@ from cohortline.operators.latest import (
     rows_for_entity,
     value_at_latest,
 )
-from cohortline.operators.reshape import explode_records, melt, spread
+from cohortline.operators.reshape import explode_records, melt, melt_positions, name_at, spread
 from cohortline.operators.stacking import (
     bind_rows,
     overlay,
@@ -33,6 +33,16 @@ def test_melt_keeps_nulls_and_odd_names(spark, rows):
     assert rows(melt(wide, ["id"], measures=["x.y"])) == [("a", "x.y", None), ("b", "x.y", 4)]
 
 
+def test_melt_by_position_keeps_nulls(spark, rows):
+    names = ["1/22/20", "1/23/20"]
+    wide = spark.createDataFrame([("a", 1, None), ("b", 3, 4)], "id string, `1/22/20` int, `1/23/20` int")
+    long = melt_positions(wide, ["id"], names, "p", "n")
+    assert rows(long) == [("a", 0, 1), ("a", 1, None), ("b", 0, 3), ("b", 1, 4)]
+    assert rows(long.select("id", name_at("p", names).alias("date"), "n")) == rows(
+        melt(wide, ["id"], "date", "n")
+    )
+
+
 @settings(
     max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
