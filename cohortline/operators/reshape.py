@@ -40,7 +40,10 @@ def melt_positions(
     """
     kept = [column(c) for c in ids]
     packed = df.select(*kept, F.array(*[column(c) for c in measures]).alias("_cells"))
-    return packed.select(*kept, F.posexplode("_cells").alias(position_to, values_to))
+    # the array is never null or empty: the outer form keeps the optimizer from deriving a
+    # filter on it, whose variants would multiply with every renamed column
+    cells = F.posexplode_outer("_cells")
+    return packed.select(*kept, cells.alias(position_to, values_to))
 
 
 def name_at(position: str | Column, names: Sequence[str]) -> Column:

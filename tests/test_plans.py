@@ -1,5 +1,7 @@
 """Whole pipelines on small inputs in their public layout."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,23 @@ def test_country_curves(spark, rows):
     assert {r.Country for r in earlier.collect()} == {"Bolivia", "China"}
 
 
+def test_many_derived_date_columns_plan_quickly(spark):
+    """The optimizer must not enumerate combinations of renamed columns."""
+    days = [f"{m}/{d}/20" for m in range(1, 7) for d in range(1, 21)]
+    places = spark.createDataFrame([(None, "Bolivia", 4.0), (None, "Peru", 1.0)], "p string, c string, n double")
+    df = places.select(
+        F.col("p").alias("Province/State"),
+        F.col("c").alias("Country/Region"),
+        F.lit(0.0).alias("Lat"),
+        F.lit(0.0).alias("Long"),
+        *[F.coalesce(F.col("n") * i, F.lit(0.0)).alias(day) for i, day in enumerate(days)],
+    )
+    started = time.monotonic()
+    out = country_curves(df).filter("Country = 'Bolivia'")
+    assert out.count() == 117
+    assert time.monotonic() - started < 60
+
+
 def test_country_total_has_a_row_per_place(spark, rows):
     df = wide(spark, [(None, "Bolivia", [1, 12345]), ("x", "Bolivia", [1, 2]), (None, "Peru", [1, 9])], 2)
     assert rows(country_total(df)) == [(12345.0, "12,345"), (2.0, "2")]
