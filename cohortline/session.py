@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get(SCRATCH_SETTING, None)
     if not shared:
-        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
             raise ValueError(f"set {SCRATCH_SETTING} to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="cohortline-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
