@@ -21,8 +21,11 @@ from cohortline.llm.registry import register
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: White space as the split pattern knows it (Unicode's White_Space property).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No match of the split pattern crosses the border of such a chunk.
-CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters of the Latin blocks; words of others take the general way.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af"
+#: No match of the split pattern crosses the border of such a chunk: a word before a gap, comma
+#: or full stop, else what stands between gaps, else a gap.
+CHUNKS = re.compile(f" ?[{LATIN}]++(?=[{SPACE},.]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Such a chunk is one match of the pattern.
 ONE_WORD = regex.compile(r" ?\p{L}+")
 #: Bounds of what an encoder remembers: two generations of chunks, and pairs.
