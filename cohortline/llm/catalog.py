@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from cohortline.llm import bpe, mixing, secret_scan, simhash, token_file, toxicity  # noqa: F401
+from cohortline.llm import (  # noqa: F401
+    bpe,
+    embeddings,
+    licenses,
+    mixing,
+    parsing,
+    passages,
+    secret_scan,
+    simhash,
+    token_file,
+    toxicity,
+)
 from cohortline.llm.registry import QUERIES, SQL, Query
 
 
