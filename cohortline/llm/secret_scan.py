@@ -152,9 +152,9 @@ def redacted(docs: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     """
     found = candidates(docs)
     spans = judged(found, most_owners).join(found.select("row", "key"), "row")
-    by_text = spans.groupBy("key").agg(F.first(F.filter("judged", _reported)).alias("_spans")).where("size(_spans) > 0")
+    by_text = spans.groupBy(F.col("key").alias("_hashed")).agg(F.first(F.filter("judged", _reported)).alias("_spans")).where("size(_spans) > 0")
     keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    both = keyed.join(by_text, F.col("_key") == F.col("key"), "left")
+    both = keyed.join(by_text, F.col("_key") == F.col("_hashed"), "left")
     text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
