@@ -15,8 +15,8 @@ from cohortline.llm.registry import register
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 17
-MOST_PER_CLASS = 8_000
-FEATURES = 6_000
+MOST_PER_CLASS = 5_000
+FEATURES = 1_500
 LEAST_DOCUMENTS = 5
 SMOOTHING = 1.0
 RIDGE = 1e-3
@@ -134,7 +134,7 @@ def fit(sample: DataFrame, features: int = FEATURES) -> Model:
     matrix = sample.mapInPandas(held, "toxic int, places binary").toPandas()
     lists = [np.frombuffer(x, "<i4") for x in matrix["places"]]
     place = np.concatenate([np.empty(0, np.int32), *lists])
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     coefficients, intercept = _logistic(row, place, ratios, matrix["toxic"].to_numpy(np.float64))
     weights = np.zeros(BUCKETS, np.float32)
     weights[buckets] = coefficients * ratios
@@ -158,7 +158,7 @@ def _logistic(row: np.ndarray, place: np.ndarray, ratios: np.ndarray, labels: np
         gap = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
         gw = np.bincount(place, value * gap[row], len(w)) / count + RIDGE * vw
         gb = gap.mean()
-        nw, nb = vw - step * count**0 * gw * 4, vb - step * gb * 4
+        nw, nb = vw - 4 * step * gw, vb - 4 * step * gb
         momentum = turn / (turn + 3)
         vw, vb = nw + momentum * (nw - w), nb + momentum * (nb - b)
         w, b = nw, nb
