@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cohortline.functions import column, strict_sum
 
 
+SPREAD = 32
+
+
 def bind_rows(*frames: DataFrame, fill: bool = False) -> DataFrame:
     """Stack by column name, keeping duplicates; ``fill`` allows columns to be missing."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=fill), frames)
@@ -42,7 +45,11 @@ def with_first_appearance(
 ) -> DataFrame:
     """Add the position at which the row's label first appears, the key that orders labels by it.
 
-    One row per label is joined back, so the number of labels is not limited.
+    One row per label is joined back, so the number of labels is not limited. The rows of a
+    label are spread by their position over ``SPREAD`` join keys, for which the label's row is
+    repeated: where the labels are not broadcast, a frequent label does not fill one task.
     """
     first = df.groupBy(column(label).alias("_label")).agg(F.min(column(position)).alias(to))
-    return df.join(first, column(label).eqNullSafe(F.col("_label")), "left").drop("_label")
+    first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64(column(position)), F.lit(SPREAD)) == F.col("_part")
+    return df.join(first, column(label).eqNullSafe(F.col("_label")) & part, "left").drop("_label", "_part")

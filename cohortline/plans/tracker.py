@@ -170,7 +170,8 @@ def department_curves(
 
     ``departments`` maps the keys in the records to names. The total of a date is null,
     and drops out, as soon as one department is missing. ``latest`` is left out because
-    it may repeat the day before.
+    it may repeat the day before. A date in several records counts once, with the largest
+    count of each department, so windows hold a row per date and department at most.
     """
     departments = departments or {name: name for name in DEPARTMENTS}
     names = list(departments.values())
@@ -179,6 +180,7 @@ def department_curves(
         F.col("r.fecha").alias("Fecha"),
         *[F.try_element_at("r.dep", F.lit(k)).alias(name) for k, name in departments.items()],
     )
+    wide = wide.groupBy("Fecha").agg(*[F.max(column(name)).alias(name) for name in names])
     wide = wide.filter(F.col("Fecha") != latest).withColumn(total_name, horizontal_sum(names))
     long = melt(wide, ["Fecha"], "Dpto", "Count").withColumn("Fecha", parse_iso("Fecha"))
     return align_since_threshold(long, "Dpto", "Fecha", "Count", threshold)

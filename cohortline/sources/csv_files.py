@@ -52,6 +52,7 @@ def read_table(
 
     Columns are found by their header name, in any order and among others that the schema
     does not list. ``by_position`` ignores the header text and names the columns in order.
+    The files of a folder must share one header; another order of columns is an error.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
@@ -62,6 +63,7 @@ def read_table(
     found = [
         wanted.get(name, StructField(name, StringType())) for name in header_names(spark, path)
     ]
+    reader = reader.option("enforceSchema", False)
     return reader.schema(StructType(found)).csv(path).select(
         [column(f.name) for f in schema.fields]
     )
@@ -70,12 +72,15 @@ def read_table(
 def read_wide_series(
     spark: SparkSession, path: str, ids: StructType = SERIES_IDS
 ) -> DataFrame:
-    """One row per place and one column per date: typed ids, every other column a double."""
+    """One row per place and one column per date: typed ids, every other column a double.
+
+    The files of a folder must share one header; other dates, or in another order, are an error.
+    """
     id_fields = {f.name: f for f in ids.fields}
     fields = [
         id_fields.get(name, StructField(name, DoubleType())) for name in header_names(spark, path)
     ]
-    reader = spark.read.option("header", True).option("nullValue", MISSING)
+    reader = spark.read.option("header", True).option("nullValue", MISSING).option("enforceSchema", False)
     return reader.schema(StructType(fields)).csv(path)
 
 
@@ -85,16 +90,18 @@ def read_titled(
     """CSV with ``skip`` title lines above the header: a text key and integer columns.
 
     The header is taken from the file's first lines unless ``names`` lists the columns.
-    Title and header lines are dropped by their key cell (empty, or the header's text), so
-    the file can be split and a folder may hold several files of the same form.
+    Exactly the lines that are, as a whole, a title or header line are dropped; rows with an
+    empty key stay. The file can be split, and a folder may hold several files that start with
+    the same lines.
     """
+    head = [r.value for r in spark.read.text(path).head(skip + 1)]
     if names is None:
-        head = [r.value for r in spark.read.text(path).head(skip + 1)]
-        names = next(csv.reader([head[skip].lstrip("﻿")]))
+        names = next(csv.reader([head[skip].lstrip("\ufeff")]))
     fields = [StructField(key, StringType())]
     fields += [StructField(n, IntegerType()) for n in list(names)[1:]]
-    rows = spark.read.schema(StructType(fields)).option("nullValue", MISSING).csv(path)
-    return rows.filter(column(key).isNotNull() & ~column(key).isin("", list(names)[0]))
+    lines = spark.read.text(path).filter(~F.col("value").isin("", *head))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return lines.select(F.from_csv("value", ddl, {"nullValue": MISSING}).alias("row")).select("row.*")
 
 
 def melt_years(wide: DataFrame, key: str, year_to: str, value_to: str) -> DataFrame:

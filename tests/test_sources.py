@@ -93,6 +93,22 @@ def test_titled_tables_and_their_panel(spark, tmp_path, rows):
     assert got["Mundo", 1980] == (21, "Benchmark Regiones", 5, 3)
 
 
+def test_titled_table_keeps_every_data_row(spark, tmp_path, rows):
+    text = "Report on coverage,,\n,Coverage,Coverage\nCountry,2017,2016\nA,1,2\n,3,4\nCountry,5,\n"
+    got = read_titled(spark, write(tmp_path / "t.csv", text), "Country", skip=2)
+    assert got.columns == ["Country", "2017", "2016"]
+    assert rows(got) == sorted([("A", 1, 2), (None, 3, 4), ("Country", 5, None)], key=repr)
+
+
+def test_files_with_other_headers_are_an_error(spark, tmp_path):
+    folder = tmp_path / "wide"
+    folder.mkdir()
+    write(folder / "a.csv", "Province/State,Country/Region,Lat,Long,1/1/20,1/2/20\n,A,1,1,1,2\n")
+    write(folder / "b.csv", "Province/State,Country/Region,Lat,Long,1/2/20,1/1/20\n,B,1,1,2,1\n")
+    with pytest.raises(Exception, match="header|Header"):
+        read_wide_series(spark, str(folder)).collect()
+
+
 def test_typed_export(spark, tmp_path, rows):
     names = [f.name for f in export_schema()]
     assert len(names) == 35
