@@ -403,12 +403,15 @@ def titled_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = names[0]
         text = wide.select([column(c).cast("string").alias(c) for c in names])
         one = spark.range(0, 1, 1, 1)
-        title = one.select(F.lit("").alias(key), *[F.lit("coverage").alias(y) for y in names[1:]])
+        title = one.select(F.lit("Coverage report").alias(key), *[F.lit("coverage").alias(y) for y in names[1:]])
         header = one.select([F.lit(c).alias(c) for c in names])
         path = scratch_path(spark, "titled")
-        title.union(header).union(text).write.csv(path)
-        paths.append((path, key, names))
-    return vaccination_panel(*[read_titled(spark, p, key, names) for p, key, names in paths])
+        # one file, in this order; the text has a row per place
+        parts = [part.withColumn("_at", F.lit(at)) for at, part in enumerate((title, header, text))]
+        lines = parts[0].union(parts[1]).union(parts[2]).coalesce(1).sortWithinPartitions("_at")
+        lines.drop("_at").write.csv(path)
+        paths.append((path, key))
+    return vaccination_panel(*[read_titled(spark, path, key) for path, key in paths])
 
 
 _INDEX_SQL = """SELECT n_name AS "Country", upper(n_name) AS iso3c,
