@@ -162,20 +162,26 @@ FILE_SCHEMA = (
 )
 
 
-def write_token_file(docs: DataFrame, path: str, shards: int | None = None) -> None:
+def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None, shards: int | None = None) -> None:
     """Writes ``doc_id, ids`` (binary, 32-bit little-endian) as a token file, ascending doc_id.
 
+    With a vocabulary, ``doc_id, text`` are given and texts are encoded after they are put in
+    order: they are smaller than their ids, and finding the ranges does not encode them as well.
+
     The file is a folder of shards, each a range of doc_id (null first) in order; a shard is a
     sequence of segments. A segment's payload holds blocks packed by ``pack_segment``; its
     ``docs`` list the documents that start in it: where, counted in the shard's ids, and how
     many ids. A document may run over any number of segments. Rows with the same doc_id are
-    ordered by their ids' hash. Shards come from a range partitioning, so no task holds more
+    ordered by the hash of their content. Shards come from a range partitioning, so no task holds more
     than one shard's current segment, and Spark writes them: any store that it can write works.
     """
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").withColumn("tie", F.xxhash64("ids"))
+    content = "text" if vocabulary else "ids"
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"))
+    keyed = keyed.withColumn("tie", F.xxhash64("content"))
     ranged = keyed.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "ids")
+    ids = word_ids(F.col("content"), vocabulary) if vocabulary else F.col("content")
+    ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", ids.alias("ids"))
     ranged.mapInPandas(_segments, FILE_SCHEMA).write.parquet(path)
 
 
@@ -262,5 +268,5 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(VOCABULARY_FILE)
     documents = table(spark, sf_dir, "documents")
     path = scratch_path(spark, "token-file")
-    write_token_file(documents.select("doc_id", word_ids(F.col("text"), vocabulary).alias("ids")), path)
+    write_token_file(documents, path, vocabulary)
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
