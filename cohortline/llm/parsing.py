@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -103,29 +104,96 @@ def _sign(bins: np.ndarray, names: np.ndarray, owner: np.ndarray) -> None:
 
 def likeness(one: bytes, other: bytes) -> float:
     """Share of equal bins among those that either text fills; 1 for equal, so for two empty, sketches."""
-    a, b = np.frombuffer(one, np.uint16), np.frombuffer(other, np.uint16)
-    filled = (a != EMPTY) | (b != EMPTY)
-    return float(((a == b) & filled).sum() / filled.sum()) if filled.any() else 1.0
-
+    return float(_likenesses([one], [other])[0])
 
-def successors(ids: DataFrame, ranges: int) -> DataFrame:
-    """``id, next_id`` of distinct ids in descending order, null last; after the last comes the first.
 
-    Ids are range-partitioned and numbered within their range; the first id of a range follows
-    the last of the range before. Only one row per range meets in one task.
+def _likenesses(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, BINS) for x in (one, other))
+    filled = (a != EMPTY) | (b != EMPTY)
+    size = filled.sum(1)
+    return np.where(size > 0, ((a == b) & filled).sum(1) / np.maximum(size, 1), 1.0)
+
+
+COMPARED = pa.schema(
+    [
+        ("kind", pa.string()),
+        ("part", pa.int32()),
+        ("id", pa.int64()),
+        ("hash", pa.int64()),
+        ("n_chars", pa.int64()),
+        ("edited_sha256", pa.binary()),
+        ("sketch", pa.binary()),
+        ("edited_sketch", pa.binary()),
+        ("near_edited", pa.float64()),
+        ("near_next", pa.float64()),
+        ("text", pa.string()),
+    ]
+)
+COMPARED_SPARK = (
+    "kind string, part int, id long, hash long, n_chars long, edited_sha256 binary, sketch binary, "
+    "edited_sketch binary, near_edited double, near_next double, text string"
+)
+
+
+def _against_next(rows: list[dict], following: list[tuple[str, bytes]]) -> list[dict]:
+    """Rows with text and sketch, compared with the text and sketch of the document that follows each."""
+    edited = []
+    for row, (after, _) in zip(rows, following):
+        third = len(row["text"]) // 3
+        edited.append(row["text"][: len(row["text"]) - third] + after[:third])
+    sketches = fingerprints(edited)
+    own = [row["sketch"] for row in rows]
+    near_edited, near_next = _likenesses(own, sketches), _likenesses(own, [sketch for _, sketch in following])
+    return [
+        {
+            **row,
+            "kind": "done",
+            "text": None,
+            "edited_sha256": hashlib.sha256(text.encode()).digest(),
+            "edited_sketch": sketch,
+            "near_edited": float(one),
+            "near_next": float(two),
+        }
+        for row, text, sketch, one, two in zip(rows, edited, sketches, near_edited, near_next)
+    ]
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of documents in ascending order of id, then hash: each compared with the id before it.
+
+    Rows of the range's first two ids stay ``open``: the id before the first lies in another
+    range, and so may the first rows of the first. ``head`` rows, the first rows of the range's
+    first and last two ids, are what such rows ask for.
     """
-    ranged = ids.distinct().repartitionByRange(ranges, F.col("id").desc_nulls_last())
-    ranged = written(ranged.withColumn("part", F.spark_partition_id()), "ranges")
-    inside = W.partitionBy("part").orderBy(F.col("id").desc_nulls_last())
-    placed = ranged.select("id", "part", F.lead("id").over(inside).alias("after"), F.row_number().over(inside).alias("n"))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"), F.max("id").alias("head"))
-    over = W.orderBy("part")
-    first = F.first("head").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    heads = sizes.select("part", "size", F.lead(F.struct("head")).over(over).alias("follow"), first.alias("first"))
-    following = F.when(F.col("follow").isNull(), F.col("first")).otherwise(F.col("follow.head"))
-    return placed.join(heads, "part").select(
-        "id", F.when(F.col("n") < F.col("size"), F.col("after")).otherwise(following).alias("next_id")
-    )
+    first = before = current = None
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("text")).to_pylist()
+        for start, end in slabs(sizes, SLAB):
+            rows = batch.slice(start, end - start).to_pylist()
+            for row, sketch in zip(rows, fingerprints([row["text"] for row in rows])):
+                row |= {"sketch": sketch, "n_chars": len(row["text"])}
+            opened, known, following = [], [], []
+            for row in rows:
+                if current is None or current["id"] != row["id"]:
+                    before, current = current, row
+                    first = first or row
+                if before is None or before is first:
+                    opened.append({**row, "kind": "open"})
+                else:
+                    known.append(row)
+                    following.append((before["text"], before["sketch"]))
+            yield pa.RecordBatch.from_pylist(opened + _against_next(known, following), COMPARED)
+    heads = [{**row, "kind": "head"} for row in {id(r): r for r in (first, before, current) if r is not None}.values()]
+    yield pa.RecordBatch.from_pylist(heads, COMPARED)
+
+
+def _at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.utf8_length(batch.column("text")).to_pylist()
+        for start, end in slabs(sizes, SLAB):
+            rows = batch.slice(start, end - start).to_pylist()
+            following = [(row.pop("next_text"), row.pop("next_sketch")) for row in rows]
+            yield pa.RecordBatch.from_pylist(_against_next(rows, following), COMPARED)
 
 
 def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,76 +203,48 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     first code points of the next document, or all of them if it has fewer; the next document
     has the next smaller id, a null id is the smallest, and after the last comes the first. A
     document alone is its own next. Where an id repeats, every row is compared, and the next
-    document is the row with the smallest text hash. Null texts count as empty.
+    document is the row with the smallest text hash. Null texts count as empty; an empty table
+    gives an empty result.
 
-    Only the kept two thirds of a text and the piece for its predecessor are shuffled.
+    Texts are shuffled once, into ranges of ids. A task walks through its range in ascending
+    order and keeps the texts of two ids; an id that many rows share runs over several ranges.
+    Only the rows at the start of a range are compared in a second step, with the few texts
+    that ranges leave for each other.
     """
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(id_column).cast("long").alias("id"), whole.alias("text"))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[["id", "n_chars", "hash"]].assign(sketch=fingerprints(batch["text"].tolist()))
-
-    hashed = own.select("id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("hash"), "text")
-    signed = written(hashed.mapInPandas(sign, "id long, n_chars long, hash long, sketch binary"), "sketches")
-    links = successors(signed.select("id"), ranges)
-    third = F.floor(F.col("n_chars") / 3)
-    wanted = signed.groupBy("id").agg(F.max(third).alias("wanted"), F.min("hash").alias("chosen"))
-    asked = links.join(wanted.withColumnRenamed("id", "of"), F.expr("id <=> of")).select(
-        F.col("id").alias("asker"), "next_id", "wanted"
-    )
-    asked = asked.join(wanted.select(F.col("id").alias("of"), "chosen"), F.expr("next_id <=> of")).select(
-        "asker", "next_id", "wanted", "chosen"
-    )
-    asked = written(asked, "next-documents")
-    texts = own.withColumn("hash", F.xxhash64("text"))
-    piece = texts.join(asked, F.expr("id <=> next_id AND hash = chosen")).select(
-        "asker", F.expr("substring(text, 1, int(wanted))").alias("piece")
-    )
-    sketches = signed.select("id", "hash", "sketch")
-    next_sketch = sketches.join(asked, F.expr("id <=> next_id AND hash = chosen")).select(
-        F.col("asker").alias("asks"), F.col("sketch").alias("next_sketch")
-    )
-    head = own.select("id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("hash")).select(
-        "id", "n", "hash", F.expr("substring(text, 1, n - n div 3)").alias("head")
+    own = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
+    spread = own.withColumn("nth", F.monotonically_increasing_id())  # rows that are equal may be many
+    ranged = spread.repartitionByRange(ranges, "id", "hash", "nth").sortWithinPartitions("id", "hash")
+    ranged = ranged.select(F.spark_partition_id().alias("part"), "id", "hash", "text")
+    parsed = written(ranged.mapInArrow(_in_order, COMPARED_SPARK), "fingerprints")
+
+    opened = parsed.where("kind = 'open'")
+    heads = parsed.where("kind = 'head'").groupBy("id").agg(F.min_by(F.struct("text", "sketch"), "hash").alias("head"))
+    # each range has two open ids and three heads at most, so these windows hold a few ids for each range
+    ids = opened.select("id", F.lit(False).alias("head")).distinct().unionByName(heads.select("id", F.lit(True).alias("head")))
+    ids = ids.groupBy("id").agg(F.max("head").alias("head"))
+    ascending = W.orderBy(F.col("id").asc_nulls_first())
+    latest = F.last(F.when(F.col("head"), F.struct("id")), ignorenulls=True)
+    smaller = latest.over(ascending.rowsBetween(W.unboundedPreceding, -1))
+    largest = latest.over(ascending.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    links = ids.select(F.col("id").alias("of"), F.coalesce(smaller, largest)["id"].alias("next_id"))
+    asked = opened.select(F.col("part").alias("at"), "id").distinct().join(links, F.expr("id <=> of")).select("at", "of", "next_id")
+    borders = asked.join(heads.withColumnRenamed("id", "head_id"), F.expr("next_id <=> head_id")).select(
+        "at", "of", F.col("head.text").alias("next_text"), F.col("head.sketch").alias("next_sketch")
     )
-    piece = piece.groupBy("asker").agg(F.first("piece").alias("piece"))
-    both = head.join(piece, F.expr("id <=> asker")).select(
-        "id", "hash", F.col("n").cast("long").alias("n_chars"), F.expr("concat(head, substring(piece, 1, n div 3))").alias("edited")
-    )
-    both = both.mapInPandas(_edited, "id long, hash long, n_chars long, edited_sha256 string, edited_sketch binary")
-    small = sketches.dropDuplicates(["id", "hash"]).join(
-        next_sketch.groupBy("asks").agg(F.first("next_sketch").alias("next_sketch")), F.expr("id <=> asks")
-    ).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "sketch", "next_sketch")
-    return both.join(small, F.expr("id <=> _id AND hash = _hash")).select(
+    rest = opened.join(borders, F.expr("part = at AND id <=> of")).mapInArrow(_at_borders, COMPARED_SPARK)
+    return parsed.where("kind = 'done'").unionByName(rest).select(
         "id",
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         "sketch",
         "edited_sketch",
-        _likeness("sketch", "edited_sketch").alias("near_edited"),
-        _likeness("sketch", "next_sketch").alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 
-def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch["edited"].tolist()
-        yield batch[["id", "hash", "n_chars"]].assign(
-            edited_sha256=[hashlib.sha256(text.encode()).hexdigest() for text in texts], edited_sketch=fingerprints(texts)
-        )
-
-
-def _likeness(one: str, other: str):
-    @F.pandas_udf("double")
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    return compare(one, other)
-
-
 @register()
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and their likeness."""

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortline.llm import bpe, mixing, parsing, secret_scan, simhash, token_file
@@ -225,3 +226,25 @@ def test_phrases_do_not_depend_on_the_offset():
 
 def test_repeated_ids_are_all_compared(documents, odd_rows):
     assert parsing.compared(documents(odd_rows)).count() == len(odd_rows)
+
+
+def test_next_documents_across_ranges(shipped, documents):
+    rng = np.random.default_rng(8)
+    ids = [None, None, *[5] * 30, *range(6, 30), 3, 3]
+    rows = [(i, "".join(rng.choice(list("ab é"), rng.integers(0, 40))), "a") for i in ids] + [(5, "same", "a")] * 20
+    chosen = {}
+    for doc_id, text, _ in rows:
+        chosen.setdefault(doc_id, []).append(text)
+    docs = documents(rows).select("doc_id", "text")
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(chosen, key=lambda i: (i is not None, i or 0), reverse=True)
+    wanted = []
+    for k, doc_id in enumerate(order):
+        after = min(chosen[order[(k + 1) % len(order)]], key=hashes.get)
+        for text in chosen[doc_id]:
+            edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+            one, two, three = parsing.fingerprints([text, edited, after])
+            digest = hashlib.sha256(edited.encode()).hexdigest()
+            wanted.append((str(doc_id), digest, parsing.likeness(one, two), parsing.likeness(one, three)))
+    got = parsing.compared(docs.repartition(7)).collect()
+    assert sorted((str(r["id"]), r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == sorted(wanted)
