@@ -8,13 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortline.llm.common import table, written
+from cohortline.llm.common import slabs, table
 from cohortline.llm.registry import register
 from cohortline.session import scratch_path
 
@@ -25,6 +27,7 @@ SEGMENT_BLOCKS = 64
 PERCENTILE = 95
 REMEMBERED_WORDS = 300_000
 LONGEST_REMEMBERED = 48
+SLAB = 1 << 22
 
 HEADER = np.dtype([("ids", "<u4"), ("blocks", "<u4")])
 BLOCK_HEADER = np.dtype([("least", "<u4"), ("ids", "<u2"), ("width", "u1"), ("exceptions", "<u2")])
@@ -95,47 +98,56 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit integers."""
-        if len(self.known) >= REMEMBERED_WORDS:
-            self.older, self.known = self.known, {}
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [[i for i, packed in enumerate(parts) if packed is None] for parts in found]
-        fresh = self._encode_missing({words[i] for words, gap in zip(split, gaps) for i in gap})
-        for words, parts, gap in zip(split, found, gaps):
-            for i in gap:
-                parts[i] = fresh[words[i]]
-        return [b"".join(parts) for parts in found]
-
-    def _encode_missing(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not remembered.
+        out: list[bytes] = []
+        for start, end in slabs(map(len, texts), SLAB):
+            out += self._encode_slab(texts[start:end])
+        return out
+
+    def _encode_slab(self, texts: list[str]) -> list[bytes]:
+        """Looks each distinct word up once and puts the ids in the order of the texts.
 
         The vocabulary is in lower case and never joins a letter or digit with the mark after
-        it, so ASCII words are taken apart into a plain word and a last mark.
+        it, so A-Z are lowered and marks at the end of words become words of their own.
         """
-        fresh, unknown = {}, {}
-        for word in words:
-            packed = self.older.get(word)
-            if packed is not None:
-                fresh[word] = packed
-            elif word.isascii() and word[-1:] in (",", ".") and word[-2:-1].isalnum():
-                unknown[word] = (word[:-1].lower(), word[-1])
-            else:
-                unknown[word] = (word.lower() if word.isascii() else word, "")
-        parts = list({part for pair in unknown.values() for part in pair}.difference(self.known))
-        plain: dict[str, bytes] = {}
-        for at in range(0, len(parts), 1024):
-            some = parts[at : at + 1024]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        lines = pc.ascii_lower(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
+        lists = pc.split_pattern(pc.replace_substring_regex(lines, "([a-z0-9])([,.]) ", r"\1 \2 "), " ")
+        words = lists.values.dictionary_encode()
+        packed = self._packed(words.dictionary.to_pylist())
+        sizes = np.array([len(ids) // 4 for ids in packed], np.int64)
+        table = np.frombuffer(b"".join(packed), "<u4")
+        places = words.indices.to_numpy()
+        taken = sizes[places]
+        ends = np.concatenate(([0], np.cumsum(taken)))
+        first = (np.cumsum(sizes) - sizes)[places] - ends[:-1]
+        data = table[np.repeat(first, taken) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        return [data[low:high] for low, high in zip(cuts, cuts[1:])]
+
+    def _packed(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) >= REMEMBERED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = [known.get(word) for word in words]
+        gaps = [i for i, packed in enumerate(found) if packed is None]
+        missing = []
+        for i in gaps:
+            packed = found[i] = older.get(words[i])
+            if packed is None:
+                missing.append(i)
+        for at in range(0, len(missing), 1024):
+            places = missing[at : at + 1024]
+            some = [words[i] for i in places]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             # an id belongs to the word in which it starts
-            ends = np.cumsum([len(part) + 1 for part in some])
-            cuts = np.searchsorted(np.array([start for start, _ in found.offsets], np.int64), ends).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            plain.update(zip(some, [ids[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]))
-        for word, pair in unknown.items():
-            fresh[word] = b"".join([plain[p] if p in plain else self.known[p] for p in pair])
-        for found in (plain, fresh):
-            self.known.update((word, packed) for word, packed in found.items() if len(word) <= LONGEST_REMEMBERED)
-        return fresh
+            ends = np.cumsum([len(word) + 1 for word in some])
+            starts = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = np.searchsorted(starts, ends).tolist()
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            for i, low, high in zip(places, [0, *cuts], cuts):
+                found[i] = ids[4 * low : 4 * high]
+        known.update((words[i], found[i]) for i in gaps if len(words[i]) <= LONGEST_REMEMBERED)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -149,10 +161,7 @@ def word_ids(text: Column, path: str, end_id: int = END_ID) -> Column:
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        own, values, out = tokenizer(path), texts.fillna("").tolist(), []
-        for at in range(0, len(values), 256):
-            out += [ids + end for ids in own.encode(values[at : at + 256])]
-        return pd.Series(out, dtype=object)
+        return pd.Series([ids + end for ids in tokenizer(path).encode(texts.fillna("").tolist())], dtype=object)
 
     return encode(text)
 
