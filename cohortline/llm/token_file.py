@@ -24,6 +24,7 @@ VOCABULARY_FILE = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 1024
 SEGMENT_BLOCKS = 64
+SEGMENT_IDS = BLOCK * SEGMENT_BLOCKS
 PERCENTILE = 95
 REMEMBERED_WORDS = 300_000
 LONGEST_REMEMBERED = 48
@@ -179,8 +180,8 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     The file is a folder of shards, each a range of doc_id (null first) in order; a shard is a
     sequence of segments. A segment's payload holds blocks packed by ``pack_segment``; its
-    ``docs`` list the documents that start in it: where, counted in the shard's ids, and how
-    many ids. A document may run over any number of segments. Rows with the same doc_id are
+    ``docs`` list the documents that start in it or run into it: where they start, counted in the
+    shard's ids, and how many ids. A document may run over any number of segments. Rows with the same doc_id are
     ordered by the hash of their content. Shards come from a range partitioning, so no task holds more
     than one shard's current segment, and Spark writes them: any store that it can write works.
     """
@@ -195,7 +196,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
 
 
 def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    size = BLOCK * SEGMENT_BLOCKS
+    size = SEGMENT_IDS
     shard, segment, total = 0, 0, 0
     waiting, held, docs = [], 0, []
 
@@ -215,60 +216,75 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 joined = np.concatenate(waiting)
                 for at in range(0, held - size + 1, size):
                     yield row(joined[at : at + size])
-                    segment, docs = segment + 1, []
+                    segment += 1
+                    docs = [doc for doc in docs[-1:] if doc["first"] + doc["ids"] > segment * size]
                 waiting = [joined[held - held % size :]]
                 held %= size
     if held or docs:
         yield row(np.concatenate(waiting))
 
 
-READ_SCHEMA = "shard int, doc_id long, first long, n_tokens long, ids binary"
+READ_SCHEMA = "shard int, doc_id long, first long, n_tokens long, segment int, ids binary"
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of a token file; start counts the ids of all documents before.
 
-    Shards are read side by side, each segment by segment; a task keeps only the ids of
-    documents that it has not yet completed.
+    Segments are read wherever they lie, each by itself. Only the parts of documents that run
+    over a segment's end, found through the block index, are shuffled and put together.
     """
     stored = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = stored.groupBy("shard").agg(F.sum("segment_ids").alias("n"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row per shard
-    offsets = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stored.repartition(shards, "shard").sortWithinPartitions("shard", "segment")
-    read = ordered.mapInPandas(_documents, READ_SCHEMA)
+    offsets = F.broadcast(sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    segments = stored.select("shard", "segment", "segment_ids", "payload", "docs")
+    whole = segments.mapInPandas(_documents, READ_SCHEMA)
+    end = (F.col("segment").cast("long") + 1) * SEGMENT_IDS
+    runs_over = F.exists("docs", lambda doc: (doc["first"] < end - SEGMENT_IDS) | (doc["first"] + doc["ids"] > end))
+    parts = segments.where(runs_over).mapInPandas(_parts, READ_SCHEMA)
+    joined = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("segment", "ids"))),
+        F.lit(b""),
+        lambda ids, part: F.concat(ids, part["ids"]),
+    )
+    joined = parts.groupBy("shard", "doc_id", "first", "n_tokens").agg(joined.alias("ids"))
+    read = whole.drop("segment").unionByName(joined)
     return read.join(offsets, "shard").select(
         "doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids"
     )
 
 
+def _read(payloads: Iterator[pd.DataFrame], parts: bool) -> Iterator[pd.DataFrame]:
+    """The documents that lie within a segment, or the parts of those that do not."""
+    for batch in payloads:
+        rows = zip(batch["shard"], batch["segment"], batch["segment_ids"], batch["payload"], batch["docs"])
+        for shard, segment, held, payload, docs in rows:
+            begin = segment * SEGMENT_IDS
+            places = [(doc, doc["first"] - begin, doc["first"] - begin + doc["ids"]) for doc in docs]
+            found = [(doc, max(low, 0), min(high, held)) for doc, low, high in places if (low < 0 or high > held) == parts]
+            if not found:
+                continue
+            first_block, last_block = found[0][1] // BLOCK, -(-found[-1][2] // BLOCK)
+            ids = unpack_segment(payload, first_block, last_block)
+            at = first_block * BLOCK
+            yield pd.DataFrame(
+                {
+                    "shard": [shard] * len(found),
+                    "doc_id": pd.array([doc["doc_id"] for doc, _, _ in found], "Int64"),
+                    "first": [doc["first"] for doc, _, _ in found],
+                    "n_tokens": [doc["ids"] for doc, _, _ in found],
+                    "segment": [segment] * len(found),
+                    "ids": [ids[low - at : high - at].tobytes() for _, low, high in found],
+                }
+            )
+
+
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shard, held, begin, open_docs = None, np.empty(0, np.uint32), 0, []
-    for batch in batches:
-        for at, payload, docs in zip(batch["shard"], batch["payload"], batch["docs"]):
-            if at != shard:
-                shard, held, begin, open_docs = at, np.empty(0, np.uint32), 0, []
-            held = np.concatenate((held, unpack_segment(payload)))
-            open_docs += list(docs)
-            done = []
-            for doc in open_docs:
-                if doc["first"] + doc["ids"] > begin + len(held):
-                    break
-                done.append(doc)
-            if done:
-                open_docs = open_docs[len(done) :]
-                yield pd.DataFrame(
-                    {
-                        "shard": [shard] * len(done),
-                        "doc_id": pd.array([d["doc_id"] for d in done], "Int64"),
-                        "first": [d["first"] for d in done],
-                        "n_tokens": [d["ids"] for d in done],
-                        "ids": [held[d["first"] - begin : d["first"] - begin + d["ids"]].tobytes() for d in done],
-                    }
-                )
-                next_first = done[-1]["first"] + done[-1]["ids"]
-                held, begin = held[next_first - begin :], next_first
+    yield from _read(batches, parts=False)
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from _read(batches, parts=True)
 
 
 @register()
