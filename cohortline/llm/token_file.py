@@ -28,7 +28,7 @@ SEGMENT_IDS = BLOCK * SEGMENT_BLOCKS
 PERCENTILE = 95
 REMEMBERED_WORDS = 300_000
 LONGEST_REMEMBERED = 48
-SLAB = 1 << 22
+SLAB = 1 << 21
 
 HEADER = np.dtype([("ids", "<u4"), ("blocks", "<u4")])
 BLOCK_HEADER = np.dtype([("least", "<u4"), ("ids", "<u2"), ("width", "u1"), ("exceptions", "<u2")])
@@ -98,17 +98,11 @@ class WordTokenizer:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for start, end in slabs(map(len, texts), SLAB):
-            out += self._encode_slab(texts[start:end])
-        return out
+        """Ids of each text, little-endian unsigned 32-bit integers.
 
-    def _encode_slab(self, texts: list[str]) -> list[bytes]:
-        """Looks each distinct word up once and puts the ids in the order of the texts.
-
-        The vocabulary is in lower case and never joins a letter or digit with the mark after
-        it, so A-Z are lowered and marks at the end of words become words of their own.
+        Looks each distinct word up once and puts the ids in the order of the texts. The
+        vocabulary is in lower case and never joins a letter or digit with the mark after it, so
+        A-Z are lowered and marks at the end of words become words of their own.
         """
         lines = pc.ascii_lower(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
         lists = pc.split_pattern(pc.replace_substring_regex(lines, "([a-z0-9])([,.]) ", r"\1 \2 "), " ")
@@ -158,15 +152,21 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def word_ids(text: Column, path: str, end_id: int = END_ID) -> Column:
     """Ids of a text column and the end id, as binary; a null text counts as empty."""
-    end = int(end_id).to_bytes(4, "little")
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([ids + end for ids in tokenizer(path).encode(texts.fillna("").tolist())], dtype=object)
+        return pd.Series(list(_encoded(texts, path, end_id)), dtype=object)
 
     return encode(text)
 
 
+def _encoded(texts: pd.Series, path: str, end_id: int = END_ID) -> Iterator[bytes]:
+    end, values = int(end_id).to_bytes(4, "little"), texts.fillna("").tolist()
+    for low, high in slabs(map(len, values), SLAB):
+        for ids in tokenizer(path).encode(values[low:high]):
+            yield ids + end
+
+
 FILE_SCHEMA = (
     "shard int, segment int, segment_ids long, payload binary, docs array<struct<doc_id: long, first: long, ids: long>>"
 )
@@ -190,12 +190,11 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str | None = None,
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"))
     keyed = keyed.withColumn("tie", F.xxhash64("content"))
     ranged = keyed.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ids = word_ids(F.col("content"), vocabulary) if vocabulary else F.col("content")
-    ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", ids.alias("ids"))
-    ranged.mapInPandas(_segments, FILE_SCHEMA).write.parquet(path)
+    ranged = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "content")
+    ranged.mapInPandas(lambda batches: _segments(batches, vocabulary), FILE_SCHEMA).write.parquet(path)
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _segments(batches: Iterator[pd.DataFrame], vocabulary: str | None) -> Iterator[pd.DataFrame]:
     size = SEGMENT_IDS
     shard, segment, total = 0, 0, 0
     waiting, held, docs = [], 0, []
@@ -206,7 +205,8 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
     for batch in batches:
-        for shard, doc_id, data in zip(batch["shard"], batch["doc_id"], batch["ids"]):
+        contents = _encoded(batch["content"], vocabulary) if vocabulary else batch["content"]
+        for shard, doc_id, data in zip(batch["shard"], batch["doc_id"], contents):
             ids = np.frombuffer(data or b"", "<u4")
             docs.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "first": total, "ids": len(ids)})
             total += len(ids)
