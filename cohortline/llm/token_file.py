@@ -240,8 +240,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     segments = stored.select("shard", "segment", "segment_ids", "payload", "docs")
     whole = segments.mapInPandas(_documents, READ_SCHEMA)
     end = (F.col("segment").cast("long") + 1) * SEGMENT_IDS
-    runs_over = F.exists("docs", lambda doc: (doc["first"] < end - SEGMENT_IDS) | (doc["first"] + doc["ids"] > end))
-    parts = segments.where(runs_over).mapInPandas(_parts, READ_SCHEMA)
+    cut = F.filter("docs", lambda doc: (doc["first"] < end - SEGMENT_IDS) | (doc["first"] + doc["ids"] > end))
+    parts = segments.withColumn("docs", cut).where("size(docs) > 0").mapInPandas(_parts, READ_SCHEMA)
     joined = F.aggregate(
         F.array_sort(F.collect_list(F.struct("segment", "ids"))),
         F.lit(b""),
@@ -264,9 +264,9 @@ def _read(payloads: Iterator[pd.DataFrame], parts: bool) -> Iterator[pd.DataFram
             found = [(doc, max(low, 0), min(high, held)) for doc, low, high in places if (low < 0 or high > held) == parts]
             if not found:
                 continue
-            first_block, last_block = found[0][1] // BLOCK, -(-found[-1][2] // BLOCK)
-            ids = unpack_segment(payload, first_block, last_block)
-            at = first_block * BLOCK
+            # the first and last document may be far apart where only parts are wanted
+            runs = [[piece] for piece in found] if parts else [found]
+            data = [ids for run in runs for ids in _slices(payload, [(low, high) for _, low, high in run])]
             yield pd.DataFrame(
                 {
                     "shard": [shard] * len(found),
@@ -274,11 +274,18 @@ def _read(payloads: Iterator[pd.DataFrame], parts: bool) -> Iterator[pd.DataFram
                     "first": [doc["first"] for doc, _, _ in found],
                     "n_tokens": [doc["ids"] for doc, _, _ in found],
                     "segment": [segment] * len(found),
-                    "ids": [ids[low - at : high - at].tobytes() for _, low, high in found],
+                    "ids": data,
                 }
             )
 
 
+def _slices(payload: bytes, places: list[tuple[int, int]]) -> list[bytes]:
+    """Ids between ascending places of a segment; only the blocks from the first to the last are decoded."""
+    first_block = places[0][0] // BLOCK
+    ids, at = unpack_segment(payload, first_block, -(-places[-1][1] // BLOCK)), first_block * BLOCK
+    return [ids[low - at : high - at].tobytes() for low, high in places]
+
+
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _read(batches, parts=False)
 
