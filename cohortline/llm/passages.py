@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, table, word_bounds, written
+from cohortline.llm.common import SliceHash, slabs, table, word_bounds, written
 from cohortline.llm.components import components
+from cohortline.llm.minhash import SHINGLE_WORDS, SIMILARITY, band_keys, linked, shingle_runs
 from cohortline.llm.registry import register
 
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-TARGET_RECALL = 0.995
 LEAST_WORDS = 25
 WINDOW_WORDS = 32
 ANCHOR_WORDS = 4
@@ -23,43 +23,37 @@ ANCHOR_SPAN = 18
 SLAB = 1 << 20
 
 
-def tuned_bands(similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, most_rows: int = 5) -> tuple[int, int]:
-    """Bands and rows: the most rows a band may have, and as few bands as reach the target recall.
-
-    Paragraphs of Jaccard similarity s share a band of r minima with probability s**r.
-    """
-    chance = similarity**most_rows
-    return int(np.ceil(np.log(1 - target_recall) / np.log(1 - chance))), most_rows
+def paragraphs_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The words of a text, and first and end word of its lines."""
+    words: list[bytes] = []
+    lines = []
+    for line in text.split("\n"):
+        found = line.lower().encode().split()
+        if found:
+            lines.append((len(words), len(words) + len(found)))
+            words += found
+    return words, lines
 
 
-def _parsed(texts: list[str], least_words: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Paragraphs (lines of enough words) with band keys and shingles, and windows of words.
+def _parsed(
+    texts: list[str], least_words: int, keys: bool = True, shingles: bool = True
+) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Paragraphs of enough words with band keys and shingles (none below five words), and windows of words.
 
     A window starts at an anchor: the word whose four-word hash is the least among any
     ``ANCHOR_SPAN`` neighbouring ones. Anchors depend on the words around them alone, so a
-    passage of 50 words or more holds the same whole window wherever it stands.
+    passage of 52 words or more holds the same whole window wherever it stands.
     """
-    bands, rows = tuned_bands()
-    lines, windows = [], []
-    factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
+    row, first, end, joined, windows = [], [], [], [], []
     for number, text in enumerate(texts):
-        first = 0
-        for line in text.split("\n"):
-            words = line.lower().encode().split()
-            count = len(words)
-            if count >= least_words:
-                data = np.frombuffer(b" ".join(words), np.uint8)
-                starts, ends = word_bounds(data)
-                hashed = SliceHash(data)
-                whole = int(hashed(starts[:1], ends[-1:])[0])
-                shingles = np.unique(hashed(starts[: count - SHINGLE_WORDS + 1], ends[SHINGLE_WORDS - 1 :]))
-                minima = np.array([(shingles * f ^ (shingles * f >> np.uint64(32))).min() for f in factors])
-                powers = mix(np.arange(1, rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
-                keys = mix((minima.reshape(bands, rows) * powers).sum(1) + np.arange(bands, dtype=np.uint64) * MULTIPLIER)
-                lines.append((number, first, first + count, whole, keys.view(np.int64), shingles.view(np.int64)))
-            first += count
-        words = text.lower().encode().split()
-        if len(words) >= WINDOW_WORDS:
+        words, places = paragraphs_of(text)
+        for low, high in places:
+            if high - low >= least_words:
+                row.append(number)
+                first.append(low)
+                end.append(high)
+                joined.append(b" ".join(words[low:high]))
+        if keys and len(words) >= WINDOW_WORDS:
             data = np.frombuffer(b" ".join(words), np.uint8)
             starts, ends = word_bounds(data)
             hashed = SliceHash(data)
@@ -70,14 +64,30 @@ def _parsed(texts: list[str], least_words: int) -> tuple[pd.DataFrame, pd.DataFr
                 anchors = anchors[anchors + WINDOW_WORDS <= len(words)]
                 values = hashed(starts[anchors], ends[anchors + WINDOW_WORDS - 1])
                 windows.append((np.full(len(anchors), number), anchors, values.view(np.int64)))
-    at = [np.concatenate([np.empty(0, np.int64), *[w[i] for w in windows]]) for i in range(3)]
-    return (
-        pd.DataFrame(lines, columns=["row", "first", "end", "whole", "keys", "shingles"]),
-        pd.DataFrame({"row": at[0], "first": at[1], "value": at[2]}),
-    )
+    lines = pd.DataFrame({"row": np.array(row, np.int64), "first": np.array(first, np.int64), "end": np.array(end, np.int64)})
+    lines["whole"] = np.array([xxhash.xxh64_intdigest(words) for words in joined], np.uint64)
+    none = np.empty(0, np.int64)
+    counts = np.array(lines["end"] - lines["first"])
+    long = np.flatnonzero(counts >= SHINGLE_WORDS)
+    hashes, at = shingle_runs([joined[i] for i in long], counts[long]) if len(long) else (none, none)
+    found_keys, found_shingles = [none] * len(lines), [none] * len(lines)
+    if keys and len(long):
+        for i, found in zip(long, band_keys(hashes, at)):
+            found_keys[i] = found
+    if shingles:
+        for i, low, high in zip(long, at, [*at[1:], len(hashes)]):
+            found_shingles[i] = np.unique(hashes[low:high]).view(np.int64)
+    lines["keys"] = pd.Series(found_keys, dtype=object)
+    lines["shingles"] = pd.Series(found_shingles, dtype=object)
+    held = [np.concatenate([none, *[w[i] for w in windows]]) for i in range(3)]
+    return lines, pd.DataFrame({"row": held[0], "first": held[1], "value": held[2]})
+
+
+PARSED = "id long, body long, kind string, first int, end int, value long, keys array<long>"
 
 
-PARSED = "id long, kind string, first int, end int, value long, keys array<long>, shingles array<long>"
+def _signed(values: pd.Series) -> np.ndarray:
+    return np.array(values.tolist(), np.uint64).view(np.int64)
 
 
 def _parse(least_words: int):
@@ -85,69 +95,72 @@ def _parse(least_words: int):
         for batch in batches:
             texts, ids = batch["text"].tolist(), batch["id"].to_numpy()
             for start, stop in slabs(map(len, texts), SLAB):
-                lines, windows = _parsed(texts[start:stop], least_words)
+                bodies = np.array([xxhash.xxh64_intdigest(t) for t in texts[start:stop]], np.uint64).view(np.int64)
+                lines, windows = _parsed(texts[start:stop], least_words, shingles=False)
                 if len(lines):
                     yield pd.DataFrame(
                         {
                             "id": ids[start:stop][lines["row"]],
+                            "body": bodies[lines["row"]],
                             "kind": "paragraph",
                             "first": lines["first"],
                             "end": lines["end"],
-                            "value": np.array(lines["whole"].tolist(), np.uint64).view(np.int64),
+                            "value": _signed(lines["whole"]),
                             "keys": lines["keys"],
-                            "shingles": lines["shingles"],
                         }
                     )
                 if len(windows):
                     yield pd.DataFrame(
                         {
                             "id": ids[start:stop][windows["row"]],
+                            "body": bodies[windows["row"]],
                             "kind": "window",
                             "first": windows["first"],
                             "end": windows["first"] + WINDOW_WORDS,
                             "value": windows["value"],
                             "keys": None,
-                            "shingles": None,
                         }
                     )
 
     return parse
 
 
+def _shingles(least_words: int):
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for start, stop in slabs(map(len, texts), SLAB):
+                lines, _ = _parsed(texts[start:stop], max(least_words, SHINGLE_WORDS), keys=False)
+                if len(lines):
+                    yield pd.DataFrame({"value": _signed(lines["whole"]), "shingles": lines["shingles"]})
+
+    return shingles
+
+
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges ``a, b`` that connect distinct paragraphs (``value, keys, shingles``) of enough Jaccard similarity.
+    """Edges ``a, b`` that connect distinct paragraphs (``value, keys, shingles``) of enough Jaccard similarity."""
+    sets = paragraphs.select("value", "shingles")
+    return linked(paragraphs, lambda values: sets.join(values, "value", "left_semi"), similarity)
+
 
-    Paragraphs that share a band are candidates. First, every one is verified against the
-    smallest of its bucket; most of a large group of near copies is connected by these stars.
-    Only buckets that still hold several groups are joined in pairs, across groups: no bucket
-    is paired up within a group, and no candidate between groups is left out.
+def _window_links(repeated: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between repeated windows (``id, body, first, value, keeper``) of one passage.
+
+    Two windows at most their length apart are linked if their keeper is the same document and holds them at the
+    same distance too. So the keeper of a cluster holds all its windows, one after the other: passages
+    that only stand next to each other in some document have keepers, or distances, of their own.
     """
-    bands = paragraphs.select("value", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("value").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(buckets.select("key", "least"), "key"), "buckets")
-    shingles = written(
-        paragraphs.select("value", "shingles").join(members.select("value").distinct(), "value", "left_semi"), "shingles"
+    bucket = F.floor(F.col("first") / WINDOW_WORDS)
+    one = repeated.select(
+        "id", "body", F.explode(F.array(bucket, bucket + 1)).alias("stretch"), F.col("first").alias("at"), F.col("value").alias("a"), "keeper"
     )
-    stars = members.where("value <> least").select(F.col("least").alias("a"), F.col("value").alias("b")).distinct()
-    linked = written(_verified(stars, shingles, similarity), "stars")
-    groups = components(linked)
-    grouped = members.join(groups.withColumnRenamed("node", "value"), "value", "left").select(
-        "key", "value", F.coalesce("component", "value").alias("group")
+    two = repeated.select("id", "body", bucket.alias("stretch"), "first", F.col("value").alias("b"), F.col("keeper").alias("keeper_b"))
+    near = F.expr("keeper = keeper_b AND a <> b AND at < first") & (F.col("first") - F.col("at") <= WINDOW_WORDS)
+    pairs = one.join(two, ["id", "body", "stretch"]).where(near)
+    held = pairs.groupBy("a", "b", (F.col("first") - F.col("at")).alias("apart"), "keeper").agg(
+        F.min("id").alias("low"), F.max("id").alias("high")
     )
-    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    still = written(grouped.join(open_keys.select("key"), "key", "left_semi"), "open-buckets")
-    one = still.select("key", F.col("value").alias("a"), F.col("group").alias("group_a"))
-    two = still.select(F.col("key").alias("key_b"), F.col("value").alias("b"), F.col("group").alias("group_b"))
-    across = one.join(two, F.expr("key = key_b AND group_a < group_b")).select("a", "b").distinct()
-    return linked.unionByName(_verified(across, shingles, similarity))
-
-
-def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    one = shingles.select(F.col("value").alias("a"), F.col("shingles").alias("set_a"))
-    two = shingles.select(F.col("value").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return held.where("low = keeper AND low < high").select("a", "b").distinct()
 
 
 def repeated_passages(
@@ -157,41 +170,52 @@ def repeated_passages(
     least_words: int = LEAST_WORDS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``id, cluster_id, first_word, end_word, kept``: a row per document and passage that other documents share.
+    """``id, cluster_id, first_word, end_word, kept``: a row per document and contiguous span that other documents share.
 
-    A paragraph is a line of ``least_words`` words or more; paragraphs of Jaccard similarity
-    ``similarity`` over five-word shingles are linked. Passages inside longer paragraphs, which
+    Paragraphs (``paragraphs_of``) of ``least_words`` words or more are linked from a Jaccard similarity
+    ``similarity`` over five-word shingles on, shorter ones than a shingle where they are equal. Passages inside longer paragraphs, which
     no paragraph measure sees, are found as equal windows of 32 words at content-chosen places:
-    any passage of 50 words or more that stands in two documents holds one. Neighbouring
-    repeated windows of a document are linked. Clusters are the connected components; the smallest id keeps the passage
-    (``kept``); ``first_word`` to ``end_word`` spans all of the cluster's places in the document. Words are compared in
+    any passage of 52 words or more that stands in two documents holds one. Windows are linked where the
+    document that keeps them holds both in the same distance. Clusters are the connected components; the
+    smallest id keeps the passage (``kept``) and, for windows, holds all of it. Places of a cluster in a document that
+    overlap or touch are one span. Spans of different clusters may overlap: words under a kept span stay. Words are compared in
     lower case (A-Z and beyond), split at ASCII white space. Null ids and null, empty or short
-    texts have no rows; rows with the same id are one document.
+    texts have no rows; rows with the same id are one document, spans count the words of each row's text.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parsed = written(rows.where("id IS NOT NULL").mapInPandas(_parse(least_words), PARSED), "passages")
+    rows = rows.where("id IS NOT NULL")
+    parsed = written(rows.mapInPandas(_parse(least_words), PARSED), "passages")
+    place = ["id", "body", "first", "end", "value"]
     lines = parsed.where("kind = 'paragraph'")
-    distinct = lines.groupBy("value").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
-    near = similar_paragraphs(distinct, similarity)
-    windows = parsed.where("kind = 'window'").select("id", "first", "end", "value")
-    shared = windows.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    repeated = written(windows.join(shared.select("value"), "value"), "repeated-windows")
-    bucket = F.floor(F.col("first") / WINDOW_WORDS)
-    # windows that overlap start in the same or in neighbouring stretches of 32 words
-    stretch = repeated.select("id", "value", F.explode(F.array(bucket, bucket + 1)).alias("stretch"))
-    chained = stretch.groupBy("id", "stretch").agg(F.collect_set("value").alias("values"))
-    chains = chained.select(F.explode("values").alias("a"), F.array_min("values").alias("b")).where("a <> b").distinct()
-    edges = written(near.select("a", "b").unionByName(chains), "passage-links")
-    groups = components(edges)
-    places = lines.select("id", "first", "end", "value").unionByName(repeated.select("id", "first", "end", "value"))
-    clustered = places.join(groups.withColumnRenamed("node", "value"), "value", "left").select(
-        "id", "first", "end", F.coalesce("component", "value").alias("cluster_id")
-    )
-    spans = clustered.groupBy("cluster_id", "id").agg(F.min("first").alias("first_word"), F.max("end").alias("end_word"))
-    across = spans.groupBy("cluster_id").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    return spans.join(across.select("cluster_id", "keeper"), "cluster_id").select(
-        "id", "cluster_id", "first_word", "end_word", (F.col("id") == F.col("keeper")).alias("kept")
+    distinct = written(lines.groupBy("value").agg(F.first("keys").alias("keys")), "paragraphs")
+
+    def shingles_of(values: DataFrame) -> DataFrame:
+        found = rows.mapInPandas(_shingles(least_words), "value long, shingles array<long>")
+        return found.join(values, "value", "left_semi").groupBy("value").agg(F.first("shingles").alias("shingles"))
+
+    near = linked(distinct, shingles_of, similarity)
+    windows = parsed.where("kind = 'window'").select(place)
+    shared = windows.groupBy("value").agg(F.min("id").alias("keeper"), F.max("id").alias("high")).where("keeper < high")
+    repeated = written(windows.join(shared.select("value", "keeper"), "value").distinct(), "repeated-windows")
+    edges = written(near.select("a", "b").unionByName(_window_links(repeated)), "passage-links")
+    groups = written(components(edges), "passage-groups").withColumnRenamed("node", "value")
+    # a cluster of several paragraphs, or one paragraph that stands in several documents
+    held = lines.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    named = held.join(groups, "value", "left").select("value", "low", "high", F.coalesce("component", "value").alias("cluster_id"))
+    keepers = named.groupBy("cluster_id").agg(F.min("low").alias("keeper"), F.max("high").alias("last")).where("keeper < last")
+    kept_values = written(named.join(keepers, "cluster_id").select("value", "cluster_id", "keeper"), "paragraph-clusters")
+    places = lines.select(place).join(kept_values, "value").distinct().unionByName(
+        repeated.join(groups, "value", "left").select(
+            *place, F.coalesce("component", "value").alias("cluster_id"), "keeper"
+        )
     )
+    inside = W.partitionBy("cluster_id", "id", "body").orderBy("first", "end")
+    before = F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    begins = places.withColumn("begins", (before.isNull() | (F.col("first") > before)).cast("int"))
+    spans = begins.withColumn("span", F.sum("begins").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return spans.groupBy("cluster_id", "id", "body", "span", "keeper").agg(
+        F.min("first").alias("first_word"), F.max("end").alias("end_word")
+    ).select("id", "cluster_id", "first_word", "end_word", (F.col("id") == F.col("keeper")).alias("kept"))
 
 
 @register()
