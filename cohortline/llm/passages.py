@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,23 +17,42 @@ from cohortline.llm.components import components
 from cohortline.llm.minhash import SHINGLE_WORDS, SIMILARITY, band_keys, linked, shingle_runs
 from cohortline.llm.registry import register
 
-LEAST_WORDS = 25
+LEAST_WORDS = SHINGLE_WORDS
 WINDOW_WORDS = 32
 ANCHOR_WORDS = 4
 ANCHOR_SPAN = 18
 SLAB = 1 << 20
+SENTENCE_END = re.compile(r"""[.!?:…。！？]["')\]»”’*_]*$""")
 
 
 def paragraphs_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The words of a text, and first and end word of its lines."""
+    """The words of a text, and first and end word of its paragraphs.
+
+    Every line is a paragraph. So are lines joined up to a line that ends a sentence, and lines
+    joined up to a blank one where the text has blank lines: lines of wrapped text say nothing by themselves.
+    """
     words: list[bytes] = []
-    lines = []
+    lines, sentences, blocks = [], [], []
+    sentence = block = 0
+    blank = False
     for line in text.split("\n"):
         found = line.lower().encode().split()
-        if found:
-            lines.append((len(words), len(words) + len(found)))
-            words += found
-    return words, lines
+        at = len(words)
+        if not found:
+            blank = blank or 0 < at
+            sentences.append((sentence, at))
+            blocks.append((block, at))
+            sentence = block = at
+            continue
+        words += found
+        lines.append((at, len(words)))
+        if SENTENCE_END.search(line.rstrip()):
+            sentences.append((sentence, len(words)))
+            sentence = len(words)
+    sentences.append((sentence, len(words)))
+    blocks.append((block, len(words)))
+    places = {*lines, *sentences, *(blocks if blank else [])}
+    return words, sorted(place for place in places if place[0] < place[1])
 
 
 def _parsed(
@@ -220,5 +240,5 @@ def repeated_passages(
 
 @register()
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that documents share."""
-    return repeated_passages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Passages that documents share; also lines of fewer words than a shingle, where they are equal."""
+    return repeated_passages(table(spark, sf_dir, "documents"), least_words=1).withColumnRenamed("id", "doc_id")

@@ -34,3 +34,41 @@ def test_every_neighbouring_passage_keeps_a_copy(documents):
         assert dropped == set(others)
     assert sum(" ".join(a.split()[20:70]) in s for s in spans[7, False]) == 2
 
+
+def test_short_and_wrapped_paragraphs_match_brute_force(documents):
+    rng = np.random.default_rng(22)
+    short = prose(rng, 24)
+    long = prose(rng, 150).split()
+    edited = list(long)
+    for at in (37, 75, 112):
+        edited[at] = "changed"
+    texts = {
+        1: prose(rng, 30) + ".\n" + short + ".\n" + prose(rng, 30) + ".",
+        2: prose(rng, 30) + ".\n" + short.replace(short.split()[0], "changed") + ".\n" + prose(rng, 30) + ".",
+        3: prose(rng, 30) + "\n\n" + wrapped(" ".join(long), 12) + "\n\n" + prose(rng, 20),
+        4: prose(rng, 10) + "\n\n" + wrapped(" ".join(edited), 10) + "\n\n" + prose(rng, 25),
+        5: "Six words that stand alone here.\n" + prose(rng, 40),
+        6: prose(rng, 40) + ".\nSix words that stand alone here.",
+        7: "Two words.\n" + prose(rng, 30) + ".",
+        8: prose(rng, 30) + ".\nTwo words.",
+    }
+    rows = [(i, t, "a") for i, t in texts.items()]
+    sets = {}
+    for i, text in texts.items():
+        words, places = passages.paragraphs_of(text)
+        for low, high in places:
+            some = words[low:high]
+            sets[i, low, high] = {tuple(some[k : k + 5]) for k in range(len(some) - 4)} or {tuple(some)}
+    wanted = {
+        place for place, own in sets.items() for other, theirs in sets.items()
+        if place[0] != other[0] and len(own & theirs) >= 0.8 * len(own | theirs)
+    }
+    assert {i for i, _, _ in wanted} == set(range(1, 9))
+    for least in (1, 5):
+        got = passages.repeated_passages(documents(rows), least_words=least).collect()
+        places = {p for p in wanted if p[2] - p[1] >= least}
+        found = {(r["id"], r["first_word"], r["end_word"]) for r in got}
+        assert places <= found
+        # a run between two edits may hold a window
+        assert all(any(i == p[0] and p[1] <= low < high <= p[2] for p in places) for i, low, high in found - places)
+        assert {r["id"] for r in got if r["kept"]} == ({1, 3, 5, 7} if least == 1 else {1, 3, 5})
