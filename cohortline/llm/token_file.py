@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -88,17 +89,29 @@ class WordTokenizer:
     """The ids of a vocabulary of the tokenizers library, words remembered.
 
     The vocabulary drops white space and merges within words only, so a text's ids are those
-    of the words between its spaces and line breaks, one after the other.
+    of the words between its spaces and line breaks, one after the other. As in the library, special
+    tokens are found by their exact strings before anything else, whatever stands next to them.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # exact ones are cut out before; lowering may make others
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {token.content: np.array([i], "<u4").tobytes() for i, token in added.items()}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit integers.
+        """Ids of each text, little-endian unsigned 32-bit integers."""
+        pieces = [self.cut.split(text) if any(name in text for name in self.special) else [text] for text in texts]
+        found = iter(self._ordinary([piece for cut in pieces for piece in cut[::2]]))
+        # ordinary text and special tokens take turns
+        return [b"".join(self.special[piece] if i % 2 else next(found) for i, piece in enumerate(cut)) for cut in pieces]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens.
 
         Looks each distinct word up once and puts the ids in the order of the texts. The
         vocabulary is in lower case and never joins a letter or digit with the mark after it, so
