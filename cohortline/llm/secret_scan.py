@@ -12,6 +12,8 @@ from cohortline.llm.registry import register
 
 #: More owners than this make a value a widely copied example.
 MOST_OWNERS = 2
+#: So do more repositories for each of its owners.
+MOST_REPOSITORIES = 10
 PLACEHOLDER = "<secret>"
 
 
@@ -93,12 +95,15 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", o
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
 
 
-def judged(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def judged(
+    found: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES
+) -> DataFrame:
     """``row, judged`` for rows with candidates: spans with ``owners``, ``repositories`` and ``live``.
 
     Over the whole corpus, the hash of every candidate value is counted by distinct owner and
-    by distinct repository (here: document id). A value that few owners hold looks live; one that
-    many hold is an example that people copy. Counting goes through partial aggregates, and a
+    by distinct repository (here: document id). A value looks live that few owners hold, each in few
+    repositories; one that many hold, or that stands all over one owner's repositories, is an example that
+    people copy. Counting goes through partial aggregates, and a
     hash that a third of all rows share is split in the join by adaptive execution.
     """
     spans = found.select("row", "id", "owner", F.explode("found").alias("span"))
@@ -109,7 +114,7 @@ def judged(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
         "row",
         F.struct(
             "span.start", "span.kind", "span.end", F.length("span.value").alias("size"),
-            "owners", "repositories", (F.col("owners") <= most_owners).alias("live"),
+            "owners", "repositories", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories * F.col("owners"))).alias("live"),
         ).alias("span"),
     )
     return joined.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("judged"))
