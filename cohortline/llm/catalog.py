@@ -14,6 +14,7 @@ from cohortline.llm import (  # noqa: F401
     simhash,
     token_file,
     toxicity,
+    trie,
 )
 from cohortline.llm.registry import QUERIES, SQL, Query
 
