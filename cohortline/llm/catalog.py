@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortline.llm import (  # noqa: F401
     bpe,
+    chat,
     codes,
     embeddings,
     licenses,
