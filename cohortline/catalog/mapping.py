@@ -30,6 +30,7 @@ from cohortline.catalog.panels import (
     index_rows,
     score_rows,
     wide_vaccination,
+    wide_years,
 )
 from cohortline.catalog.registry import register
 from cohortline.functions import (
@@ -63,16 +64,20 @@ from cohortline.operators.latest import latest
 from cohortline.operators.stacking import with_first_appearance
 from cohortline.plans.panels import vaccination_panel
 from cohortline.plans.tracker import (
+    PLACE_COLUMNS,
     country_curves,
     department_curves,
     department_update_day,
     newest_record,
+    snapshot_curves,
     update_label,
 )
 from cohortline.session import scratch_path
 from cohortline.sources import (
     export_schema,
+    melt_years,
     read_departments,
+    read_series,
     read_stringency,
     read_table,
     read_titled,
@@ -368,6 +373,34 @@ def wide_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return country_curves(read_wide_series(spark, path))
 
 
+@register(
+    "S1 P9 R1 U1 G5 O2",
+    f"""WITH {PLACES_SQL}
+SELECT country AS "Country", CAST(q AS VARCHAR) AS date, cnt AS "Count", rn AS "Day", nd AS "NumDays" FROM aligned""",
+)
+def snapshot_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort preparation on a folder of snapshots whose date columns are shifted, reordered and corrected.
+
+    The older files are wrong by one in the dates that a newer file has as well.
+    """
+    whole = scratch_path(spark, "whole")
+    wide_case_series(spark, sf_dir).write.parquet(whole)
+    wide = spark.read.parquet(whole)
+    dates = [c for c in wide.columns if c not in PLACE_COLUMNS]
+    cut, overlap = len(dates) // 3, max(len(dates) // 6, 1)
+    spans = [(0, cut + overlap), (cut, 2 * cut + overlap), (2 * cut, len(dates))]
+    folder = scratch_path(spark, "snapshots")
+    for at, (low, high) in enumerate(spans):
+        follows = set(dates[spans[at + 1][0] :]) if at + 1 < len(spans) else set()
+        cells = [(column(c) + (1 if c in follows else 0)).alias(c) for c in dates[low:high]]
+        ids = [column(c) for c in PLACE_COLUMNS]
+        # each file has its columns in another order, only the newest date stands last in all of them
+        file = [*ids, *cells] if at == 0 else [*ids[::-1], *cells] if at == 1 else [*cells[:1], *ids, *cells[1:]]
+        wide.select(file).write.mode("append").option("header", True).csv(folder)
+    curves = snapshot_curves(read_series(spark, folder))
+    return curves.select("Country", iso("Date").alias("date"), "Count", "Day", "NumDays")
+
+
 _SCORES_ROWS_SQL = f"""WITH {NATION_YEARS_SQL}
 SELECT {{columns}} FROM (
   SELECT n_name AS e, CASE n_name WHEN 'NATION_0' THEN 'BOL' WHEN 'NATION_1' THEN 'USA'
@@ -377,9 +410,11 @@ SELECT {{columns}} FROM (
 
 @register("S2 S5", _SCORES_ROWS_SQL.format(columns='y AS "Year", e AS "Entity", s AS "Score"'))
 def plain_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three of the columns of a CSV file, found by their header names."""
+    """Three of the columns of a CSV file that starts with a byte order mark, found by their header names."""
     path = scratch_path(spark, "plain")
-    score_rows(spark, sf_dir).drop("Index").write.option("header", True).csv(path)
+    rows = score_rows(spark, sf_dir).drop("Index")
+    marked = rows.withColumnRenamed(rows.columns[0], f"\ufeff{rows.columns[0]}")
+    marked.write.option("header", True).csv(path)
     return read_table(spark, path, "Year int, Entity string, Score double")
 
 
@@ -399,21 +434,46 @@ def titled_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vaccination panel from CSV files with a title line above the header."""
     paths = []
     for wide in wide_vaccination(spark, sf_dir):
-        names = wide.columns
-        key = names[0]
-        text = wide.select([column(c).cast("string").alias(c) for c in names])
-        one = spark.range(0, 1, 1, 1)
-        title = one.select(F.lit("Coverage report").alias(key), *[F.lit("coverage").alias(y) for y in names[1:]])
-        header = one.select([F.lit(c).alias(c) for c in names])
         path = scratch_path(spark, "titled")
-        # one file, in this order; the text has a row per place
-        parts = [part.withColumn("_at", F.lit(at)) for at, part in enumerate((title, header, text))]
-        lines = parts[0].union(parts[1]).union(parts[2]).coalesce(1).sortWithinPartitions("_at")
-        lines.drop("_at").write.csv(path)
-        paths.append((path, key))
+        write_titled(wide, path, "Coverage report")
+        paths.append((path, wide.columns[0]))
     return vaccination_panel(*[read_titled(spark, path, key) for path, key in paths])
 
 
+def write_titled(wide: DataFrame, path: str, title: str) -> None:
+    """Adds a CSV file with a title line above the header; the table has a row per place."""
+    key, *names = wide.columns
+    text = wide.select([column(c).cast("string").alias(c) for c in wide.columns])
+    one = wide.sparkSession.range(0, 1, 1, 1)
+    titles = one.select(F.lit(title).alias(key), *[F.lit("coverage").alias(y) for y in names])
+    header = one.select([F.lit(c).alias(c) for c in wide.columns])
+    # one file, in this order
+    parts = [part.withColumn("_at", F.lit(at)) for at, part in enumerate((titles, header, text))]
+    lines = parts[0].union(parts[1]).union(parts[2]).coalesce(1).sortWithinPartitions("_at")
+    lines.drop("_at").write.mode("append").csv(path)
+
+
+@register(
+    "S4 S5 R2 D12 D17 P3",
+    f"""WITH {NATION_YEARS_SQL},
+years AS (SELECT CAST(unnest(range(min(year), max(year) + 1)) AS INTEGER) AS y FROM ny)
+SELECT n.n_name AS "Region", years.y AS year, CAST(ny.n AS INTEGER) AS value
+FROM (SELECT DISTINCT n_name FROM ny) n CROSS JOIN years
+LEFT JOIN ny ON ny.n_name = n.n_name AND ny.year = years.y""",
+)
+def titled_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year columns from files with other titles, other columns in another order, and a byte order mark."""
+    whole = scratch_path(spark, "whole")
+    wide_years(spark, sf_dir).write.parquet(whole)
+    wide = spark.read.parquet(whole)
+    years = wide.columns[1:]
+    path = scratch_path(spark, "titled-folder")
+    first = F.col("Region") < "NATION_2"
+    write_titled(wide.where(first), path, "\ufeffOne report")
+    write_titled(wide.where(~first).select("Region", *[column(y) for y in years[::-1][1:]], column(years[-1])), path, "Another title")
+    return melt_years(read_titled(spark, path, "Region"), "Region", "year", "value")
+
+
 _INDEX_SQL = """SELECT n_name AS "Country", upper(n_name) AS iso3c,
        CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) AS VARCHAR) AS date,
        count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 100 / count(*) AS "StringencyIndex",

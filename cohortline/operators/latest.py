@@ -6,6 +6,8 @@ and pushed into the scan, without a driver round trip, a join or an unpartitione
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,16 @@ def latest(df: DataFrame, date: str) -> Column:
     return df.agg(F.max(column(date)).alias("latest")).scalar()
 
 
+def latest_of_series(series: DataFrame, date: str, measure: str) -> Column:
+    """Newest date of a series that is the result of an aggregate, without a second scan of its input.
+
+    The measure takes part, so the subquery needs the same partial sums as the series itself and Spark
+    runs their exchange once for both.
+    """
+    newest = F.max(F.struct(column(date).alias("date"), column(measure).alias("measure")))
+    return series.agg(newest.alias("newest")).select(F.col("newest.date").alias("latest")).scalar()
+
+
 def keep_latest(df: DataFrame, date: str) -> DataFrame:
     """Rows of the newest date."""
     return df.filter(column(date) == latest(df, date))
@@ -38,6 +50,18 @@ def value_at_latest(
     return series.groupBy(by).agg(*aggregates) if by else series.agg(*aggregates)
 
 
+def newest_snapshot(
+    series: DataFrame, ids: Sequence[str], date: str, value: str, snapshot: str | Column
+) -> DataFrame:
+    """One row per place and date out of overlapping snapshots: the value of the newest one that has the date.
+
+    A later snapshot corrects earlier ones, also by a missing value. Of equally new values the largest is kept.
+    """
+    newest = F.max(F.struct(column(snapshot).alias("at"), column(value).alias("value")))
+    found = series.groupBy(*[column(c) for c in ids], column(date)).agg(newest.alias("_newest"))
+    return found.select(*[column(c) for c in ids], column(date), F.col("_newest.value").alias(value))
+
+
 def rows_for_entity(wide: DataFrame, entity: str, name: str, date_column: str) -> DataFrame:
     """One entity's values in one date column of a wide table, a row per matching row."""
     return wide.filter(column(entity) == name).select(column(date_column).alias("value"))

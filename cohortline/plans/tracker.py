@@ -28,7 +28,7 @@ from cohortline.operators.cohort import (
 )
 from cohortline.operators.doubling import doubling_table, focal_first
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
-from cohortline.operators.latest import last_column, rows_for_entity
+from cohortline.operators.latest import last_column, latest_of_series, newest_snapshot, rows_for_entity
 from cohortline.operators.reshape import melt, melt_positions, name_at
 from cohortline.operators.series import total_by_date
 
@@ -99,6 +99,26 @@ def country_curves(
     return curves if keep_date else curves.drop("Date")
 
 
+def snapshot_curves(
+    series: DataFrame,
+    threshold: float = THRESHOLD,
+    names: Mapping[str, str] = COUNTRY_NAMES,
+    promoted: Sequence[str] = PROMOTED_PROVINCES,
+    latest: Column | None = None,
+) -> DataFrame:
+    """:func:`country_curves` with dates, from the long form of overlapping snapshots (``read_series``).
+
+    The newest snapshot that has a date gives its values; places are then added up per country. The
+    newest date of all, or ``latest``, is the one on which a country must reach the threshold.
+    """
+    dated = series.withColumns({"Date": parse_mdy("Date"), "Snapshot": parse_mdy("Snapshot")})
+    places = newest_snapshot(dated, ["Province/State", "Country/Region"], "Date", "Count", "Snapshot")
+    country = promote("Province/State", recode("Country/Region", names), promoted)
+    totals = total_by_date(places.withColumn("Country", country), "Country", "Date", "Count")
+    at = latest_of_series(totals, "Date", "Count") if latest is None else latest
+    return align_since_threshold(totals, "Country", "Date", "Count", threshold, at)
+
+
 def update_label(latest: str | Column, prefix: str = "Última fecha de actualización: ") -> Column:
     """Header text with the date as ``dd/mm/yyyy``."""
     day = latest if isinstance(latest, Column) else parse_iso(F.lit(latest))

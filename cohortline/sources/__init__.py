@@ -3,6 +3,7 @@
 from cohortline.sources.csv_files import (
     header_names,
     melt_years,
+    read_series,
     read_table,
     read_titled,
     read_wide_series,
@@ -16,6 +17,7 @@ __all__ = [
     "header_names",
     "melt_years",
     "read_departments",
+    "read_series",
     "read_stringency",
     "read_table",
     "read_titled",

@@ -5,12 +5,15 @@ from datetime import date
 
 import pytest
 
-from cohortline.functions import column
+from cohortline.functions import column, parse_mdy
+from cohortline.operators.latest import newest_snapshot
 from cohortline.plans.panels import REGION_NAME, region_codes, vaccination_panel
+from cohortline.plans.tracker import snapshot_curves
 from cohortline.session import SCRATCH_SETTING, scratch_path
 from cohortline.sources import (
     export_schema,
     read_departments,
+    read_series,
     read_stringency,
     read_table,
     read_titled,
@@ -109,6 +112,89 @@ def test_files_with_other_headers_are_an_error(spark, tmp_path):
         read_wide_series(spark, str(folder)).collect()
 
 
+def snapshots(folder):
+    folder.mkdir()
+    write(
+        folder / "day 1.csv",
+        "Province/State,Country/Region,Lat,Long,1/1/20,1/2/20\n,Alpha,1,1,5,6\nNorth,Beta,2,2,1,NA\n",
+    )
+    write(
+        folder / "day 2.csv",
+        '\ufeffLong,Country/Region,1/3/20,Province/State,1/2/20,1/4/20\n1,"Gamma, ""South""",7,,8,9\n2,Beta,3,North,2,\n\n1,Alpha,x,,16\n',
+    )
+    write(folder / "day 3.csv", "")
+    write(folder / "day 4.csv", "Country/Region,Province/State,1/5/20\nBeta,North,30\n")
+    return str(folder)
+
+
+def test_series_of_files_with_other_dates(spark, tmp_path, rows):
+    long = read_series(spark, snapshots(tmp_path / "wide"))
+    assert rows(long, "Province/State", "Country/Region", "Lat", "Long", "Date", "Count", "Snapshot") == sorted(
+        [
+            (None, "Alpha", 1.0, 1.0, "1/1/20", 5.0, "1/2/20"),
+            (None, "Alpha", 1.0, 1.0, "1/2/20", 6.0, "1/2/20"),
+            ("North", "Beta", 2.0, 2.0, "1/1/20", 1.0, "1/2/20"),
+            ("North", "Beta", 2.0, 2.0, "1/2/20", None, "1/2/20"),
+            (None, 'Gamma, "South"', None, 1.0, "1/3/20", 7.0, "1/4/20"),
+            (None, 'Gamma, "South"', None, 1.0, "1/2/20", 8.0, "1/4/20"),
+            (None, 'Gamma, "South"', None, 1.0, "1/4/20", 9.0, "1/4/20"),
+            ("North", "Beta", None, 2.0, "1/3/20", 3.0, "1/4/20"),
+            ("North", "Beta", None, 2.0, "1/2/20", 2.0, "1/4/20"),
+            ("North", "Beta", None, 2.0, "1/4/20", None, "1/4/20"),
+            (None, "Alpha", None, 1.0, "1/3/20", None, "1/4/20"),
+            (None, "Alpha", None, 1.0, "1/2/20", 16.0, "1/4/20"),
+            (None, "Alpha", None, 1.0, "1/4/20", None, "1/4/20"),
+            ("North", "Beta", None, None, "1/5/20", 30.0, "1/5/20"),
+        ],
+        key=repr,
+    )
+
+
+def test_newest_snapshot_counts(spark, tmp_path, rows):
+    long = read_series(spark, snapshots(tmp_path / "wide"))
+    found = newest_snapshot(long, ["Province/State", "Country/Region"], "Date", "Count", parse_mdy("Snapshot"))
+    got = {(r[1], r.Date): r.Count for r in found.collect()}
+    assert len(got) == 12
+    assert (got["Alpha", "1/1/20"], got["Alpha", "1/2/20"], got["Beta", "1/2/20"], got["Beta", "1/5/20"]) == (5, 16, 2, 30)
+    curves = snapshot_curves(long, threshold=1, names={}, promoted=["North"])
+    assert rows(curves.select("Country", "Count", "Day", "NumDays")) == [
+        ("North", 1.0, 1, 4), ("North", 2.0, 2, 4), ("North", 3.0, 3, 4), ("North", 30.0, 4, 4)
+    ]
+    curves.collect()
+    executed = curves._jdf.queryExecution().executedPlan().toString()
+    final = executed.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final or "ReusedQueryStage" in final, executed
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for day in range(1, 29):
+        names = [f"1/{d}/20" for d in range(day, day + 3)]
+        write(folder / f"{day}.csv", ",".join(["Country/Region", *names]) + "\nAlpha," + ",".join(str(d) for d in range(day, day + 3)) + "\n")
+    long = read_series(spark, str(folder))
+    assert long._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = newest_snapshot(long, ["Country/Region"], "Date", "Count", parse_mdy("Snapshot"))
+    assert {r.Date: r.Count for r in found.collect()} == {f"1/{d}/20": d for d in range(1, 31)}
+
+
+def test_titled_files_with_other_titles_and_columns(spark, tmp_path, rows):
+    folder = tmp_path / "titled"
+    folder.mkdir()
+    write(folder / "a.csv", "Title A,,\nCountry,2017,2016\nX,1,2\nTitle B,3,4\n")
+    write(folder / "b.csv", '\ufeff"Title B",\n2015,Country,2016,2017\n9,Y,8," 7"\nNA,Title A,abc\n\n2017,Z,2016,Country\n')
+    got = read_titled(spark, str(folder), "Country")
+    assert got.columns == ["Country", "2017", "2016", "2015"]
+    assert rows(got) == sorted(
+        [("X", 1, 2, None), ("Title B", 3, 4, None), ("Y", 7, 8, 9), ("Title A", None, None, None), ("Z", None, 2016, 2017)], key=repr
+    )
+
+
+def test_head_lines_are_left_out_where_a_file_begins_only(spark, tmp_path, rows):
+    path = write(tmp_path / "long.csv", "Title,\nCountry,2017\n" + "Country,1\nTitle,\n" * 3)
+    assert rows(read_titled(spark, path, "Country")) == sorted([("Country", 1), ("Title", None)] * 3, key=repr)
+
+
 def test_typed_export(spark, tmp_path, rows):
     names = [f.name for f in export_schema()]
     assert len(names) == 35
