@@ -22,7 +22,7 @@ from cohortline.functions import doubling_growth, thousands
 from cohortline.operators.cohort import align_since_threshold, comparison_subset, label_maximum
 from cohortline.operators.doubling import doubling_table, focal_first, interval_ends
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
-from cohortline.operators.latest import latest, value_at_latest
+from cohortline.operators.latest import latest_of_series, value_at_latest
 from cohortline.operators.overlay import axis_domain, clip_counts
 from cohortline.operators.series import running_total
 from cohortline.operators.stacking import overlay
@@ -105,7 +105,7 @@ FROM kept""",
 def cohort_nations_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with at least eight orders in the newest quarter, and their quarters of eight or more."""
     series = nation_quarters(spark, sf_dir)
-    newest = F.trunc(F.to_date(latest(table(spark, sf_dir, "orders"), "o_orderdate")), "quarter")
+    newest = latest_of_series(series, "date", "Count")
     cohort = align_since_threshold(series, "n_name", "date", "Count", 8, newest)
     return cohort.select("n_name", iso("date"), "Count", "Day", "NumDays")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortline.catalog.scope import once
 from cohortline.functions import column, recode
 from cohortline.operators.cohort import align_runs, align_since_threshold
-from cohortline.operators.latest import latest
+from cohortline.operators.latest import latest_of_series
 from cohortline.operators.reshape import spread
 from cohortline.operators.series import carry_forward, count_by_date, running_total
 
@@ -52,12 +52,11 @@ def event_totals(
 ) -> tuple[DataFrame, Column]:
     """Cumulative events per entity on the days that have any, and the last day of all.
 
-    With ``least_value`` only events of that value or more are counted.
+    With ``least_value`` only events of that value or more are counted, on all days that have any event.
     """
-    events = table(spark, sf_dir, "events")
-    counted = events if least_value is None else events.filter(F.col("value") >= least_value)
-    daily = count_by_date(counted, entity, F.to_date("ts"), "date", "Count")
-    return running_total(daily, entity, "date", "Count"), F.to_date(latest(events, "ts"))
+    wanted = None if least_value is None else F.col("value") >= least_value
+    daily = count_by_date(table(spark, sf_dir, "events"), entity, F.to_date("ts"), "date", "Count", wanted)
+    return running_total(daily, entity, "date", "Count"), latest_of_series(daily, "date", "Count")
 
 
 def event_series(
@@ -117,14 +116,16 @@ def orders_by_place(
     first_year: int | None = None,
     status: str | None = None,
 ) -> DataFrame:
-    """Orders ``n`` and their value in ``cents`` per period, nation and customer columns."""
+    """Orders ``n`` and their value in ``cents`` per period, nation and customer columns.
+
+    With a status, orders of others do not count, but a place that has no other orders stays, with 0.
+    """
     orders = table(spark, sf_dir, "orders")
-    if status is not None:
-        orders = orders.filter(F.col("o_orderstatus") == status)
+    counted = F.lit(1) if status is None else F.when(F.col("o_orderstatus") == status, 1)
     if first_year is not None:
         orders = from_year(orders, "o_orderdate", first_year)
     per_customer = orders.groupBy("o_custkey", period.alias("period")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(hundredths("o_totalprice")).alias("cents")
+        F.count(counted).alias("n"), F.coalesce(F.sum(hundredths("o_totalprice") * counted), F.lit(0)).alias("cents")
     )
     customer_columns = [c for c in places if c.startswith("c_")]
     customers = table(spark, sf_dir, "customer").select(
@@ -232,13 +233,12 @@ def wide_case_series(
     Places are nation and market segment; the segment BUILDING of the nation China plays the
     promoted province. Orders of one status play the deaths.
     """
-    orders = table(spark, sf_dir, "orders")
     headers = quarter_headers(spark, sf_dir)
     place = ["n_name", "c_mktsegment"]
     placed = orders_by_place(spark, sf_dir, quarter_start("o_orderdate"), *place, status=status)
     series = placed.select(*place, F.col("period").alias("date"), F.col("n").alias("Count"))
     cumulative = running_total(series, place, "date", "Count")
-    last_quarter = F.trunc(F.to_date(latest(orders, "o_orderdate")), "quarter")
+    last_quarter = F.trunc(F.lit(order_span(spark, sf_dir)[1]), "quarter")
     filled = carry_forward(cumulative, place, "date", last_quarter, months=3)
     named = filled.select(
         *place,

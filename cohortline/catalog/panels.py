@@ -45,7 +45,7 @@ from cohortline.operators.benchmark import (
     with_group_total,
 )
 from cohortline.operators.latest import drop_latest, keep_latest
-from cohortline.operators.reshape import explode_records, spread
+from cohortline.operators.reshape import explode_records, found_levels, level_map, spread
 from cohortline.operators.stacking import bind_rows, with_total_level
 from cohortline.plans.panels import (
     education_panel,
@@ -59,9 +59,6 @@ from cohortline.plans.stringency import joined_overlay
 from cohortline.plans.tracker import country_curves, department_curves, newest_record
 from cohortline.sources.csv_files import melt_years
 
-STATUSES = ["F", "O", "P"]
-
-
 def year_names(spark: SparkSession, sf_dir: str) -> list[str]:
     """Year column names, newest first, as the wide yearly tables have them."""
     first, last = order_span(spark, sf_dir)
@@ -107,29 +104,28 @@ def total_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "P7 R3",
-    """WITH g AS (
-  SELECT CAST(o_orderdate AS DATE) AS d, count(*) FILTER (WHERE o_orderstatus = 'F') AS f,
-         count(*) FILTER (WHERE o_orderstatus = 'O') AS o,
-         count(*) FILTER (WHERE o_orderstatus = 'P') AS p
-  FROM orders GROUP BY 1)
-SELECT CAST(d AS VARCHAR) AS date, nullif(f, 0) AS "F", nullif(o, 0) AS "O", nullif(p, 0) AS "P",
-       nullif(f, 0) + nullif(o, 0) + nullif(p, 0) AS total
-FROM g""",
+    """WITH counts AS (
+  SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2),
+totals AS (
+  SELECT date, CASE WHEN count(*) = (SELECT count(DISTINCT o_orderstatus) FROM orders)
+                    THEN CAST(sum(n) AS BIGINT) END AS total FROM counts GROUP BY date)
+SELECT * FROM (PIVOT counts ON o_orderstatus USING max(n) GROUP BY date) JOIN totals USING (date)""",
 )
 def horizontal_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per day by status, with a total that is missing when a status is."""
+    """Orders per day with a column for each status that occurs, and a total that is missing when a status is."""
     orders = table(spark, sf_dir, "orders")
     counts = orders.groupBy(F.to_date("o_orderdate").alias("date"), "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n")
     )
-    wide = spread(counts, ["date"], "o_orderstatus", STATUSES, "n")
-    return wide.withColumn("total", horizontal_sum(STATUSES)).withColumn("date", iso("date"))
+    statuses = found_levels(orders, "o_orderstatus")
+    wide = spread(counts, ["date"], "o_orderstatus", statuses, "n")
+    return wide.withColumn("total", horizontal_sum(statuses)).withColumn("date", iso("date"))
 
 
 @register(
     "F2 O2",
     """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, count(*) AS orders
-FROM orders WHERE o_orderdate <> (SELECT max(o_orderdate) FROM orders) GROUP BY 1""",
+FROM orders WHERE CAST(o_orderdate AS DATE) <> (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) GROUP BY 1""",
 )
 def drop_latest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per day without the newest day."""
@@ -143,7 +139,7 @@ def drop_latest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "F11 A8",
     """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
-WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)""",
+WHERE CAST(o_orderdate AS DATE) = (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)""",
 )
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the newest day."""
@@ -156,20 +152,17 @@ def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "R3",
-    """SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
-       count(*) FILTER (WHERE o_orderstatus = 'F') AS "F",
-       count(*) FILTER (WHERE o_orderstatus = 'O') AS "O",
-       count(*) FILTER (WHERE o_orderstatus = 'P') AS "P"
-FROM orders GROUP BY 1""",
+    """WITH counts AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT * FROM (PIVOT counts ON o_orderstatus USING max(n) GROUP BY year)""",
 )
 def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per year with a column per status."""
-    counts = (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Orders per year with a column for each status that occurs."""
+    orders = table(spark, sf_dir, "orders")
+    counts = orders.groupBy(F.year("o_orderdate").alias("year"), "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    return spread(counts, ["year"], "o_orderstatus", STATUSES, "n")
+    return spread(counts, ["year"], "o_orderstatus", found_levels(orders, "o_orderstatus"), "n")
 
 
 @register(
@@ -217,6 +210,7 @@ def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Names of event types that play departments; any other type keeps its own.
 EVENT_TYPES = {
     "click": "Beni",
     "error": "La Paz",
@@ -233,13 +227,11 @@ def event_records(
 
     One record per row: all days never meet in one array.
     """
-    series = event_series(spark, sf_dir, "event_type", least_value)
-    wide = spread(series, ["date"], "event_type", list(EVENT_TYPES), "Count")
-    entries = [c for k in EVENT_TYPES for c in (F.lit(k), F.col(k).cast("double"))]
-    record = F.struct(
-        F.col("date").cast("string").alias("fecha"), F.create_map(*entries).alias("dep")
-    )
-    return wide.select(F.array(record).alias("records"))
+    series = event_series(spark, sf_dir, "event_type", least_value).filter(F.col("Count") > 0)
+    counts = series.withColumn("Count", F.col("Count").cast("double"))
+    days = level_map(counts, ["date"], "event_type", "Count", "dep")
+    record = F.struct(F.col("date").cast("string").alias("fecha"), "dep")
+    return days.select(F.array(record).alias("records"))
 
 
 def department_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,12 +242,15 @@ def department_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DEPARTMENTS_SQL = """
+DEPARTMENT_SQL = f"""CASE event_type {
+    " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in EVENT_TYPES.items())
+} ELSE event_type END"""
+
+DEPARTMENTS_SQL = f"""
 WITH days AS (
   SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)),
          INTERVAL 1 DAY)) AS DATE) AS d FROM events),
-types(kind, dep) AS (VALUES ('click', 'Beni'), ('error', 'La Paz'), ('purchase', 'Oruro'),
-                            ('signup', 'Pando'), ('view', 'Tarija')),
+types AS (SELECT DISTINCT event_type AS kind, {DEPARTMENT_SQL} AS dep FROM events),
 cells AS (
   SELECT d, dep, nullif((SELECT count(*) FROM events e
                          WHERE e.event_type = types.kind AND CAST(e.ts AS DATE) <= d), 0) AS n
@@ -286,9 +281,9 @@ def department_curves_json(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)),
          INTERVAL 1 DAY)) AS DATE) AS d FROM events)
 SELECT CAST(d AS VARCHAR) AS date, event_type,
-       CAST(nullif((SELECT count(*) FROM events e WHERE e.event_type = t.event_type
-                    AND CAST(e.ts AS DATE) <= d), 0) AS DOUBLE) AS "Count"
-FROM days, (SELECT DISTINCT event_type FROM events) t""",
+       CAST((SELECT count(*) FROM events e WHERE e.event_type = t.event_type
+             AND CAST(e.ts AS DATE) <= d) AS DOUBLE) AS "Count"
+FROM days, (SELECT event_type, CAST(min(ts) AS DATE) AS first FROM events GROUP BY 1) t WHERE d >= first""",
 )
 def record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records to one row per date and map entry."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortline.catalog.cohorts import doubling_cells, places_sql
 from cohortline.catalog.inputs import wide_case_series
-from cohortline.catalog.panels import EVENT_TYPES, event_records
+from cohortline.catalog.panels import DEPARTMENT_SQL, EVENT_TYPES, event_records
 from cohortline.catalog.registry import register
 from cohortline.operators.stacking import bind_rows, overlay
 from cohortline.plans.tracker import (
@@ -95,7 +95,7 @@ _TOTALS_SQL = """WITH places AS (
   WHERE n_name = 'NATION_0' GROUP BY 1)
 SELECT 'total_confirmados' AS layer, CAST(n AS DOUBLE) AS value, format('{:,}', n) AS shown FROM places
 UNION ALL
-SELECT 'total_fallecidos', CAST(f AS DOUBLE), format('{:,}', f) FROM places WHERE f > 0"""
+SELECT 'total_fallecidos', CAST(f AS DOUBLE), format('{:,}', f) FROM places"""
 
 
 @register("A10 D15 P8 P9", _TOTALS_SQL)
@@ -124,10 +124,12 @@ def tracker_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _levels_sql(name: str, condition: str) -> str:
     return f"""
+types_{name} AS (SELECT DISTINCT event_type AS kind, {DEPARTMENT_SQL} AS dep FROM events e WHERE {condition}),
+names_{name} AS (SELECT list(dep ORDER BY dep) AS names FROM (SELECT dep FROM types_{name} UNION SELECT 'Bolivia')),
 cells_{name} AS (
-  SELECT d, dep, nullif((SELECT count(*) FROM events e WHERE e.event_type = types.kind
+  SELECT d, dep, nullif((SELECT count(*) FROM events e WHERE e.event_type = t.kind
                          AND CAST(e.ts AS DATE) <= d AND {condition}), 0) AS n
-  FROM days, types),
+  FROM days, types_{name} t),
 levels_{name} AS (
   SELECT d, dep, n FROM cells_{name}
   UNION ALL SELECT d, 'Bolivia', CASE WHEN count(n) = count(*) THEN sum(n) END
@@ -142,8 +144,6 @@ levels_{name} AS (
 _DEPARTMENT_SQL = f"""WITH days AS (
   SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)),
          INTERVAL 1 DAY)) AS DATE) AS d FROM events),
-types(kind, dep) AS (VALUES ('click', 'Beni'), ('error', 'La Paz'), ('purchase', 'Oruro'),
-                            ('signup', 'Pando'), ('view', 'Tarija')),
 {_levels_sql("confirmados", "true")},
 {_levels_sql("decesos", f"e.value >= {DEATH_VALUE}")}
 """
@@ -154,17 +154,14 @@ def department_tables(spark: SparkSession, sf_dir: str, kind: str) -> dict[str,
     return {name: df for name, df in tables.items() if kind in name}
 
 
-_LEVELS = "['Beni', 'Bolivia', 'La Paz', 'Oruro', 'Pando', 'Tarija']"
-
-
 @register(
     "G6 W3 O4 O6 F2 S6",
     _DEPARTMENT_SQL
     + " UNION ALL ".join(
         f"""SELECT 'curvas_{name}' AS layer, CAST(d AS VARCHAR) AS "Fecha", dep AS "Dpto",
        cnt AS "Count", rn AS "Day", nd AS "NumDays", CASE WHEN rn = nd THEN dep END AS label,
-       CAST(7 - list_position({_LEVELS}, dep) AS BIGINT) AS "Dpto_ord"
-FROM {name}"""
+       CAST(len(names) + 1 - list_position(names, dep) AS BIGINT) AS "Dpto_ord"
+FROM {name}, names_{name}"""
         for name in ("confirmados", "decesos")
     ),
 )

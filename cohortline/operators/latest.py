@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from cohortline.functions import column
 
@@ -29,14 +30,30 @@ def latest_of_series(series: DataFrame, date: str, measure: str) -> Column:
     return series.agg(newest.alias("newest")).select(F.col("newest.date").alias("latest")).scalar()
 
 
+def levels_of_series(series: DataFrame, label: str, measure: str) -> Column:
+    """The labels of a series that is the result of an aggregate, sorted; computed as in :func:`latest_of_series`."""
+    found = F.collect_set(F.struct(column(label).alias("label"), column(measure).isNull().alias("missing")))
+    names = series.where(column(label).isNotNull()).agg(found.alias("found"))
+    return names.select(F.array_sort(F.array_distinct(F.col("found.label")))).scalar()
+
+
+def newest_day_starts(df: DataFrame, time: str) -> Column:
+    """Midnight of the newest day of a time column, in the column's own type: a bound that the scan can use."""
+    return F.to_date(latest(df, time)).cast(df.schema[time].dataType)
+
+
 def keep_latest(df: DataFrame, date: str) -> DataFrame:
-    """Rows of the newest date."""
-    return df.filter(column(date) == latest(df, date))
+    """Rows of the newest date; of a time column, those of the newest day."""
+    return df.filter(column(date) >= newest_day_starts(df, date) if _has_time(df, date) else column(date) == latest(df, date))
 
 
 def drop_latest(df: DataFrame, date: str) -> DataFrame:
-    """All rows but those of the newest date."""
-    return df.filter(column(date) != latest(df, date))
+    """All rows but those of the newest date; of a time column, but those of the newest day."""
+    return df.filter(column(date) < newest_day_starts(df, date) if _has_time(df, date) else column(date) != latest(df, date))
+
+
+def _has_time(df: DataFrame, date: str) -> bool:
+    return isinstance(df.schema[date].dataType, (TimestampType, TimestampNTZType))
 
 
 def value_at_latest(

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortline.functions import column
 
+#: Columns that a reshape may make of levels it finds.
+MOST_LEVELS = 10_000
+
 
 def melt(
     df: DataFrame,
@@ -51,17 +54,43 @@ def name_at(position: str | Column, names: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), column(position) + 1)
 
 
+def found_levels(df: DataFrame, key: str, most: int = MOST_LEVELS) -> list:
+    """The levels that occur, in ascending order; more than ``most`` are an error, as each becomes a column.
+
+    Reads one column of the table. Missing keys are no level.
+    """
+    present = df.select(column(key).alias("level")).where("level IS NOT NULL").distinct()
+    levels = [r["level"] for r in present.limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{key} has more than {most} levels: use level_map")
+    return sorted(levels)
+
+
 def spread(
-    df: DataFrame, ids: Sequence[str], key: str, levels: Sequence[str], value: str
+    df: DataFrame, ids: Sequence[str], key: str, levels: Sequence[str] | None, value: str
 ) -> DataFrame:
     """Long to wide with one column per level; a missing cell is null.
 
-    The levels are given rather than discovered, which saves a pass over the data.
-    Of several values in one cell the largest is kept, whatever their order.
+    ``levels`` are all levels there can be, or a choice of them; None stands for those that occur, for
+    which ``df`` is read once more (:func:`found_levels` of its input is cheaper). Of several values in one cell the largest is kept,
+    whatever their order.
     """
+    if levels is None:
+        levels = found_levels(df, key)
     return df.groupBy(*ids).pivot(key, list(levels)).agg(F.max(column(value)))
 
 
+def level_map(df: DataFrame, ids: Sequence[str], key: str, value: str, to: str) -> DataFrame:
+    """Long to one row per id with a map from each of its levels to the value.
+
+    No level has to be known or is left out; what a row does not have is not in its map. The largest of
+    several values of one cell is kept. Missing keys are no level; a map is as long as its id has levels.
+    """
+    cells = df.where(column(key).isNotNull()).groupBy(*ids, key).agg(F.max(column(value)).alias("_value"))
+    entry = F.struct(column(key).alias("key"), F.col("_value").alias("value"))
+    return cells.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(to))
+
+
 def explode_records(
     df: DataFrame, records: str, date_field: str, values_field: str, key_to: str, value_to: str
 ) -> DataFrame:

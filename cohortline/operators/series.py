@@ -21,12 +21,11 @@ def total_by_date(df: DataFrame, entity: str, date: str, measure: str) -> DataFr
 
 
 def count_by_date(
-    df: DataFrame, entity: str, date: Column, date_to: str, count_to: str
+    df: DataFrame, entity: str, date: Column, date_to: str, count_to: str, wanted: Column | None = None
 ) -> DataFrame:
-    """Number of rows per entity and date."""
-    return df.groupBy(column(entity), date.alias(date_to)).agg(
-        F.count(F.lit(1)).alias(count_to)
-    )
+    """Number of rows per entity and date; with a condition, of those that meet it, 0 where none does."""
+    counted = F.lit(1) if wanted is None else F.when(wanted, 1)
+    return df.groupBy(column(entity), date.alias(date_to)).agg(F.count(counted).alias(count_to))
 
 
 def running_total(daily: DataFrame, entity: str | list[str], date: str, measure: str) -> DataFrame:

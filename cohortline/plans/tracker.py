@@ -11,13 +11,11 @@ from cohortline.functions import (
     column,
     day_before,
     dmy,
-    horizontal_sum,
     parse_iso,
     parse_mdy,
     paste,
     promote,
     recode,
-    reversed_level_rank,
     thousands,
 )
 from cohortline.operators.cohort import (
@@ -28,8 +26,14 @@ from cohortline.operators.cohort import (
 )
 from cohortline.operators.doubling import doubling_table, focal_first
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
-from cohortline.operators.latest import last_column, latest_of_series, newest_snapshot, rows_for_entity
-from cohortline.operators.reshape import melt, melt_positions, name_at
+from cohortline.operators.latest import (
+    last_column,
+    latest_of_series,
+    levels_of_series,
+    newest_snapshot,
+    rows_for_entity,
+)
+from cohortline.operators.reshape import explode_records, melt_positions, name_at
 from cohortline.operators.series import total_by_date
 
 # Names, threshold and comparison sets of the public dashboard.
@@ -178,6 +182,38 @@ def department_update_day(latest: Column) -> Column:
     return dmy(day_before(parse_iso(latest)))
 
 
+def department_days(
+    document: DataFrame,
+    records: str = "confirmados",
+    departments: Mapping[str, str] | None = None,
+    total_name: str = FOCAL,
+) -> DataFrame:
+    """A row (Fecha, Dpto, Count) per date and department that the records hold, and their total per date.
+
+    The departments are the keys that occur, renamed where ``departments`` has a name. The total of a
+    date is null as soon as one of all these departments is missing on it. A date in several records
+    counts once, with the largest count of each department. No list of names is needed, and the table is
+    never wide, so further departments change nothing.
+    """
+    entries = explode_records(document, records, "fecha", "dep", "Dpto", "Count")
+    name = recode("Dpto", departments or {})
+    once = entries.groupBy(F.col("fecha").alias("Fecha"), name.alias("Dpto")).agg(F.max("Count").alias("Count"))
+    complete = F.size(levels_of_series(once, "Dpto", "Count"))
+    levels = F.array(
+        F.struct(F.col("Dpto"), F.lit(False).alias("whole")), F.struct(F.lit(total_name).alias("Dpto"), F.lit(True).alias("whole"))
+    )
+    doubled = once.select("Fecha", "Count", F.explode(levels).alias("level"))
+    days = doubled.groupBy("Fecha", "level").agg(F.sum("Count").alias("Count"), F.count("Count").alias("n"))
+    count = F.when(~F.col("level.whole") | (F.col("n") == complete), F.col("Count"))
+    return days.select("Fecha", "level.Dpto", count.alias("Count"))
+
+
+def curves_of_days(days: DataFrame, latest: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """Aligned curves of :func:`department_days` without the newest date."""
+    shown = days.filter(F.col("Fecha") != latest).withColumn("Fecha", parse_iso("Fecha"))
+    return align_since_threshold(shown, "Dpto", "Fecha", "Count", threshold)
+
+
 def department_curves(
     document: DataFrame,
     latest: Column,
@@ -188,22 +224,11 @@ def department_curves(
 ) -> DataFrame:
     """Aligned curves (Fecha, Dpto, Count, Day, NumDays) of departments and their total.
 
-    ``departments`` maps the keys in the records to names. The total of a date is null,
+    ``departments`` maps keys in the records to names; any other key keeps its own. The total of a date is null,
     and drops out, as soon as one department is missing. ``latest`` is left out because
-    it may repeat the day before. A date in several records counts once, with the largest
-    count of each department, so windows hold a row per date and department at most.
+    it may repeat the day before. Windows hold a row per date and department at most.
     """
-    departments = departments or {name: name for name in DEPARTMENTS}
-    names = list(departments.values())
-    record = document.select(F.explode(column(records)).alias("r"))
-    wide = record.select(
-        F.col("r.fecha").alias("Fecha"),
-        *[F.try_element_at("r.dep", F.lit(k)).alias(name) for k, name in departments.items()],
-    )
-    wide = wide.groupBy("Fecha").agg(*[F.max(column(name)).alias(name) for name in names])
-    wide = wide.filter(F.col("Fecha") != latest).withColumn(total_name, horizontal_sum(names))
-    long = melt(wide, ["Fecha"], "Dpto", "Count").withColumn("Fecha", parse_iso("Fecha"))
-    return align_since_threshold(long, "Dpto", "Fecha", "Count", threshold)
+    return curves_of_days(department_days(document, records, departments, total_name), latest, threshold)
 
 
 def department_tracker(
@@ -213,13 +238,15 @@ def department_tracker(
     threshold: float = THRESHOLD,
 ) -> dict[str, DataFrame]:
     """Every table of the department tab; deaths leave out the newest date of the cases."""
-    latest = newest_record(document, "confirmados")
-    levels = sorted([*(departments or {n: n for n in DEPARTMENTS}).values(), focal])
+    days = {records: department_days(document, records, departments, focal) for records in ("confirmados", "decesos")}
+    latest = latest_of_series(days["confirmados"], "Fecha", "Count")
     header = update_label(day_before(parse_iso(latest))).alias("header")
     tables = {"encabezado": document.sparkSession.range(1).select(header)}
-    for records in ("confirmados", "decesos"):
-        curves = department_curves(document, latest, records, departments, focal, threshold)
-        labelled = label_last_day(curves, "Dpto").withColumn("Dpto_ord", reversed_level_rank("Dpto", levels))
+    for records, series in days.items():
+        curves = curves_of_days(series, latest, threshold)
+        levels = levels_of_series(series, "Dpto", "Count")
+        rank = F.size(levels).cast("bigint") + 1 - F.array_position(levels, F.col("Dpto"))
+        labelled = label_last_day(curves, "Dpto").withColumn("Dpto_ord", rank)
         tables[f"curvas_{records}"] = labelled
         tables[f"lineas_{records}"] = growth_lines(
             curves, "Dpto", "Count", threshold, DEPARTMENT_RATES
