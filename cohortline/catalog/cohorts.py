@@ -110,8 +110,20 @@ def cohort_nations_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.select("n_name", iso("date"), "Count", "Day", "NumDays")
 
 
-def places_sql(status: str | None = None, name: str = "aligned") -> str:
+SPANISH_NAMES = {
+    "Korea, South": "Corea del Sur",
+    "US": "EEUU",
+    "Italy": "Italia",
+    "Spain": "España",
+    "Brazil": "Brasil",
+}
+
+
+def places_sql(
+    status: str | None = None, name: str = "aligned", threshold: int = 10, names: dict[str, str] = SPANISH_NAMES
+) -> str:
     """Common table expressions ending in the aligned curves of all orders or of one status."""
+    renamed = " ".join(f"WHEN country = '{old}' THEN '{new}'" for old, new in names.items())
     chosen = f"WHERE o_orderstatus = '{status}'" if status else ""
     return f"""
 quarters_{name} AS (
@@ -129,10 +141,7 @@ placed_{name} AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   {chosen}),
 named_{name} AS (
-  SELECT CASE WHEN province = 'Hong Kong' THEN 'Hong Kong'
-              WHEN country = 'Korea, South' THEN 'Corea del Sur' WHEN country = 'US' THEN 'EEUU'
-              WHEN country = 'Italy' THEN 'Italia' WHEN country = 'Spain' THEN 'España'
-              WHEN country = 'Brazil' THEN 'Brasil' ELSE country END AS country, od
+  SELECT CASE WHEN province = 'Hong Kong' THEN 'Hong Kong' {renamed} ELSE country END AS country, od
   FROM placed_{name}),
 curve_{name} AS (
   SELECT country, q, sum(n) OVER (PARTITION BY country ORDER BY q) AS cnt
@@ -144,7 +153,7 @@ curve_{name} AS (
   SELECT country, q, CAST(cnt AS DOUBLE) AS cnt,
          CAST(row_number() OVER (PARTITION BY country ORDER BY q) AS INTEGER) AS rn,
          CAST(count(*) OVER (PARTITION BY country) AS INTEGER) AS nd
-  FROM curve_{name} WHERE cnt >= 10)"""
+  FROM curve_{name} WHERE cnt >= {threshold})"""
 
 
 PLACES_SQL = places_sql()

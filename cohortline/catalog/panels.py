@@ -19,7 +19,7 @@ from cohortline.catalog.inputs import (
     table,
     wide_case_series,
 )
-from cohortline.catalog.cohorts import PLACES_SQL
+from cohortline.catalog.cohorts import PLACES_SQL, places_sql
 from cohortline.catalog.registry import register
 from cohortline.functions import (
     band_of,
@@ -45,6 +45,7 @@ from cohortline.operators.benchmark import (
     with_group_total,
 )
 from cohortline.operators.latest import drop_latest, keep_latest
+from cohortline.operators.matching import match_losses
 from cohortline.operators.reshape import explode_records, found_levels, level_map, spread
 from cohortline.operators.stacking import bind_rows, with_total_level
 from cohortline.plans.panels import (
@@ -55,7 +56,7 @@ from cohortline.plans.panels import (
     satisfaction_panel,
     vaccination_panel,
 )
-from cohortline.plans.stringency import joined_overlay
+from cohortline.plans.stringency import PRINTED_NAMES, SERIES_NAMES, SHOWN, joined_overlay, stringency_overlay
 from cohortline.plans.tracker import country_curves, department_curves, newest_record
 from cohortline.sources.csv_files import melt_years
 
@@ -654,6 +655,7 @@ v AS (
 grid AS (SELECT r."Region", y.year FROM (SELECT DISTINCT "Region" FROM v) r,
                 (SELECT DISTINCT year FROM ny) y)
 SELECT g."Region", g.year AS "Año", CAST(v.n AS INTEGER) AS value,
+       CASE WHEN g.year BETWEEN 1980 AND 2020 THEN g.year END AS drawn,
        CASE WHEN g."Region" = 'Bolivia' THEN 'Bolivia'
             WHEN g."Region" IN ('Americas', 'Mundo') THEN 'Benchmark Regiones'
             ELSE 'Benchmark Paises' END AS "RegionType",
@@ -683,6 +685,27 @@ def newest_year_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_labels(panel, "year", "mean_value", 0)
 
 
+INDEX_NAMES = {
+    "NATION_0": "Bolivia",
+    "NATION_1": "Corea del Sur",
+    "NATION_2": "EEUU",
+    "NATION_3": "Italia",
+    "NATION_5": "Brasil",
+    "NATION_6": "Ecuador",
+}
+#: The names of the index itself, which the overlay matches and prints.
+EXPORT_NAMES = INDEX_NAMES | {
+    "NATION_1": "South Korea",
+    "NATION_2": "United States",
+    "NATION_3": "Italy",
+    "NATION_5": "Brazil",
+}
+
+
+def _case(value: str, names: dict[str, str]) -> str:
+    return f"CASE {value} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())} ELSE {value} END"
+
+
 # --- joins ----------------------------------------------------------------------------
 
 
@@ -709,6 +732,22 @@ def inner_join_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("date", iso("date"))
 
 
+@register(
+    "J1 G10",
+    f"""WITH {places_sql(None, "cases", 1, {"Korea, South": "South Korea", "US": "United States"})},
+idx AS (
+  SELECT {{case}} AS country, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT country AS "Country", count(*) FILTER (cases.q IS NOT NULL AND idx.q IS NOT NULL) AS matched,
+       count(*) FILTER (idx.q IS NULL) AS only_left, count(*) FILTER (cases.q IS NULL) AS only_right
+FROM cases FULL JOIN idx USING (country, q) GROUP BY country""".replace("{case}", _case("n_name", INDEX_NAMES)),
+)
+def overlay_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the overlay's join keeps and loses on either side, by country; some names differ."""
+    curves = country_curves(wide_case_series(spark, sf_dir), 1, SERIES_NAMES, keep_date=True)
+    return match_losses(curves, index_rows(spark, sf_dir), ["Country", "Date"], "Country")
+
+
 OVERLAY_SHOWN = ["Corea del Sur", "Italia", "EEUU", "Bolivia", "Brasil", "Ecuador"]
 OVERLAY_PRINTED = {"EEUU": "Estados Unidos", "Brasil": "Brazil"}
 
@@ -755,7 +794,34 @@ def stringency_overlay_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register(
+    "G10 J1 C1 D8 F10 F12 O3 P6 F6 G5",
+    f"""WITH {places_sql(None, "cases", 1, {"Korea, South": "South Korea", "US": "United States"})},
+idx AS (
+  SELECT {_case("n_name", EXPORT_NAMES)} AS country, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q,
+         count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 100 / count(*) AS urgent,
+         CAST(count(*) FILTER (WHERE o_orderstatus = 'P' AND o_totalprice > 450000) AS DOUBLE) AS large
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY 1, 2)
+SELECT {_case("country", PRINTED_NAMES)} AS "Country", CAST(q AS VARCHAR) AS date, cnt AS "Count", rn AS "Day",
+       nd AS "NumDays", large AS "ConfirmedCases",
+       round(CASE WHEN large BETWEEN 10 AND 100000 THEN log10(large) END, 6) AS count_drawn,
+       round(CASE WHEN urgent * 0.05 BETWEEN 1 AND 5 THEN urgent * 0.05 END, 6) AS index_drawn,
+       CASE WHEN rn BETWEEN 0 AND 100 THEN rn END AS day_drawn,
+       CAST(list_position([{", ".join(f"'{n}'" for n in SHOWN)}], country) AS BIGINT) AS "Country_ord"
+FROM cases JOIN idx USING (country, q) WHERE country IN ({", ".join(f"'{n}'" for n in SHOWN)})""",
+)
+def stringency_overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlay as it stands: cases since the first one, under the names that series and index have."""
+    drawn = stringency_overlay(wide_case_series(spark, sf_dir), index_rows(spark, sf_dir, EXPORT_NAMES))
+    return drawn.select(
+        "Country", iso("Date").alias("date"), "Count", "Day", "NumDays", "ConfirmedCases",
+        F.round("count_drawn", 6).alias("count_drawn"), F.round("index_drawn", 6).alias("index_drawn"),
+        "day_drawn", "Country_ord",
+    )
+
+
+def index_rows(spark: SparkSession, sf_dir: str, names: dict[str, str] = INDEX_NAMES) -> DataFrame:
     """Per nation and quarter: percentage of urgent orders and number of large pending ones."""
     urgent = F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1))
     large = F.count(F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 450000), 1))
@@ -766,14 +832,6 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    names = {
-        "NATION_0": "Bolivia",
-        "NATION_1": "Corea del Sur",
-        "NATION_2": "EEUU",
-        "NATION_3": "Italia",
-        "NATION_5": "Brasil",
-        "NATION_6": "Ecuador",
-    }
     return (
         per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "Date")

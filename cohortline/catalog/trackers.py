@@ -9,14 +9,17 @@ from cohortline.catalog.cohorts import doubling_cells, places_sql
 from cohortline.catalog.inputs import wide_case_series
 from cohortline.catalog.panels import DEPARTMENT_SQL, EVENT_TYPES, event_records
 from cohortline.catalog.registry import register
+from cohortline.operators.growth import DEPARTMENT_RATES
 from cohortline.operators.stacking import bind_rows, overlay
 from cohortline.plans.tracker import (
+    DAYS_BEYOND,
     FOCAL,
     REFERENCE_COUNTRIES,
     SOUTH_AMERICA,
     country_tracker,
     department_tracker,
 )
+from cohortline.session import scratch_path
 
 COMPARISONS = {
     "referencia": [FOCAL, *REFERENCE_COUNTRIES],
@@ -41,7 +44,9 @@ def _stacked_sql(select: str) -> str:
             listed = ", ".join(f"'{n}'" for n in names)
             parts.append(
                 select.format(
-                    rows=measure, comparison=comparison, names=listed, last=len(names) + 1
+                    rows=measure, comparison=comparison, names=listed, last=len(names) + 1,
+                    beyond=DAYS_BEYOND[comparison],
+                    upper=f"(SELECT pow(10, ceil(log10(max(cnt))) + 1) FROM {measure} WHERE country IN ({listed}))",
                 )
             )
     return f"WITH {MEASURES_SQL} " + " UNION ALL ".join(parts)
@@ -49,7 +54,8 @@ def _stacked_sql(select: str) -> str:
 
 _CURVES_SQL = """SELECT 'curvas_{rows}' AS layer, '{comparison}' AS "Comparacion", country AS "Country",
        cnt AS "Count", rn AS "Day", nd AS "NumDays", CASE WHEN rn = nd THEN country END AS label,
-       CAST({last} - list_position([{names}], country) AS BIGINT) AS "Country_ord"
+       CAST({last} - list_position([{names}], country) AS BIGINT) AS "Country_ord",
+       CASE WHEN cnt BETWEEN 10 AND {upper} THEN cnt END AS drawn
 FROM {rows} WHERE country IN ({names})"""
 
 
@@ -59,11 +65,33 @@ def country_tracker_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(tracker_tables(spark, sf_dir, "curvas_"))
 
 
+@register("K1 S8 G5 G7 W1 W2 W3 O4 F7", _stacked_sql(_CURVES_SQL))
+def stored_tracker_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same curves from series that are written once for all tables."""
+    confirmed, deaths = wide_case_series(spark, sf_dir), wide_case_series(spark, sf_dir, status="F")
+    tables = country_tracker(confirmed, deaths, store=scratch_path(spark, "series"))
+    return overlay({name: df for name, df in tables.items() if "curvas_" in name})
+
+
+_AXES_SQL = """SELECT 'ejes_{rows}' AS layer, '{comparison}' AS "Comparacion", CAST(max(nd) AS BIGINT) AS last_day,
+       CAST(max(nd) + {beyond} AS BIGINT) AS last_break, max(cnt) AS largest,
+       CAST(ceil(log10(max(cnt))) AS BIGINT) AS top_decade, pow(10, ceil(log10(max(cnt))) + 1) AS upper_limit
+FROM {rows} WHERE country IN ({names}) HAVING count(*) > 0"""
+
+
+@register("A11 A8 F12 D7", _stacked_sql(_AXES_SQL))
+def country_tracker_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the axes of every chart of the country tabs."""
+    return overlay(tracker_tables(spark, sf_dir, "ejes_"))
+
+
 _LINES_SQL = """SELECT 'lineas_{rows}' AS layer, '{comparison}' AS "Comparacion", name AS "Country",
        round_even(10 * pow(2.0, t / rate), 0) AS "Count", CAST(t + 1 AS INTEGER) AS "Day",
        CAST(m + 1 AS INTEGER) AS "NumDays",
        CASE WHEN round_even(10 * pow(2.0, t / rate), 0) = round_even(10 * pow(2.0, m / rate), 0)
-            THEN name END AS label
+            THEN name END AS label,
+       CASE WHEN round_even(10 * pow(2.0, t / rate), 0) BETWEEN 10 AND {upper}
+            THEN round_even(10 * pow(2.0, t / rate), 0) END AS drawn
 FROM (SELECT max(nd) + 10 AS m FROM {rows} WHERE country IN ({names})),
      (VALUES ('cada_dia', 1), ('cada_dos_dias', 2), ('cada_tres_dias', 3), ('cada_semana', 7),
              ('cada_mes', 30)) r(name, rate),
@@ -160,7 +188,8 @@ def department_tables(spark: SparkSession, sf_dir: str, kind: str) -> dict[str,
     + " UNION ALL ".join(
         f"""SELECT 'curvas_{name}' AS layer, CAST(d AS VARCHAR) AS "Fecha", dep AS "Dpto",
        cnt AS "Count", rn AS "Day", nd AS "NumDays", CASE WHEN rn = nd THEN dep END AS label,
-       CAST(len(names) + 1 - list_position(names, dep) AS BIGINT) AS "Dpto_ord"
+       CAST(len(names) + 1 - list_position(names, dep) AS BIGINT) AS "Dpto_ord",
+       CASE WHEN cnt BETWEEN 10 AND (SELECT pow(10, ceil(log10(max(cnt))) + 1) FROM {name}) THEN cnt END AS drawn
 FROM {name}, names_{name}"""
         for name in ("confirmados", "decesos")
     ),
@@ -175,7 +204,8 @@ def department_tracker_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     "G3 G4 O5 U4",
     _DEPARTMENT_SQL
     + " UNION ALL ".join(
-        f"""SELECT 'duplicacion_{name}' AS layer, dep AS "Dpto", {_CELLS}
+        f"""SELECT 'duplicacion_{name}' AS layer, dep AS "Dpto", {_CELLS},
+       CASE WHEN dep = 'Bolivia' THEN 1 ELSE 1 + row_number() OVER (PARTITION BY dep = 'Bolivia' ORDER BY dep) END AS "Dpto_ord"
 FROM (SELECT dep, max(nd) AS nd, {_POINTS} FROM {name} GROUP BY dep)"""
         for name in ("confirmados", "decesos")
     ),
@@ -183,3 +213,39 @@ FROM (SELECT dep, max(nd) AS nd, {_POINTS} FROM {name} GROUP BY dep)"""
 def department_tracker_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubling tables of cases and deaths per department."""
     return overlay(department_tables(spark, sf_dir, "duplicacion_"))
+
+
+@register(
+    "A11 A8 F12 D7",
+    _DEPARTMENT_SQL
+    + " UNION ALL ".join(
+        f"""SELECT 'ejes_{name}' AS layer, CAST(max(nd) AS BIGINT) AS last_day, CAST(max(nd) + 30 AS BIGINT) AS last_break,
+       max(cnt) AS largest, CAST(ceil(log10(max(cnt))) AS BIGINT) AS top_decade,
+       pow(10, ceil(log10(max(cnt))) + 1) AS upper_limit
+FROM {name}"""
+        for name in ("confirmados", "decesos")
+    ),
+)
+def department_tracker_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of the axes of both charts of the department tab."""
+    return overlay(department_tables(spark, sf_dir, "ejes_"))
+
+
+_RATES = ", ".join(f"('{name}', {rate})" for name, rate in DEPARTMENT_RATES.items())
+
+
+@register(
+    "G2 G1 J5 D16 W4 W8 F12",
+    _DEPARTMENT_SQL
+    + " UNION ALL ".join(
+        f"""SELECT 'lineas_{name}' AS layer, rates.name AS "Dpto", v AS "Count", CAST(t + 1 AS INTEGER) AS "Day",
+       CAST(m + 1 AS INTEGER) AS "NumDays", CASE WHEN v = round_even(10 * pow(2.0, m / rate), 0) THEN rates.name END AS label,
+       CASE WHEN v BETWEEN 10 AND (SELECT pow(10, ceil(log10(max(cnt))) + 1) FROM {name}) THEN v END AS drawn
+FROM (SELECT max(nd) + 10 AS m FROM {name}), (VALUES {_RATES}) rates(name, rate),
+     LATERAL (SELECT unnest(range(0, m + 1)) AS t), LATERAL (SELECT round_even(10 * pow(2.0, t / rate), 0) AS v)"""
+        for name in ("confirmados", "decesos")
+    ),
+)
+def department_tracker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth lines of the department tab, as long as its axes."""
+    return overlay(department_tables(spark, sf_dir, "lineas_"))

@@ -83,6 +83,16 @@ def doubling_table(
     return raw.select(*[printed(c) if marker in c else column(c) for c in raw.columns])
 
 
+def with_focal_order(table: DataFrame, entity: str, focal: str, to: str | None = None) -> DataFrame:
+    """Add the place of each row in the printed table: the focal entity is 1, the others follow by name.
+
+    For tables of a few named entities: their names come as one sorted array.
+    """
+    others = F.filter(F.array_sort(F.collect_set(column(entity))), lambda name: name != F.lit(focal))
+    names = table.agg(F.concat(F.array(F.lit(focal)), others).alias("names")).scalar()
+    return table.withColumn(to or f"{entity}_ord", F.array_position(names, column(entity)))
+
+
 def focal_first(table: DataFrame, entity: str, focal: str) -> DataFrame:
     """Sort with the focal entity on top and the others by name."""
     return table.orderBy(F.when(column(entity) == focal, 0).otherwise(1), column(entity))

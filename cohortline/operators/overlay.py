@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions import clip_to_domain, column, log10_ieee
 
 
-def axis_domain(aligned: DataFrame, count: str, extra_days: int = 30) -> DataFrame:
-    """One row with the ends of both axes: last day, last break, decades of the counts."""
+def axis_domain(
+    aligned: DataFrame, count: str, extra_days: int | Column = 30, by: Sequence[str] = ()
+) -> DataFrame:
+    """The ends of both axes: last day, last break, decades of the counts; a row per chart told apart by ``by``."""
     largest = F.max(column(count)).cast("double")
-    return aligned.agg(
+    beyond = extra_days if isinstance(extra_days, Column) else F.lit(extra_days)
+    return aligned.groupBy(*by).agg(
         F.max("NumDays").cast("bigint").alias("last_day"),
-        (F.max("NumDays") + extra_days).cast("bigint").alias("last_break"),
+        (F.max("NumDays") + beyond).cast("bigint").alias("last_break"),
         largest.alias("largest"),
         F.ceil(F.log10(largest)).alias("top_decade"),
         F.pow(F.lit(10.0), F.ceil(F.log10(largest)) + 1).alias("upper_limit"),
@@ -26,6 +31,18 @@ def clip_counts(df: DataFrame, count: str, aligned: DataFrame, low: float = 10)
     return df.withColumn(count, clip_to_domain(count, F.lit(float(low)), upper))
 
 
+def with_drawn(
+    df: DataFrame, count: str, axes: DataFrame, by: Sequence[str] = (), low: float = 10, to: str = "drawn"
+) -> DataFrame:
+    """Add the count as it is drawn: null outside ``[low, upper_limit]`` of its chart's axes (a row per chart)."""
+    if not by:
+        upper = axes.select("upper_limit").scalar()
+        return df.withColumn(to, clip_to_domain(count, F.lit(float(low)), upper))
+    limits = axes.select(*by, F.col("upper_limit").alias("_upper"))
+    clipped = clip_to_domain(count, F.lit(float(low)), F.col("_upper"))
+    return df.join(limits, list(by), "left").withColumn(to, clipped).drop("_upper")
+
+
 def two_scales(
     df: DataFrame,
     count: str,

@@ -57,6 +57,7 @@ GDP_LEVELS = [FOCAL, "Corea del Sur", REGION]
 VACCINATION_RULES = [("^rep.*korea", "Corea del Sur"), ("united st", "EEUU"), ("bolivia", FOCAL)]
 VACCINATION_REGIONS = ["Americas", "(WHO) Global"]
 VACCINATION_LEVELS = [FOCAL, "Corea del Sur", "EEUU", "Americas", WORLD]
+VACCINATION_YEARS = (1980, 2020)
 
 
 def any_rule(text: str | Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -216,10 +217,12 @@ def vaccination_panel(
     rules: Sequence[tuple[str, str]] = VACCINATION_RULES,
     kept_regions: Sequence[str] = VACCINATION_REGIONS,
     levels: Sequence[str] = VACCINATION_LEVELS,
+    limits: tuple[int, int] = VACCINATION_YEARS,
 ) -> DataFrame:
     """Vaccination coverage per year from two wide tables: countries and regions.
 
-    Rows are chosen before the reshape, so only the charted ones go long.
+    Rows are chosen before the reshape, so only the charted ones go long. ``drawn`` is the year within the
+    limits of the axis, null outside them.
     """
     country_key, region_key = countries.columns[0], regions.columns[0]
     chosen = countries.filter(any_rule(country_key, rules)).withColumn(
@@ -236,7 +239,7 @@ def vaccination_panel(
         "Año",
         "value",
     )
-    panel = bind_rows(by_country, by_region)
+    panel = bind_rows(by_country, by_region).withColumn("drawn", clip_to_domain("Año", *limits))
     regions_shown = [r for r in levels if r not in {label for _, label in rules}]
     return classed(panel, "Region", "RegionType", FOCAL, regions_shown, levels)
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortline.functions import (
     column,
@@ -24,7 +25,7 @@ from cohortline.operators.cohort import (
     fan_out_sets,
     label_last_day,
 )
-from cohortline.operators.doubling import doubling_table, focal_first
+from cohortline.operators.doubling import doubling_table, with_focal_order
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
 from cohortline.operators.latest import (
     last_column,
@@ -33,11 +34,15 @@ from cohortline.operators.latest import (
     newest_snapshot,
     rows_for_entity,
 )
+from cohortline.operators.overlay import axis_domain, with_drawn
 from cohortline.operators.reshape import explode_records, melt_positions, name_at
 from cohortline.operators.series import total_by_date
+from cohortline.operators.stacking import bind_rows
 
 # Names, threshold and comparison sets of the public dashboard.
 THRESHOLD = 10
+LOWEST_DRAWN = 10
+DAYS_BEYOND = {"referencia": 30, "sudamerica": 10}
 FOCAL = "Bolivia"
 PLACE_COLUMNS = ["Province/State", "Country/Region", "Lat", "Long"]
 COUNTRY_NAMES = {
@@ -123,6 +128,42 @@ def snapshot_curves(
     return align_since_threshold(totals, "Country", "Date", "Count", threshold, at)
 
 
+def long_series(wide: DataFrame) -> DataFrame:
+    """A wide series as rows (Province/State, Country/Region, Date, Count)."""
+    dates = [c for c in wide.columns if c not in PLACE_COLUMNS]
+    long = melt_positions(wide, PLACE_COLUMNS[:2], dates, "position", "Count")
+    return long.select(
+        *[column(c) for c in PLACE_COLUMNS[:2]], parse_mdy(name_at("position", dates)).alias("Date"), "Count"
+    )
+
+
+def stored_series(measures: Mapping[str, DataFrame], path: str, measure: str = "Medida") -> dict[str, DataFrame]:
+    """Wide series of several measures in long form, written once in one job, and read back.
+
+    Every table of a tracker can then be made without another scan of the inputs: a reader of one measure
+    and place skips the files and row groups of others.
+    """
+    tagged = [long_series(wide).withColumn(measure, F.lit(name)) for name, wide in measures.items()]
+    bind_rows(*tagged).write.mode("overwrite").partitionBy(measure).parquet(path)
+    spark = tagged[0].sparkSession
+    kind = StructType([*tagged[0].drop(measure).schema.fields, StructField(measure, StringType())])
+    stored = spark.read.schema(kind).parquet(path)
+    return {name: stored.filter(column(measure) == name).drop(measure) for name in measures}
+
+
+def series_curves(
+    long: DataFrame,
+    latest: Column,
+    threshold: float = THRESHOLD,
+    names: Mapping[str, str] = COUNTRY_NAMES,
+    promoted: Sequence[str] = PROMOTED_PROVINCES,
+) -> DataFrame:
+    """:func:`country_curves` with dates, from a long series with one value per place and date."""
+    country = promote("Province/State", recode("Country/Region", names), promoted)
+    totals = total_by_date(long.withColumn("Country", country), "Country", "Date", "Count")
+    return align_since_threshold(totals, "Country", "Date", "Count", threshold, latest)
+
+
 def update_label(latest: str | Column, prefix: str = "Última fecha de actualización: ") -> Column:
     """Header text with the date as ``dd/mm/yyyy``."""
     day = latest if isinstance(latest, Column) else parse_iso(F.lit(latest))
@@ -141,30 +182,46 @@ def country_tracker(
     focal: str = FOCAL,
     comparisons: Mapping[str, Sequence[str]] | None = None,
     threshold: float = THRESHOLD,
+    store: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every table of the country tabs: totals, curves, growth lines and doubling times.
+    """Every table of the country tabs: totals, curves, axes, growth lines and doubling times.
 
     The column ``Comparacion`` tells the sets of peers apart, so that one pass over the
-    curves serves all of them. Deaths are selected on the newest date of the cases. The
-    tables are separate plans: with a large input, persist it before using several.
+    curves serves all of them. Deaths are selected on the newest date of the cases. Curves and lines have
+    the count as it is ``drawn``: null outside the axis of their chart. The tables are separate plans; with
+    ``store``, a path, each input is scanned once, in one job, and all tables read what it wrote there.
     """
     if comparisons is None:
         comparisons = {"referencia": REFERENCE_COUNTRIES, "sudamerica": SOUTH_AMERICA}
     members = {name: [focal, *peers] for name, peers in comparisons.items()}
     latest = last_column(confirmed)
-    header = update_label(parse_mdy(F.lit(latest))).alias("header")
+    newest = parse_mdy(F.lit(latest))
+    header = update_label(newest).alias("header")
     tables = {"encabezado": confirmed.sparkSession.range(1).select(header)}
-    for measure, wide in (("confirmados", confirmed), ("fallecidos", deaths)):
-        curves = country_curves(wide, threshold, latest=latest)
+    inputs = {"confirmados": confirmed, "fallecidos": deaths}
+    stored = stored_series(inputs, store) if store is not None else {}
+    beyond = F.coalesce(
+        *[F.when(F.col("Comparacion") == name, days) for name, days in DAYS_BEYOND.items()], F.lit(max(DAYS_BEYOND.values()))
+    )
+    for measure, wide in inputs.items():
+        if stored:
+            long = stored[measure]
+            curves = series_curves(long, newest, threshold).drop("Date")
+            value = long.filter((column("Country/Region") == focal) & (F.col("Date") == newest))
+            total = value.select(F.col("Count").alias("value"), thousands("Count").alias("shown"))
+        else:
+            curves = country_curves(wide, threshold, latest=latest)
+            total = country_total(wide, focal, latest)
         shown = comparison_sets(curves, "Country", focal, comparisons, "Comparacion")
         times = fan_out_sets(
             doubling_table(curves, "Country", "Count"), "Country", members, "Comparacion"
         )
-        tables[f"total_{measure}"] = country_total(wide, focal, latest)
-        tables[f"curvas_{measure}"] = shown
-        tables[f"lineas_{measure}"] = growth_lines(
-            shown, "Country", "Count", threshold, COUNTRY_RATES, by=["Comparacion"]
-        )
+        axes = axis_domain(shown, "Count", F.max(beyond), by=["Comparacion"])
+        lines = growth_lines(shown, "Country", "Count", threshold, COUNTRY_RATES, by=["Comparacion"])
+        tables[f"total_{measure}"] = total
+        tables[f"curvas_{measure}"] = with_drawn(shown, "Count", axes, ["Comparacion"], LOWEST_DRAWN)
+        tables[f"ejes_{measure}"] = axes
+        tables[f"lineas_{measure}"] = with_drawn(lines, "Count", axes, ["Comparacion"], LOWEST_DRAWN)
         tables[f"duplicacion_{measure}"] = times.orderBy(
             "Comparacion", "Country"
         ).withColumnRenamed("Country", "País")
@@ -247,11 +304,11 @@ def department_tracker(
         levels = levels_of_series(series, "Dpto", "Count")
         rank = F.size(levels).cast("bigint") + 1 - F.array_position(levels, F.col("Dpto"))
         labelled = label_last_day(curves, "Dpto").withColumn("Dpto_ord", rank)
-        tables[f"curvas_{records}"] = labelled
-        tables[f"lineas_{records}"] = growth_lines(
-            curves, "Dpto", "Count", threshold, DEPARTMENT_RATES
-        )
-        tables[f"duplicacion_{records}"] = focal_first(
-            doubling_table(curves, "Dpto", "Count"), "Dpto", focal
-        )
+        axes = axis_domain(curves, "Count")
+        lines = growth_lines(curves, "Dpto", "Count", threshold, DEPARTMENT_RATES)
+        times = with_focal_order(doubling_table(curves, "Dpto", "Count"), "Dpto", focal)
+        tables[f"curvas_{records}"] = with_drawn(labelled, "Count", axes, low=LOWEST_DRAWN)
+        tables[f"ejes_{records}"] = axes
+        tables[f"lineas_{records}"] = with_drawn(lines, "Count", axes, low=LOWEST_DRAWN)
+        tables[f"duplicacion_{records}"] = times.orderBy("Dpto_ord")
     return tables

@@ -24,6 +24,7 @@ from cohortline.plans.tracker import (
     newest_record,
     update_label,
 )
+from cohortline.sources import read_wide_series
 
 IDS = "`Province/State` string, `Country/Region` string, Lat double, Long double"
 
@@ -86,7 +87,7 @@ def test_country_tracker_tables(spark, rows):
     deaths = wide(spark, [(None, "Bolivia", [0] * 7 + [10]), (None, "Brazil", range(8))], 8)
     tables = country_tracker(cases, deaths)
     assert tables["encabezado"].first()[0] == "Última fecha de actualización:  29/01/2020"
-    kinds = ("total", "curvas", "lineas", "duplicacion")
+    kinds = ("total", "curvas", "ejes", "lineas", "duplicacion")
     assert set(tables) == {
         "encabezado",
         *[f"{kind}_{measure}" for kind in kinds for measure in ("confirmados", "fallecidos")],
@@ -108,6 +109,24 @@ def test_country_tracker_tables(spark, rows):
     assert set(deaths_table.first()[1:5]) == {"Sin Cambio"}
     lines = tables["lineas_confirmados"].groupBy("Comparacion").count()
     assert rows(lines) == [("referencia", 5 * 19), ("sudamerica", 5 * 19)]
+    axes = rows(tables["ejes_confirmados"], "Comparacion", "last_day", "last_break", "largest", "upper_limit")
+    assert axes == [("referencia", 8, 38, 17.0, 1000.0), ("sudamerica", 8, 18, 17.0, 1000.0)]
+    clipped = tables["lineas_confirmados"].filter("Comparacion = 'referencia' AND Country = 'cada_dia'").orderBy("Day")
+    assert [(r.Count, r.drawn) for r in clipped.collect()][5:8] == [(320.0, 320.0), (640.0, 640.0), (1280.0, None)]
+
+
+def test_stored_series_serve_all_tables(spark, tmp_path, rows):
+    names = ",".join(["Province/State", "Country/Region", "Lat", "Long", *[f"1/{d}/20" for d in range(22, 31)]])
+    frames = []
+    for at, shift in (("cases", 10), ("deaths", 4)):
+        lines = [f"{p},{c},0,0," + ",".join(str(shift + i * k) for i in range(9)) for p, c, k in (("", "Bolivia", 2), ("x", "Bolivia", 1), ("", "Peru", 3))]
+        (tmp_path / f"{at}.csv").write_text("\n".join([names, *lines, "Hong Kong,China,0,0" + ",NA" * 9, ""]))
+        frames.append(read_wide_series(spark, str(tmp_path / f"{at}.csv")))
+    plain, stored = country_tracker(*frames), country_tracker(*frames, store=str(tmp_path / "store"))
+    assert set(plain) == set(stored)
+    for name, table in stored.items():
+        assert table.columns == plain[name].columns and rows(table) == rows(plain[name]), name
+        assert "csv" not in table._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def document(spark, confirmed, deaths):
