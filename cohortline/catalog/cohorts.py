@@ -11,6 +11,7 @@ from cohortline.catalog.inputs import (
     event_cohort,
     event_cohort_sql,
     event_runs,
+    event_series,
     iso,
     nation_cohort,
     nation_quarters,
@@ -20,11 +21,19 @@ from cohortline.catalog.inputs import (
 from cohortline.catalog.registry import register
 from cohortline.functions import doubling_growth, thousands
 from cohortline.operators.cohort import align_since_threshold, comparison_subset, label_maximum
-from cohortline.operators.doubling import doubling_table, focal_first, interval_ends
+from cohortline.operators.doubling import (
+    doubling_table,
+    focal_first,
+    interval_ends,
+    printed_table,
+    times_of_ends,
+)
 from cohortline.operators.growth import COUNTRY_RATES, DEPARTMENT_RATES, growth_lines
 from cohortline.operators.latest import latest_of_series, value_at_latest
+from cohortline.operators.long_series import align_by_span, running_total_by_span
 from cohortline.operators.overlay import axis_domain, clip_counts
-from cohortline.operators.series import running_total
+from cohortline.operators.refresh import cohort_state, refreshed_state, state_ends
+from cohortline.operators.series import count_by_date, running_total
 from cohortline.operators.stacking import overlay
 from cohortline.plans.tracker import country_curves, country_total
 
@@ -251,6 +260,37 @@ def doubling_time_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling_table(event_runs(spark, sf_dir, "user_id"), "user_id", "Count")
 
 
+@register("G5 W7 G3 G4 W1 W2", doubling_sql(USER_COHORT_SQL, "user_id"))
+def refreshed_doubling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubling times from a state of three days ago, refreshed by new days and by corrections of old ones."""
+    series = event_series(spark, sf_dir, "user_id")
+    newest = latest_of_series(series, "date", "Count")
+    old = F.col("date") <= F.date_sub(newest, 3)
+    wrong = (F.col("user_id") % 7 == 0) & (F.col("date") == F.date_sub(newest, 9))
+    before = series.filter(old).withColumn("Count", F.when(wrong, F.col("Count") - 1).otherwise(F.col("Count")))
+    state = cohort_state(before, "user_id", "date", "Count", 10)
+    changes = series.filter(~old | wrong)
+    refreshed = refreshed_state(state, changes, series, "user_id", "date", "Count", 10)
+    return printed_table(times_of_ends(state_ends(refreshed, "user_id"), "user_id"))
+
+
+@register(
+    "W1 W2 F6 O1",
+    """WITH daily AS (SELECT event_type, ts, count(*) AS n FROM events GROUP BY ALL),
+cum AS (SELECT event_type, ts, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY ts) AS BIGINT) AS cnt FROM daily)
+SELECT event_type, CAST(ts AS VARCHAR) AS moment, cnt AS "Count",
+       row_number() OVER (PARTITION BY event_type ORDER BY ts) AS "Day", count(*) OVER (PARTITION BY event_type) AS "NumDays"
+FROM cum WHERE cnt >= 10""",
+)
+def cohort_of_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types by the moment, not the day: running total and numbering in ranges of an hour."""
+    counts = count_by_date(table(spark, sf_dir, "events"), "event_type", F.col("ts"), "ts", "Count")
+    hour = F.date_trunc("hour", "ts")
+    totals = running_total_by_span(counts, "event_type", "ts", "Count", hour)
+    cohort = align_by_span(totals, "event_type", "ts", "Count", 10, hour)
+    return cohort.select("event_type", F.col("ts").cast("string").alias("moment"), "Count", "Day", "NumDays")
+
+
 @register("W7 G3 G4 C6 C7 C8 P11", doubling_sql(TYPE_COHORT_SQL, "event_type"))
 def doubling_time_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly doubling times of event types."""

@@ -54,7 +54,13 @@ def doubling_times(
     series does not reach back that far. An entity with a single row has no change in
     any interval.
     """
-    ends = interval_ends(aligned, entity, count, interval, len(headers))
+    return times_of_ends(interval_ends(aligned, entity, count, interval, len(headers)), entity, interval, headers)
+
+
+def times_of_ends(
+    ends: DataFrame, entity: str, interval: int = 7, headers: Sequence[str] = WEEK_HEADERS
+) -> DataFrame:
+    """:func:`doubling_times` from the counts at the ends of the intervals."""
     cells = []
     for k, header in enumerate(headers):
         last, first = F.col(f"end_{k}"), F.col(f"end_{k + 1}")
@@ -73,7 +79,11 @@ def doubling_table(
     marker: str = "Semana",
 ) -> DataFrame:
     """The printed form of :func:`doubling_times`: ``7 días``, ``Sin Cambio`` or ``NA``."""
-    raw = doubling_times(aligned, entity, count, interval, headers)
+    return printed_table(doubling_times(aligned, entity, count, interval, headers), marker)
+
+
+def printed_table(raw: DataFrame, marker: str = "Semana") -> DataFrame:
+    """The printed form of doubling times: cells of the columns whose name holds the marker get their unit."""
 
     def printed(name: str):
         with_unit = paste(column(name), F.lit(DAYS_TEXT))

@@ -39,7 +39,8 @@ def levels_of_series(series: DataFrame, label: str, measure: str) -> Column:
 
 def newest_day_starts(df: DataFrame, time: str) -> Column:
     """Midnight of the newest day of a time column, in the column's own type: a bound that the scan can use."""
-    return F.to_date(latest(df, time)).cast(df.schema[time].dataType)
+    midnight = F.to_date(F.max(column(time))).cast(df.schema[time].dataType)
+    return df.agg(midnight.alias("midnight")).scalar()
 
 
 def keep_latest(df: DataFrame, date: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 import sys
 from pathlib import Path
 
@@ -16,6 +17,19 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def final_plans(spark):
+    """Runs a query; the plans that ran, its subqueries' included."""
+
+    def run(df):
+        df.collect()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        text = df._jdf.queryExecution().explainString(mode)
+        return "".join(re.findall(r"== Final Plan ==(.*?)== Initial Plan ==", text, re.DOTALL))
+
+    return run
+
+
 @pytest.fixture
 def rows():
     """Rows of a frame as sorted tuples."""

@@ -1,6 +1,5 @@
 """Queries on tables with levels, places and days that no list in the code names."""
 
-import re
 import shutil
 from pathlib import Path
 
@@ -68,18 +67,10 @@ def test_the_new_levels_are_in_the_results(spark, changed):
     assert len([r for r in totals if r.layer == "total_fallecidos"]) == len([r for r in totals if r.layer == "total_confirmados"])
 
 
-def scans(spark, df):
-    """Scans that a query has run, its subqueries' included."""
-    df.collect()
-    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    text = df._jdf.queryExecution().explainString(mode)
-    return sum(plan.count("Scan ") for plan in re.findall(r"== Final Plan ==(.*?)== Initial Plan ==", text, re.DOTALL))
-
-
 @needs_data
 @pytest.mark.parametrize("name", ["doubling_time_users", "doubling_time_types", "cohort_users", "interval_ends_users"])
-def test_newest_date_costs_no_second_scan(spark, name):
-    assert scans(spark, all_queries()[name](spark, str(DATA))) == 1
+def test_newest_date_costs_no_second_scan(spark, final_plans, name):
+    assert final_plans(all_queries()[name](spark, str(DATA))).count("Scan ") == 1
 
 
 def test_level_map_and_discovered_columns(spark, rows):
