@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, word_bounds, written
@@ -16,6 +17,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.995
 SLAB = 1 << 20
+#: Members of a bucket that all others are compared with, beside the smallest.
+PIVOTS = 7
 
 
 def tuned_bands(similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, most_rows: int = 5) -> tuple[int, int]:
@@ -60,29 +63,57 @@ def linked(sets: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], simil
     """Edges ``a, b`` that connect distinct sets (``value, keys``) of enough Jaccard similarity.
 
     Sets that share a band are candidates; ``shingles_of`` gives ``value, shingles`` of the candidate
-    values. First, every one is verified against the smallest of its bucket; most of a large group of
-    near copies is connected by these stars. Only buckets that still hold several groups are joined in
-    pairs, across groups: no bucket is paired up within a group, and no candidate between groups is left
-    out.
+    values. First, every one is verified against a few pivots of its bucket, its smallest value and others by
+    hash: pairs grow with the bucket, not with its square, and a large group of near copies, which are like
+    many of the others, is connected by them. Only buckets that still hold several groups are joined
+    in pairs, across groups and only where two sets can be similar enough (``_offers``): no bucket
+    is paired up, and no pair that reaches the similarity is left out.
     """
     bands = sets.select("value", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("value").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(buckets.select("key", "least"), "key"), "buckets")
+    chosen = [F.min("value"), *[F.min_by("value", F.xxhash64("value", F.lit(i))) for i in range(PIVOTS)]]
+    buckets = bands.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots"), F.count("*").alias("n")).where("n > 1")
+    members = written(bands.join(buckets.select("key", "pivots"), "key"), "buckets")
     shingles = written(shingles_of(members.select("value").distinct()), "shingles")
-    stars = members.where("value <> least").select(F.col("least").alias("a"), F.col("value").alias("b")).distinct()
-    near = written(_verified(stars, shingles, similarity), "stars")
+    stars = members.select("value", F.explode("pivots").alias("pivot")).where("value <> pivot").select(
+        F.least("value", "pivot").alias("a"), F.greatest("value", "pivot").alias("b")
+    )
+    near = written(_verified(stars.distinct(), shingles, similarity), "stars")
     groups = components(near)
     grouped = members.join(groups.withColumnRenamed("node", "value"), "value", "left").select(
         "key", "value", F.coalesce("component", "value").alias("group")
     )
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     still = written(grouped.join(open_keys.select("key"), "key", "left_semi"), "open-buckets")
-    one = still.select("key", F.col("value").alias("a"), F.col("group").alias("group_a"))
-    two = still.select(F.col("key").alias("key_b"), F.col("value").alias("b"), F.col("group").alias("group_b"))
-    across = one.join(two, F.expr("key = key_b AND group_a < group_b")).select("a", "b").distinct()
+    offered = still.join(_offers(still.select("value").distinct(), shingles, similarity), "value")
+    one = offered.select("key", "token", F.col("value").alias("a"), F.col("group").alias("group_a"), F.col("size").alias("size_a"))
+    two = offered.select(
+        F.col("key").alias("key_b"), F.col("token").alias("token_b"), F.col("value").alias("b"),
+        F.col("group").alias("group_b"), F.col("size").alias("size_b"),
+    )
+    alike = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    same = F.expr("key = key_b AND token = token_b AND group_a < group_b")
+    across = one.join(two, same & alike).select("a", "b").distinct()
     return near.unionByName(_verified(across, shingles, similarity))
 
 
+def _offers(values: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``value, token, size``: the shingles of a set among which it shares one with every set that is similar enough.
+
+    With its shingles in an order that all sets have in common, here the rarest first, a set of n shares one of
+    its first n - ceil(similarity * n) + 1 with such a set's. Rare shingles are in few sets, so sets that
+    were put into a bucket by what very many texts have, but differ in the rest, do not meet.
+    """
+    own = shingles.join(values, "value", "left_semi")
+    tokens = own.select("value", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    found = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    ranked = tokens.join(found, "token").withColumn(
+        "rank", F.row_number().over(W.partitionBy("value").orderBy("n", "token"))
+    )
+    # a little below the similarity, so that rounding never makes a prefix too short
+    first = F.col("size") - F.ceil(F.col("size") * (similarity - 1e-9)) + 1
+    return ranked.where(F.col("rank") <= first).select("value", "token", "size")
+
+
 def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     one = shingles.select(F.col("value").alias("a"), F.col("shingles").alias("set_a"))
     two = shingles.select(F.col("value").alias("b"), F.col("shingles").alias("set_b"))

@@ -44,6 +44,53 @@ def test_near_copy_groups_match_brute_force(documents, odd_rows):
     assert {r["id"]: r["component_id"] for r in got if r["id"] is not None} == names
 
 
+def large_group(count=400, changed=12):
+    """Copies of one text with as many words changed that two of them are mostly, but not always, less alike than 0.8."""
+    rng = np.random.default_rng(5)
+    base = [f"w{n}" for n in rng.integers(0, 5000, 500)]
+    rows = []
+    for i in range(count):
+        words = list(base)
+        for at in rng.choice(500, int(rng.integers(2, changed)), replace=False):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words), "a"))
+    return rows
+
+
+def test_a_large_group_of_unlike_copies(documents):
+    rows = large_group()
+    got = {r["id"]: r["component_id"] for r in minhash.near_copy_groups(documents(rows)).collect()}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    names = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    assert 0.3 < len(pairs) / (400 * 399 / 2) < 0.99
+    for _ in names:
+        before = dict(names)
+        for a, b in pairs:
+            names[a] = names[b] = min(names[a], names[b])
+        if names == before:
+            break
+    assert got == names
+
+
+def test_offers_keep_every_similar_pair(shipped):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 40, 120)
+    sets = {}
+    for v in range(60):
+        own = set(base[rng.random(120) < rng.uniform(0.75, 1)].tolist()) | set(rng.integers(0, 1 << 40, 8).tolist())
+        sets[v] = own
+    frame = shipped.createDataFrame([(v, sorted(s)) for v, s in sets.items()], "value long, shingles array<long>")
+    offered = {}
+    for r in minhash._offers(frame.select("value"), frame, 0.8).collect():
+        assert r["size"] == len(sets[r["value"]])
+        offered.setdefault(r["value"], set()).add(r["token"])
+    alike = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    assert len(alike) > 20
+    assert all(offered[a] & offered[b] for a, b in alike)
+    assert all(len(o) < 0.25 * len(sets[v]) + 2 for v, o in offered.items())
+
+
 def test_pipeline_drops_edited_copies(documents, odd_rows, shipped):
     rows = odd_rows + near_copies()
     kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(shipped, documents(rows), "").collect()}
