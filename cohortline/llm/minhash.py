@@ -70,11 +70,12 @@ def linked(sets: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], simil
     is paired up, and no pair that reaches the similarity is left out.
     """
     bands = sets.select("value", F.explode("keys").alias("key"))
-    chosen = [F.min("value"), *[F.min_by("value", F.xxhash64("value", F.lit(i))) for i in range(PIVOTS)]]
-    buckets = bands.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots"), F.count("*").alias("n")).where("n > 1")
-    members = written(bands.join(buckets.select("key", "pivots"), "key"), "buckets")
+    met = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = written(bands.join(met, "key"), "buckets")
     shingles = written(shingles_of(members.select("value").distinct()), "shingles")
-    stars = members.select("value", F.explode("pivots").alias("pivot")).where("value <> pivot").select(
+    chosen = [F.min("value"), *[F.min_by("value", F.xxhash64("value", F.lit(i))) for i in range(PIVOTS)]]
+    pivots = members.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+    stars = members.join(pivots, "key").select("value", F.explode("pivots").alias("pivot")).where("value <> pivot").select(
         F.least("value", "pivot").alias("a"), F.greatest("value", "pivot").alias("b")
     )
     near = written(_verified(stars.distinct(), shingles, similarity), "stars")
