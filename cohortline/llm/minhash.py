@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, word_bounds, written
@@ -18,7 +18,9 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.995
 SLAB = 1 << 20
 #: Members of a bucket that all others are compared with, beside the smallest.
-PIVOTS = 7
+PIVOTS = 3
+#: Members of a bucket in one block, and shingles whose marks are held at a time.
+BLOCK, COLUMNS = 256, 4096
 
 
 def tuned_bands(similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL, most_rows: int = 5) -> tuple[int, int]:
@@ -65,9 +67,8 @@ def linked(sets: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], simil
     Sets that share a band are candidates; ``shingles_of`` gives ``value, shingles`` of the candidate
     values. First, every one is verified against a few pivots of its bucket, its smallest value and others by
     hash: pairs grow with the bucket, not with its square, and a large group of near copies, which are like
-    many of the others, is connected by them. Only buckets that still hold several groups are joined
-    in pairs, across groups and only where two sets can be similar enough (``_offers``): no bucket
-    is paired up, and no pair that reaches the similarity is left out.
+    many of the others, is connected by them. Buckets that still hold several groups are then compared
+    whole, in bounded blocks (``_blockwise``): no candidate between groups is left out.
     """
     bands = sets.select("value", F.explode("keys").alias("key"))
     met = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -85,34 +86,87 @@ def linked(sets: DataFrame, shingles_of: Callable[[DataFrame], DataFrame], simil
     )
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     still = written(grouped.join(open_keys.select("key"), "key", "left_semi"), "open-buckets")
-    offered = still.join(_offers(still.select("value").distinct(), shingles, similarity), "value")
-    one = offered.select("key", "token", F.col("value").alias("a"), F.col("group").alias("group_a"), F.col("size").alias("size_a"))
-    two = offered.select(
-        F.col("key").alias("key_b"), F.col("token").alias("token_b"), F.col("value").alias("b"),
-        F.col("group").alias("group_b"), F.col("size").alias("size_b"),
-    )
-    alike = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    same = F.expr("key = key_b AND token = token_b AND group_a < group_b")
-    across = one.join(two, same & alike).select("a", "b").distinct()
-    return near.unionByName(_verified(across, shingles, similarity))
+    return near.unionByName(_blockwise(still, shingles, similarity))
 
 
-def _offers(values: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """``value, token, size``: the shingles of a set among which it shares one with every set that is similar enough.
+def _blockwise(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Edges that connect the members (``key, value, group``) of each key across its groups.
 
-    With its shingles in an order that all sets have in common, here the rarest first, a set of n shares one of
-    its first n - ceil(similarity * n) + 1 with such a set's. Rare shingles are in few sets, so sets that
-    were put into a bucket by what very many texts have, but differ in the rest, do not meet.
+    A key's members are dealt into blocks of about ``BLOCK``, and every two blocks of it meet in one step, so what
+    a step holds is bounded however many members a key has. Common shingles are counted for all pairs at
+    once, as a product of matrices, and only a forest leaves the step: no pair becomes a row.
     """
-    own = shingles.join(values, "value", "left_semi")
-    tokens = own.select("value", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
-    found = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(found, "token").withColumn(
-        "rank", F.row_number().over(W.partitionBy("value").orderBy("n", "token"))
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("value"), F.col("blocks")).cast("int"))
+    met = dealt.join(shingles, "value").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "value", "group", "shingles"
     )
-    # a little below the similarity, so that rounding never makes a prefix too short
-    first = F.col("size") - F.ceil(F.col("size") * (similarity - 1e-9)) + 1
-    return ranked.where(F.col("rank") <= first).select("value", "token", "size")
+    step = ["key", "low", "high"]
+    together = met.repartition(*step).sortWithinPartitions(*step)
+
+    def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, groups, sets in _steps(batches):
+            one, two = _forest(values, groups, sets, similarity)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+
+    return together.mapInArrow(connected, "a long, b long").distinct()
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Values, groups and shingles of each step, from rows in the order of the steps."""
+    open_, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+        first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
+        for at, end in zip(first, [*first[1:], len(batch)]):
+            if open_ is not None and (names[at] != open_).any():
+                yield _step(held)
+                held = []
+            open_ = names[at]
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield _step(held)
+
+
+def _step(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    sets = [s for c in rows["shingles"].chunks for s in np.split(c.flatten().to_numpy(), np.cumsum(np.diff(c.offsets.to_numpy()))[:-1])]
+    return rows["value"].to_numpy(), rows["group"].to_numpy(), sets
+
+
+def _forest(
+    values: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest value of what similar pairs of different groups connect to the others."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    kept = counts[token] > 1
+    place = np.cumsum(counts > 1) - 1
+    token, owner = place[token[kept]], owner[kept]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    common = np.zeros((len(sets), len(sets)))
+    for low in range(0, token[-1] + 1 if len(token) else 0, COLUMNS):
+        some = slice(*np.searchsorted(token, [low, low + COLUMNS]))
+        marks = np.zeros((len(sets), min(COLUMNS, int(token[-1]) + 1 - low)), np.float32)
+        marks[owner[some], token[some] - low] = 1
+        common += marks @ marks.T
+    alike = common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    alike &= groups[:, None] != groups[None, :]
+    names = np.where(alike.any(1), values, np.iinfo(np.int64).max)
+    label = np.where(alike.any(1), values, 0)
+    while True:  # the smallest value along links
+        least = np.minimum(label, np.where(alike, label[None, :], np.iinfo(np.int64).max).min(1))
+        if (least == label).all():
+            break
+        label = least
+    led = (names != np.iinfo(np.int64).max) & (label != values)
+    return label[led], values[led]
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:

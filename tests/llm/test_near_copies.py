@@ -1,6 +1,7 @@
 """Near copies of the pipeline against brute-force Jaccard similarity."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from cohortline.llm import minhash
@@ -73,22 +74,30 @@ def test_a_large_group_of_unlike_copies(documents):
     assert got == names
 
 
-def test_offers_keep_every_similar_pair(shipped):
+@pytest.mark.parametrize("block", [4, 1000])
+def test_blocks_connect_what_similar_pairs_connect(shipped, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 40, 120)
+    base = rng.integers(-(1 << 40), 1 << 40, 9000)
     sets = {}
-    for v in range(60):
-        own = set(base[rng.random(120) < rng.uniform(0.75, 1)].tolist()) | set(rng.integers(0, 1 << 40, 8).tolist())
-        sets[v] = own
+    for v in range(60):  # the last few are long
+        own = base[: 120 if v < 55 else 9000]
+        sets[v - 30] = set(own[rng.random(len(own)) < rng.uniform(0.75, 1)].tolist()) | set(rng.integers(0, 1 << 40, 8).tolist())
+    members = [(key, v, v // 4) for v in sets for key in (1, 2) if key == 1 or v % 3 == 0] + [(3, 500, 1), (3, 501, 2)]
+    sets |= {500: {1}, 501: {2}}
     frame = shipped.createDataFrame([(v, sorted(s)) for v, s in sets.items()], "value long, shingles array<long>")
-    offered = {}
-    for r in minhash._offers(frame.select("value"), frame, 0.8).collect():
-        assert r["size"] == len(sets[r["value"]])
-        offered.setdefault(r["value"], set()).add(r["token"])
-    alike = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
-    assert len(alike) > 20
-    assert all(offered[a] & offered[b] for a, b in alike)
-    assert all(len(o) < 0.25 * len(sets[v]) + 2 for v, o in offered.items())
+    found = minhash._blockwise(shipped.createDataFrame(members, "key long, value long, group long"), frame, 0.8).collect()
+    across = [(a, b) for a in sets for b in sets if a < b and a // 4 != b // 4 and similarity(sets[a], sets[b]) >= 0.8]
+    assert len(across) > 20
+
+    def named(edges):
+        names = {v: v for v in sets}
+        for _ in names:
+            for a, b in edges:
+                names[a] = names[b] = min(names[a], names[b])
+        return names
+
+    assert named([(r["a"], r["b"]) for r in found]) == named(across)
 
 
 def test_pipeline_drops_edited_copies(documents, odd_rows, shipped):
