@@ -16,7 +16,7 @@ from cohortline.llm.components import components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.995
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: Members of a bucket that all others are compared with, beside the smallest.
 PIVOTS = 3
 #: Members of a bucket in one block, and shingles whose marks are held at a time.

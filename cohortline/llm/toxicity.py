@@ -20,7 +20,7 @@ FEATURES = 1_500
 LEAST_DOCUMENTS = 5
 SMOOTHING = 1.0
 RIDGE = 1e-3
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def ngram_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
