@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,12 +17,13 @@ from cohortline.llm.common import SliceHash, slabs, table, word_bounds, written
 from cohortline.llm.components import components
 from cohortline.llm.minhash import SHINGLE_WORDS, SIMILARITY, band_keys, linked, shingle_runs
 from cohortline.llm.registry import register
+from cohortline.llm.screening import cells_for, numbers, sketch
 
 LEAST_WORDS = SHINGLE_WORDS
 WINDOW_WORDS = 32
 ANCHOR_WORDS = 4
 ANCHOR_SPAN = 18
-SLAB = 1 << 20
+SLAB = 1 << 18
 SENTENCE_END = re.compile(r"""[.!?:…。！？]["')\]»”’*_]*$""")
 
 
@@ -163,6 +165,38 @@ def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) ->
     return linked(paragraphs, lambda values: sets.join(values, "value", "left_semi"), similarity)
 
 
+def _met(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows whose hash (``column``) may occur again, or, of a list of hashes, those of the list that may.
+
+    What a count-min sketch proves to occur once has no partner and never leaves its task. A sketch that is too
+    small for the data finds less, and nothing else changes.
+    """
+    spark = rows.sparkSession
+    hashes = rows.select(column)
+    each = hashes.count() if column == "value" else hashes.agg(F.sum(F.size(column))).first()[0] or 0
+    counted = spark.sparkContext.broadcast(sketch(hashes, cells_for(each)))
+    at = [name.split()[0] for name in schema.split(", ")].index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            again = ~counted.value.single(numbers(batch.column(at)))
+            if not pa.types.is_list(batch.column(at).type):
+                yield batch.filter(pa.array(again))
+                continue
+            lists = batch.column(at)
+            sizes = np.diff(lists.offsets.to_numpy())
+            left = np.bincount(np.repeat(np.arange(len(batch)), sizes)[again], minlength=len(batch))
+            kept = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(left)), pa.int32()), lists.flatten().filter(pa.array(again))
+            )
+            columns = [kept if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(left > 0))
+
+    return rows.mapInArrow(keep, schema)
+
+
 def _window_links(repeated: DataFrame) -> DataFrame:
     """Edges ``a, b`` between repeated windows (``id, body, first, value, keeper``) of one passage.
 
@@ -207,14 +241,18 @@ def repeated_passages(
     parsed = written(rows.mapInPandas(_parse(least_words), PARSED), "passages")
     place = ["id", "body", "first", "end", "value"]
     lines = parsed.where("kind = 'paragraph'")
-    distinct = written(lines.groupBy("value").agg(F.first("keys").alias("keys")), "paragraphs")
+    met = _met(lines.where("size(keys) > 0").select("value", "keys"), "keys", "value long, keys array<long>")
+    distinct = written(met.groupBy("value").agg(F.first("keys").alias("keys")), "paragraphs")
 
     def shingles_of(values: DataFrame) -> DataFrame:
         found = rows.mapInPandas(_shingles(least_words), "value long, shingles array<long>")
         return found.join(values, "value", "left_semi").groupBy("value").agg(F.first("shingles").alias("shingles"))
 
     near = linked(distinct, shingles_of, similarity)
-    windows = parsed.where("kind = 'window'").select(place)
+    windows = _met(
+        parsed.where("kind = 'window'").select(place), "value", "id long, body long, first int, end int, value long"
+    )
+    windows = written(windows, "met-windows")
     shared = windows.groupBy("value").agg(F.min("id").alias("keeper"), F.max("id").alias("high")).where("keeper < high")
     repeated = written(windows.join(shared.select("value", "keeper"), "value").distinct(), "repeated-windows")
     edges = written(near.select("a", "b").unionByName(_window_links(repeated)), "passage-links")

@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import mix, table, written
+from cohortline.llm.common import table, written
 from cohortline.llm.registry import register
+from cohortline.llm.screening import cells_for, numbers, sketch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARED_FROM = 20
 MOST_SHARED_TURNS = 4
-#: The sketch: rows, and bounds of a row's cells (powers of two). Two bits a cell: 64 MB at the most.
-SKETCH_ROWS = 4
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26
-CHUNK = 1 << 16
 ROOT = bytes(16)
 #: Ids joined into one row on their way to a digest.
 IDS_IN_A_ROW = 10_000
@@ -140,86 +137,6 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(_chained, PREFIX)
 
 
-class CountMin:
-    """A count-min sketch that counts to two: a bit plane for cells met once, one for those met again."""
-
-    def __init__(self, cells: int, planes: np.ndarray | None = None):
-        self.cells = cells
-        self.planes = np.zeros((2, SKETCH_ROWS * cells // 64), np.uint64) if planes is None else planes
-
-    def places(self, digests: np.ndarray) -> np.ndarray:
-        """A cell in each row of the sketch, for digests as rows of two 64-bit numbers."""
-        rows = np.arange(SKETCH_ROWS, dtype=np.uint64)
-        hashed = mix(digests[:, :1] + digests[:, 1:] * (rows * np.uint64(2) + np.uint64(1)))
-        return (hashed & np.uint64(self.cells - 1)) + rows * np.uint64(self.cells)
-
-    def add(self, digests: np.ndarray) -> None:
-        places, counts = np.unique(self.places(digests), return_counts=True)
-        words, first = np.unique((places >> np.uint64(6)).astype(np.int64), return_index=True)
-        bits = np.uint64(1) << (places & np.uint64(63))
-        once = np.bitwise_or.reduceat(bits, first)
-        again = np.bitwise_or.reduceat(np.where(counts > 1, bits, np.uint64(0)), first)
-        self.planes[1, words] |= again | (self.planes[0, words] & once)
-        self.planes[0, words] |= once
-
-    def merge(self, once: np.ndarray, again: np.ndarray) -> None:
-        self.planes[1] |= again | (self.planes[0] & once)
-        self.planes[0] |= once
-
-    def single(self, digests: np.ndarray) -> np.ndarray:
-        """Whether the estimate is one: the estimate is never too small, so these occur exactly once."""
-        places = self.places(digests)
-        bits = self.planes[1][(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))
-        return (bits & np.uint64(1) == 0).any(1)
-
-
-def _numbers(digests: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(-1, 2)
-
-
-def sketch(links: DataFrame, cells: int) -> CountMin:
-    """The sketch of all prefixes but the root.
-
-    Each task fills one of its own and gives the chunks that hold something; chunks are merged where
-    they meet. What comes to the driver has the size of a sketch, 64 MB at the most.
-    """
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CountMin(cells)
-        for batch in batches:
-            if len(batch):
-                own.add(_numbers(batch.column("digest")))
-        yield from _chunks({i: own.planes[:, at : at + CHUNK] for i, at in enumerate(range(0, own.planes.shape[1], CHUNK))})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, CountMin] = {}
-        for batch in batches:
-            for chunk, once, again in zip(*(c.to_pylist() for c in batch.columns)):
-                once, again = np.frombuffer(once, np.uint64), np.frombuffer(again, np.uint64)
-                own = held.setdefault(chunk, CountMin(0, np.zeros((2, len(once)), np.uint64)))
-                own.merge(once, again)
-        yield from _chunks({chunk: own.planes for chunk, own in held.items()})
-
-    kind = "chunk int, once binary, again binary"
-    parts = links.where("depth > 0").select("digest").mapInArrow(fill, kind)
-    merged = parts.repartition("chunk").mapInArrow(merge, kind)
-    full = CountMin(cells)
-    for r in merged.toLocalIterator():
-        at = r["chunk"] * CHUNK
-        once, again = np.frombuffer(r["once"], np.uint64), np.frombuffer(r["again"], np.uint64)
-        full.planes[:, at : at + len(once)] = once, again
-    return full
-
-
-def _chunks(chunks: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for chunk, planes in chunks.items():
-        if planes[0].any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in planes)],
-                names=["chunk", "once", "again"],
-            )
-
-
 def _screened(single: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Splits prefixes, in order of conversation and depth, into those that may be shared and tails."""
 
@@ -230,7 +147,7 @@ def _screened(single: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[
             if not len(batch):
                 continue
             depth = batch.column("depth").to_numpy()
-            alone = single(_numbers(batch.column("digest"))) & (depth > 0)
+            alone = single(numbers(batch.column("digest"))) & (depth > 0)
             owner = batch.column("conv_id").to_numpy()
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             # after the first singleton of a conversation all prefixes are singletons
@@ -329,8 +246,8 @@ def prefix_trie(turns: DataFrame, cells: int | None = None) -> DataFrame:
     conversation without turns is a member of the root. An empty table has no node.
     """
     links = written(prefixes(turns.where("conv_id IS NOT NULL")), "prefixes")
-    cells = cells or min(max(1 << (2 * links.count()).bit_length(), LEAST_CELLS), MOST_CELLS)
-    counted = links.sparkSession.sparkContext.broadcast(sketch(links, cells))
+    cells = cells or cells_for(links.count())
+    counted = links.sparkSession.sparkContext.broadcast(sketch(links.where("depth > 0").select("digest"), cells))
     ordered = links.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
     split = _screened(lambda digests: counted.value.single(digests))
     screened = written(ordered.mapInArrow(split, f"{PREFIX}, tail boolean, opens boolean"), "screened-prefixes")
