@@ -47,9 +47,9 @@ def shingle_runs(texts: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np
     return hashed(starts[at], ends[at + SHINGLE_WORDS - 1]), firsts
 
 
-def band_keys(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def band_keys(hashes: np.ndarray, firsts: np.ndarray, most_rows: int = 5) -> np.ndarray:
     """A row of band keys per run of shingle hashes; no run may be empty."""
-    bands, rows = tuned_bands()
+    bands, rows = tuned_bands(most_rows=most_rows)
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
     powers = mix(np.arange(1, rows + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
     minima = np.empty((len(firsts), bands * rows), np.uint64)

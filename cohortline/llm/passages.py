@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,16 @@ from cohortline.llm.common import SliceHash, slabs, table, word_bounds, written
 from cohortline.llm.components import components
 from cohortline.llm.minhash import SHINGLE_WORDS, SIMILARITY, band_keys, linked, shingle_runs
 from cohortline.llm.registry import register
-from cohortline.llm.screening import cells_for, numbers, sketch
+from cohortline.llm.screening import cells_for, paired, sketch
 
 LEAST_WORDS = SHINGLE_WORDS
 WINDOW_WORDS = 32
 ANCHOR_WORDS = 4
 ANCHOR_SPAN = 18
+#: Rows of a band: fewer and shorter bands than for whole documents, for the same recall.
+BAND_ROWS = 4
+#: Hashes that a text may give, for the size of the sketch: one for so many characters.
+CHARS_PER_HASH = 20
 SLAB = 1 << 18
 SENTENCE_END = re.compile(r"""[.!?:…。！？]["')\]»”’*_]*$""")
 
@@ -94,7 +98,7 @@ def _parsed(
     hashes, at = shingle_runs([joined[i] for i in long], counts[long]) if len(long) else (none, none)
     found_keys, found_shingles = [none] * len(lines), [none] * len(lines)
     if keys and len(long):
-        for i, found in zip(long, band_keys(hashes, at)):
+        for i, found in zip(long, band_keys(hashes, at, BAND_ROWS)):
             found_keys[i] = found
     if shingles:
         for i, low, high in zip(long, at, [*at[1:], len(hashes)]):
@@ -112,49 +116,86 @@ def _signed(values: pd.Series) -> np.ndarray:
     return np.array(values.tolist(), np.uint64).view(np.int64)
 
 
-def _parse(least_words: int):
+def _slabs(batch: pd.DataFrame | pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
+    texts = batch["text"].tolist() if isinstance(batch, pd.DataFrame) else batch.column("text").to_pylist()
+    for start, stop in slabs(map(len, texts), SLAB):
+        yield start, stop, texts[start:stop]
+
+
+def _hashes(least_words: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+    """Band keys of the distinct paragraphs of a slab and window values, for the sketch.
+
+    A paragraph that stands several times counts once in a slab; if it stands nowhere else, its equals
+    are found by their value all the same.
+    """
+
+    def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, texts in _slabs(batch):
+            lines, windows = _parsed(texts, least_words, shingles=False)
+            once = ~lines["whole"].duplicated().to_numpy()
+            yield paired(np.concatenate([np.empty(0, np.int64), *lines["keys"].to_numpy()[once]]).astype(np.int64))
+            yield paired(windows["value"].to_numpy(np.int64))
+
+    return found
+
+
+def _parse(least_words: int, single: Callable[[np.ndarray], np.ndarray]):
+    """Rows of paragraphs, with the band keys that other paragraphs may share, and of windows that may occur again."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["id"].to_numpy()
-            for start, stop in slabs(map(len, texts), SLAB):
-                bodies = np.array([xxhash.xxh64_intdigest(t) for t in texts[start:stop]], np.uint64).view(np.int64)
-                lines, windows = _parsed(texts[start:stop], least_words, shingles=False)
-                if len(lines):
-                    yield pd.DataFrame(
-                        {
-                            "id": ids[start:stop][lines["row"]],
-                            "body": bodies[lines["row"]],
-                            "kind": "paragraph",
-                            "first": lines["first"],
-                            "end": lines["end"],
-                            "value": _signed(lines["whole"]),
-                            "keys": lines["keys"],
-                        }
-                    )
-                if len(windows):
-                    yield pd.DataFrame(
-                        {
-                            "id": ids[start:stop][windows["row"]],
-                            "body": bodies[windows["row"]],
-                            "kind": "window",
-                            "first": windows["first"],
-                            "end": windows["first"] + WINDOW_WORDS,
-                            "value": windows["value"],
-                            "keys": None,
-                        }
-                    )
+            ids = batch["id"].to_numpy()
+            for start, stop, texts in _slabs(batch):
+                bodies = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+                lines, windows = _parsed(texts, least_words, shingles=False)
+                windows = windows[~single(paired(windows["value"].to_numpy(np.int64)))]
+                keys = lines["keys"].to_numpy()
+                sizes = np.array([len(k) for k in keys], np.int64)
+                flat = np.concatenate([np.empty(0, np.int64), *keys]).astype(np.int64)
+                again = ~single(paired(flat))
+                cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(keys)), sizes)[again], minlength=len(keys)))
+                met = pd.Series(np.split(flat[again], cuts[:-1]) if len(keys) else [], dtype=object)
+                for kind, found, end, value, held in (
+                    ("paragraph", lines, lines["end"], _signed(lines["whole"]), met.array),
+                    ("window", windows, windows["first"] + WINDOW_WORDS, windows["value"], None),
+                ):
+                    if len(found):
+                        yield pd.DataFrame(
+                            {
+                                "id": ids[start:stop][found["row"]],
+                                "body": bodies[found["row"]],
+                                "kind": kind,
+                                "first": found["first"],
+                                "end": end,
+                                "value": value,
+                                "keys": held,
+                            }
+                        )
 
     return parse
 
 
-def _shingles(least_words: int):
+def _shingles(least_words: int, seen: Callable[[np.ndarray], np.ndarray]):
+    """Shingles of the distinct paragraphs of a slab whose value may be among the wanted ones."""
+
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for start, stop in slabs(map(len, texts), SLAB):
-                lines, _ = _parsed(texts[start:stop], max(least_words, SHINGLE_WORDS), keys=False)
-                if len(lines):
-                    yield pd.DataFrame({"value": _signed(lines["whole"]), "shingles": lines["shingles"]})
+            for _, _, texts in _slabs(batch):
+                joined = {}
+                for text in texts:
+                    words, places = paragraphs_of(text)
+                    for low, high in places:
+                        if high - low >= max(least_words, SHINGLE_WORDS):
+                            part = b" ".join(words[low:high])
+                            joined[xxhash.xxh64_intdigest(part)] = part, high - low
+                values = np.array(list(joined), np.uint64).view(np.int64)
+                wanted = np.flatnonzero(seen(paired(values))) if len(values) else values
+                if len(wanted):
+                    parts = list(joined.values())
+                    parts = [parts[i] for i in wanted]
+                    hashes, at = shingle_runs([part for part, _ in parts], np.array([n for _, n in parts]))
+                    sets = [np.unique(x).view(np.int64) for x in np.split(hashes, at[1:])]
+                    yield pd.DataFrame({"value": values[wanted], "shingles": pd.Series(sets, dtype=object).array})
 
     return shingles
 
@@ -165,38 +206,6 @@ def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) ->
     return linked(paragraphs, lambda values: sets.join(values, "value", "left_semi"), similarity)
 
 
-def _met(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """The rows whose hash (``column``) may occur again, or, of a list of hashes, those of the list that may.
-
-    What a count-min sketch proves to occur once has no partner and never leaves its task. A sketch that is too
-    small for the data finds less, and nothing else changes.
-    """
-    spark = rows.sparkSession
-    hashes = rows.select(column)
-    each = hashes.count() if column == "value" else hashes.agg(F.sum(F.size(column))).first()[0] or 0
-    counted = spark.sparkContext.broadcast(sketch(hashes, cells_for(each)))
-    at = [name.split()[0] for name in schema.split(", ")].index(column)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            again = ~counted.value.single(numbers(batch.column(at)))
-            if not pa.types.is_list(batch.column(at).type):
-                yield batch.filter(pa.array(again))
-                continue
-            lists = batch.column(at)
-            sizes = np.diff(lists.offsets.to_numpy())
-            left = np.bincount(np.repeat(np.arange(len(batch)), sizes)[again], minlength=len(batch))
-            kept = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(left)), pa.int32()), lists.flatten().filter(pa.array(again))
-            )
-            columns = [kept if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(left > 0))
-
-    return rows.mapInArrow(keep, schema)
-
-
 def _window_links(repeated: DataFrame) -> DataFrame:
     """Edges ``a, b`` between repeated windows (``id, body, first, value, keeper``) of one passage.
 
@@ -232,27 +241,31 @@ def repeated_passages(
     any passage of 52 words or more that stands in two documents holds one. Windows are linked where the
     document that keeps them holds both in the same distance. Clusters are the connected components; the
     smallest id keeps the passage (``kept``) and, for windows, holds all of it. Places of a cluster in a document that
-    overlap or touch are one span. Spans of different clusters may overlap: words under a kept span stay. Words are compared in
+    overlap or touch are one span. A count-min sketch, 64 MB at the most, proves most band keys and windows to occur once; these
+    have no partner and are not written or shuffled (if it is too small for the data, fewer are found, and nothing else changes). Spans of different clusters may overlap: words under a kept span stay. Words are compared in
     lower case (A-Z and beyond), split at ASCII white space. Null ids and null, empty or short
     texts have no rows; rows with the same id are one document, spans count the words of each row's text.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.where("id IS NOT NULL")
-    parsed = written(rows.mapInPandas(_parse(least_words), PARSED), "passages")
+    broadcast = rows.sparkSession.sparkContext.broadcast
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    counted = broadcast(sketch(rows, cells_for(size // CHARS_PER_HASH), _hashes(least_words)))
+    parse = _parse(least_words, lambda hashes: counted.value.single(hashes))
+    parsed = written(rows.mapInPandas(parse, PARSED), "passages")
+    counted.destroy()
     place = ["id", "body", "first", "end", "value"]
     lines = parsed.where("kind = 'paragraph'")
-    met = _met(lines.where("size(keys) > 0").select("value", "keys"), "keys", "value long, keys array<long>")
+    met = lines.where("size(keys) > 0")
     distinct = written(met.groupBy("value").agg(F.first("keys").alias("keys")), "paragraphs")
 
     def shingles_of(values: DataFrame) -> DataFrame:
-        found = rows.mapInPandas(_shingles(least_words), "value long, shingles array<long>")
-        return found.join(values, "value", "left_semi").groupBy("value").agg(F.first("shingles").alias("shingles"))
+        wanted = broadcast(sketch(values, cells_for(values.count())))
+        some = rows.mapInPandas(_shingles(least_words, lambda hashes: wanted.value.seen(hashes)), "value long, shingles array<long>")
+        return some.join(values, "value", "left_semi").groupBy("value").agg(F.first("shingles").alias("shingles"))
 
     near = linked(distinct, shingles_of, similarity)
-    windows = _met(
-        parsed.where("kind = 'window'").select(place), "value", "id long, body long, first int, end int, value long"
-    )
-    windows = written(windows, "met-windows")
+    windows = parsed.where("kind = 'window'").select(place)
     shared = windows.groupBy("value").agg(F.min("id").alias("keeper"), F.max("id").alias("high")).where("keeper < high")
     repeated = written(windows.join(shared.select("value", "keeper"), "value").distinct(), "repeated-windows")
     edges = written(near.select("a", "b").unionByName(_window_links(repeated)), "passage-links")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,16 @@ def cells_for(hashes: int) -> int:
     return min(max(1 << (2 * hashes).bit_length(), LEAST_CELLS), MOST_CELLS)
 
 
+def paired(hashes: np.ndarray) -> np.ndarray:
+    """64-bit hashes as rows of two numbers, the second made of the first."""
+    own = hashes.astype(np.int64).view(np.uint64)
+    return np.stack([own, mix(own * MULTIPLIER)], axis=1)
+
+
 def numbers(hashes: pa.Array) -> np.ndarray:
-    """Hashes as rows of two 64-bit numbers: 16 bytes, or a 64-bit integer and a number made of it; lists are flattened."""
-    if pa.types.is_list(hashes.type):
-        hashes = hashes.flatten()
+    """Hashes of 16 bytes, or of 64 bits, as rows of two 64-bit numbers."""
     if pa.types.is_integer(hashes.type):
-        own = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        return np.stack([own, mix(own * MULTIPLIER)], axis=1)
+        return paired(hashes.to_numpy(zero_copy_only=False))
     return np.frombuffer(b"".join(hashes.to_pylist()), np.uint64).reshape(-1, 2)
 
 
@@ -59,23 +62,33 @@ class CountMin:
 
     def single(self, digests: np.ndarray) -> np.ndarray:
         """Whether the estimate is one: the estimate is never too small, so these occur exactly once."""
+        return ~self._set(1, digests)
+
+    def seen(self, digests: np.ndarray) -> np.ndarray:
+        """Whether the estimate is not zero: false only for what does not occur."""
+        return self._set(0, digests)
+
+    def _set(self, plane: int, digests: np.ndarray) -> np.ndarray:
         places = self.places(digests)
-        bits = self.planes[1][(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))
-        return (bits & np.uint64(1) == 0).any(1)
+        bits = self.planes[plane][(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))
+        return (bits & np.uint64(1) == 1).all(1)
 
 
-def sketch(hashes: DataFrame, cells: int) -> CountMin:
-    """The sketch of the one column of a frame (as in ``numbers``).
+def sketch(
+    rows: DataFrame, cells: int, hashes_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]] = lambda batch: [numbers(batch.column(0))]
+) -> CountMin:
+    """The sketch of the one column of a frame (as in ``numbers``), or of the hashes found in its rows.
 
-    Each task fills one of its own and gives the chunks that hold something; chunks are merged where
-    they meet. What comes to the driver has the size of a sketch, 64 MB at the most.
+    As many tasks as there are cores fill one of their own each and give the chunks that hold something; chunks
+    are merged where they meet. What comes to the driver has the size of a sketch, 64 MB at the most.
     """
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = CountMin(cells)
         for batch in batches:
-            if len(batch):
-                own.add(numbers(batch.column(0)))
+            for hashes in hashes_of(batch) if len(batch) else []:
+                if len(hashes):
+                    own.add(hashes)
         yield from _chunks({i: own.planes[:, at : at + CHUNK] for i, at in enumerate(range(0, own.planes.shape[1], CHUNK))})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +101,9 @@ def sketch(hashes: DataFrame, cells: int) -> CountMin:
         yield from _chunks({chunk: own.planes for chunk, own in held.items()})
 
     kind = "chunk int, once binary, again binary"
-    merged = hashes.mapInArrow(fill, kind)
-    merged = merged.repartition("chunk").mapInArrow(merge, kind)
+    filled = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(fill, kind)
     full = CountMin(cells)
-    for r in merged.toLocalIterator():
+    for r in filled.repartition("chunk").mapInArrow(merge, kind).toLocalIterator():
         at = r["chunk"] * CHUNK
         once, again = np.frombuffer(r["once"], np.uint64), np.frombuffer(r["again"], np.uint64)
         full.planes[:, at : at + len(once)] = once, again
