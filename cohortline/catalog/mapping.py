@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from cohortline.catalog.inputs import (
     NATION_YEARS_SQL,
     event_cohort,
     event_runs,
+    event_series,
     hundredths,
     iso,
     nation_years,
@@ -25,6 +28,7 @@ from cohortline.catalog.panels import (
     DEPARTMENTS_SQL,
     EVENT_TYPES,
     VACCINATION_SQL,
+    case_sql,
     american_nations,
     department_document,
     index_rows,
@@ -60,8 +64,9 @@ from cohortline.functions import (
 )
 from cohortline.operators.benchmark import keep_members, members
 from cohortline.operators.doubling import doubling_table
+from cohortline.operators.cohort import align_since_threshold
 from cohortline.operators.latest import latest
-from cohortline.operators.stacking import with_first_appearance
+from cohortline.operators.stacking import with_first_appearance, with_locale_rank
 from cohortline.plans.panels import vaccination_panel
 from cohortline.plans.tracker import (
     PLACE_COLUMNS,
@@ -82,6 +87,7 @@ from cohortline.sources import (
     read_table,
     read_titled,
     read_wide_series,
+    save_bucketed,
     save_chart_table,
     save_summary_table,
 )
@@ -335,7 +341,7 @@ def update_header(spark: SparkSession, sf_dir: str) -> DataFrame:
        round(ln(l_extendedprice), 6) AS natural_log,
        CASE WHEN l_discount > 0 THEN round(log10(l_discount), 6) ELSE CAST('-inf' AS DOUBLE) END AS log_discount,
        CAST(ceil(log10(l_extendedprice)) AS BIGINT) AS decade, round_even(l_quantity / 2, 0) AS half,
-       l_quantity / nullif(l_tax, 0) AS per_tax, pow(2.0, l_linenumber) AS doubled
+       CASE WHEN l_tax <> 0 THEN l_quantity / l_tax WHEN l_quantity > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS per_tax, pow(2.0, l_linenumber) AS doubled
 FROM lineitem""",
 )
 def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,6 +539,44 @@ def chart_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("date", iso("date"))
 
 
+@register(
+    "K1 J1 W1 W2 F6",
+    f"""WITH {USER_COHORT_SQL},
+types AS (SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1)
+SELECT user_id, CAST(d AS VARCHAR) AS date, cnt AS "Count", rn AS "Day", nd AS "NumDays", kinds FROM coh JOIN types USING (user_id)""",
+)
+def bucketed_cohort_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user cohort and a join by user from tables that are bucketed by user."""
+    name = f"cohort_{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    daily = event_series(spark, sf_dir, "user_id")
+    kinds = events.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"))
+    stored = save_bucketed(daily, f"{name}_days", "user_id", 8, ["date"], scratch_path(spark, "days"))
+    types = save_bucketed(kinds, f"{name}_kinds", "user_id", 8, path=scratch_path(spark, "kinds"))
+    cohort = align_since_threshold(stored, "user_id", "date", "Count", 10).join(types, "user_id")
+    return cohort.select("user_id", iso("date"), "Count", "Day", "NumDays", "kinds")
+
+
+# Names with accents and in both cases, whose order by code point is another one.
+ACCENTED_NAMES = {
+    "NATION_0": "Potosí", "NATION_1": "Potosz", "NATION_2": "potosa", "NATION_3": "Zeta", "NATION_4": "beni",
+    "NATION_5": "Álava", "NATION_6": "alba", "NATION_7": "Éire", "NATION_8": "El Alto",
+}
+
+
+@register(
+    "O3 O6 A9",
+    f"""WITH {NATION_YEARS_SQL},
+named AS (SELECT {case_sql("n_name", ACCENTED_NAMES)} AS place, CAST(sum(n) AS BIGINT) AS orders FROM ny GROUP BY 1)
+SELECT place, orders, dense_rank() OVER (ORDER BY strip_accents(lower(replace(place, '_', ' ')))) AS place_ord FROM named""",
+)
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by place with the place's rank as readers expect it."""
+    named = nation_years(spark, sf_dir).groupBy(recode("n_name", ACCENTED_NAMES).alias("place"))
+    totals = named.agg(F.sum("n").alias("orders"))
+    return with_locale_rank(totals, "place", "place_ord")
+
+
 @register("K2 K3", doubling_sql(USER_COHORT_SQL, "user_id"))
 def summary_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The doubling-time table written as CSV."""

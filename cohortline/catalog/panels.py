@@ -60,6 +60,14 @@ from cohortline.plans.stringency import PRINTED_NAMES, SERIES_NAMES, SHOWN, join
 from cohortline.plans.tracker import country_curves, department_curves, newest_record
 from cohortline.sources.csv_files import melt_years
 
+def decimals_sql(value: str, digits: int) -> str:
+    """The nearer neighbour of so many decimals, the even one of two that are equally near."""
+    p = float(10**digits)
+    low, high = f"floor({value} * {p}) / {p}", f"ceil({value} * {p}) / {p}"
+    return f"""CASE WHEN {value} - {low} < {high} - {value} THEN {low} WHEN {value} - {low} > {high} - {value} THEN {high}
+            WHEN floor({value} * {p})::BIGINT % 2 = 0 THEN {low} ELSE {high} END"""
+
+
 def year_names(spark: SparkSession, sf_dir: str) -> list[str]:
     """Year column names, newest first, as the wide yearly tables have them."""
     first, last = order_span(spark, sf_dir)
@@ -562,7 +570,7 @@ panel AS (
   SELECT 'Bolivia' AS "Region", year, bol / usa AS v FROM wide
   UNION ALL SELECT 'Corea del Sur', year, kor / usa FROM wide
   UNION ALL SELECT 'LATAM', year, latam / usa FROM wide)
-{_classed_sql("panel", 'year AS "Año", round(v, 8) AS value, round_even(v * 100, 2) AS percent', "RegionTipo", "['Bolivia', 'Corea del Sur', 'LATAM']")}""",
+{_classed_sql("panel", 'year AS "Año", round(v, 8) AS value, ' + decimals_sql("(v * 100)", 2) + ' AS percent', "RegionTipo", "['Bolivia', 'Corea del Sur', 'LATAM']")}""",
 )
 def gdp_panel_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order value relative to one nation, with some values missing."""
@@ -595,11 +603,10 @@ panel AS (
   UNION ALL SELECT 'LATAM', band, sum(hits) / sum(pop) * 100 FROM r
   WHERE region_code IN ('PROMO', 'ECONOMY') GROUP BY band
   UNION ALL SELECT 'Mundo', band, sum(hits) / sum(pop) * 100 FROM r GROUP BY band)
-SELECT "Region", band AS "Edad", round_even(p, 3) AS "Porc.Completado.Edu.Terciaria",
-       CASE WHEN round_even(p, 3) BETWEEN 0 AND 5 THEN round_even(p, 3) END AS drawn,
+SELECT "Region", band AS "Edad", r AS "Porc.Completado.Edu.Terciaria", CASE WHEN r BETWEEN 0 AND 5 THEN r END AS drawn,
        CAST(list_position(['Mundo', 'LATAM', 'Bolivia', 'EEUU', 'Corea del Sur'], "Region") AS BIGINT)
          AS "Region_ord"
-FROM panel""",
+FROM (SELECT *, {decimals_sql("p", 3)} AS r FROM panel)""",
 )
 def education_panel_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discount rates by size band: three brands, a group of types and all items."""
@@ -702,7 +709,7 @@ EXPORT_NAMES = INDEX_NAMES | {
 }
 
 
-def _case(value: str, names: dict[str, str]) -> str:
+def case_sql(value: str, names: dict[str, str]) -> str:
     return f"CASE {value} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())} ELSE {value} END"
 
 
@@ -740,7 +747,7 @@ idx AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT country AS "Country", count(*) FILTER (cases.q IS NOT NULL AND idx.q IS NOT NULL) AS matched,
        count(*) FILTER (idx.q IS NULL) AS only_left, count(*) FILTER (cases.q IS NULL) AS only_right
-FROM cases FULL JOIN idx USING (country, q) GROUP BY country""".replace("{case}", _case("n_name", INDEX_NAMES)),
+FROM cases FULL JOIN idx USING (country, q) GROUP BY country""".replace("{case}", case_sql("n_name", INDEX_NAMES)),
 )
 def overlay_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the overlay's join keeps and loses on either side, by country; some names differ."""
@@ -798,12 +805,12 @@ def stringency_overlay_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     "G10 J1 C1 D8 F10 F12 O3 P6 F6 G5",
     f"""WITH {places_sql(None, "cases", 1, {"Korea, South": "South Korea", "US": "United States"})},
 idx AS (
-  SELECT {_case("n_name", EXPORT_NAMES)} AS country, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q,
+  SELECT {case_sql("n_name", EXPORT_NAMES)} AS country, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q,
          count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 100 / count(*) AS urgent,
          CAST(count(*) FILTER (WHERE o_orderstatus = 'P' AND o_totalprice > 450000) AS DOUBLE) AS large
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   GROUP BY 1, 2)
-SELECT {_case("country", PRINTED_NAMES)} AS "Country", CAST(q AS VARCHAR) AS date, cnt AS "Count", rn AS "Day",
+SELECT {case_sql("country", PRINTED_NAMES)} AS "Country", CAST(q AS VARCHAR) AS date, cnt AS "Count", rn AS "Day",
        nd AS "NumDays", large AS "ConfirmedCases",
        round(CASE WHEN large BETWEEN 10 AND 100000 THEN log10(large) END, 6) AS count_drawn,
        round(CASE WHEN urgent * 0.05 BETWEEN 1 AND 5 THEN urgent * 0.05 END, 6) AS index_drawn,

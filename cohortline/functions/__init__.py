@@ -6,6 +6,7 @@ from cohortline.functions.categories import (
     benchmark_class,
     first_match,
     level_rank,
+    locale_key,
     promote,
     recode,
     reversed_level_rank,
@@ -46,6 +47,7 @@ __all__ = [
     "half_even",
     "horizontal_sum",
     "level_rank",
+    "locale_key",
     "log10_ieee",
     "parse_iso",
     "parse_mdy",

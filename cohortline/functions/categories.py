@@ -76,6 +76,15 @@ def level_rank(col: str | Column, levels: Sequence[str]) -> Column:
     return F.nullif(F.array_position(listed, column(col)), F.lit(0).cast("bigint"))
 
 
+def locale_key(col: str | Column, locale: str = "UNICODE_CI_AI") -> Column:
+    """The text under a collation: it then sorts and compares as readers expect, not by code points.
+
+    The default takes letters of all languages, and neither case nor accents tell names apart. A language's own
+    order, such as ``es``, in which ñ follows n, and case or accents that count are other collations.
+    """
+    return F.collate(column(col), locale)
+
+
 def reversed_level_rank(col: str | Column, levels: Sequence[str]) -> Column:
     """1-based position counted from the end of the level list."""
     return F.lit(len(levels) + 1).cast("bigint") - level_rank(col, levels)

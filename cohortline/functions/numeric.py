@@ -11,8 +11,19 @@ from cohortline.functions.text import column
 
 
 def half_even(col: str | Column, digits: int = 0) -> Column:
-    """Round with ties going to the even neighbour."""
-    return F.bround(column(col), digits)
+    """Round with ties going to the even neighbour.
+
+    To decimals, the nearer of the two neighbouring decimal numbers, as they are held in binary, is taken, and the
+    even one only where they are equally near: 0.15 gives 0.1, although it is printed as a tie.
+    """
+    if digits <= 0:
+        return F.bround(column(col), digits)
+    c, power = column(col).cast("double"), float(10**digits)
+    low, high = F.floor(c * power).cast("double") / power, F.ceil(c * power).cast("double") / power
+    even = F.pmod(F.floor(c * power), F.lit(2)) == 0
+    nearer = F.when((c - low < high - c) | ((c - low == high - c) & even), low).otherwise(high)
+    # beyond 2^53 there is nothing to round; infinities and NaN stay
+    return F.when(F.abs(c) < F.lit(2.0**53 / power), nearer).otherwise(c)
 
 
 def log10_ieee(col: str | Column) -> Column:
@@ -24,8 +35,11 @@ def log10_ieee(col: str | Column) -> Column:
 
 
 def ratio(numerator: str | Column, denominator: str | Column) -> Column:
-    """Quotient as a double; null (not an error) when the denominator is 0."""
-    return F.try_divide(column(numerator).cast("double"), column(denominator).cast("double"))
+    """Quotient as a double; by 0 an infinity of the numerator's sign, or NaN for 0 by 0, and never an error."""
+    n, d = column(numerator).cast("double"), column(denominator).cast("double")
+    infinite = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf")))
+    by_zero = F.when((n == 0) | F.isnan(n), F.lit(float("nan"))).otherwise(infinite)
+    return F.when(d == 0, by_zero).otherwise(F.try_divide(n, d))
 
 
 def clip_to_domain(col: str | Column, low: float | Column, high: float | Column) -> Column:

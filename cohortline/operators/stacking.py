@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.functions import column, strict_sum
+from cohortline.functions import column, locale_key, strict_sum
 
 
 SPREAD = 32
@@ -53,3 +53,15 @@ def with_first_appearance(
     first = first.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     part = F.pmod(F.xxhash64(column(position)), F.lit(SPREAD)) == F.col("_part")
     return df.join(first, column(label).eqNullSafe(F.col("_label")) & part, "left").drop("_label", "_part")
+
+
+def with_locale_rank(df: DataFrame, label: str, to: str, locale: str = "UNICODE_CI_AI") -> DataFrame:
+    """Add the 1-based place of the row's label among all labels in the order of a locale; null for no label.
+
+    Labels that the collation holds equal share a place: ``Potosí`` and ``potosi`` come before ``Potosz``, though the
+    code point of ``í`` is larger. For tables of named levels: their names come as one sorted array.
+    """
+    key = locale_key(label, locale)
+    names = df.where(column(label).isNotNull()).select(key.alias("name")).distinct()
+    ordered = names.agg(F.sort_array(F.collect_list("name")).alias("names")).scalar()
+    return df.withColumn(to, F.array_position(ordered, key))

@@ -9,7 +9,7 @@ from cohortline.sources.csv_files import (
     read_wide_series,
 )
 from cohortline.sources.json_files import read_departments
-from cohortline.sources.sinks import save_chart_table, save_summary_table, save_tables
+from cohortline.sources.sinks import save_bucketed, save_chart_table, save_summary_table, save_tables
 from cohortline.sources.typed_scan import export_schema, read_stringency
 
 __all__ = [
@@ -22,6 +22,7 @@ __all__ = [
     "read_table",
     "read_titled",
     "read_wide_series",
+    "save_bucketed",
     "save_chart_table",
     "save_summary_table",
     "save_tables",

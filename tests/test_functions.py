@@ -83,8 +83,27 @@ def test_log10_of_zero_and_negatives(spark):
     assert zero == -math.inf and hundred == 2.0 and math.isnan(negative) and missing is None
 
 
-def test_ratio_by_zero_is_null(spark):
-    assert one(spark, ratio(F.lit(1), F.lit(0)), ratio(F.lit(1), F.lit(4))) == (None, 0.25)
+def test_ratio_by_zero(spark):
+    inf = float("inf")
+    cases = ratio(F.lit(1), F.lit(0)), ratio(F.lit(-2.5), F.lit(0)), ratio(F.lit(1), F.lit(4)), ratio(F.lit(None), F.lit(0))
+    assert one(spark, *cases) == (inf, -inf, 0.25, None)
+    assert one(spark, F.isnan(ratio(F.lit(0), F.lit(0))), F.isnan(ratio(F.lit(float("nan")), F.lit(0)))) == (True, True)
+
+
+@pytest.mark.parametrize(
+    ("x", "digits", "expected"),
+    [
+        (0.15, 1, 0.1), (0.25, 1, 0.2), (0.35, 1, 0.3), (0.45, 1, 0.4), (0.65, 1, 0.7), (-0.15, 1, -0.1), (2.5, 1, 2.5),
+        (1.005, 2, 1.0), (2.675, 2, 2.67), (5.015, 2, 5.01), (0.125, 2, 0.12), (0.375, 2, 0.38), (1e300, 2, 1e300), (-7.0, 3, -7.0),
+    ],
+)
+def test_rounding_to_decimals(spark, x, digits, expected):
+    assert one(spark, half_even(F.lit(x), digits)) == (expected,)
+
+
+def test_rounding_leaves_what_is_no_number(spark):
+    values = [half_even(F.lit(v).cast("double"), 1) for v in (None, float("inf"), float("-inf"))]
+    assert one(spark, *values, F.isnan(half_even(F.lit(float("nan")), 1))) == (None, float("inf"), float("-inf"), True)
 
 
 def test_clip_blanks_values_outside(spark):

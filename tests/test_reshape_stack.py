@@ -18,6 +18,7 @@ from cohortline.operators.stacking import (
     bind_rows,
     overlay,
     with_first_appearance,
+    with_locale_rank,
     with_total_level,
 )
 
@@ -118,3 +119,12 @@ def test_one_value_per_matching_row(spark, rows):
     wide = spark.createDataFrame([("Bolivia", 1, 7), ("Bolivia", 2, 8), ("Peru", 3, 9)], "c string, `1/1/20` int, `1/2/20` int")
     assert last_column(wide) == "1/2/20"
     assert rows(rows_for_entity(wide, "c", "Bolivia", last_column(wide))) == [(7,), (8,)]
+
+
+def test_locale_rank(spark, rows):
+    names = ["Potosz", "Potosí", "potosi", "Zeta", "beni", "Ñuflo", "Nunez", "Oruro", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    ranks = dict(rows(with_locale_rank(df, "name", "at")))
+    assert ranks == {"beni": 1, "Ñuflo": 2, "Nunez": 3, "Oruro": 4, "Potosí": 5, "potosi": 5, "Potosz": 6, "Zeta": 7, None: None}
+    spanish = dict(rows(with_locale_rank(df, "name", "at", "es")))
+    assert spanish["Nunez"] < spanish["Ñuflo"] < spanish["Oruro"] and spanish["potosi"] != spanish["Potosí"]

@@ -6,6 +6,8 @@ from datetime import date
 import pytest
 
 from cohortline.functions import column, parse_mdy
+from cohortline.operators.cohort import align_since_threshold
+from cohortline.operators.doubling import doubling_table
 from cohortline.operators.latest import newest_snapshot
 from cohortline.plans.panels import REGION_NAME, region_codes, vaccination_panel
 from cohortline.plans.tracker import snapshot_curves
@@ -18,6 +20,7 @@ from cohortline.sources import (
     read_table,
     read_titled,
     read_wide_series,
+    save_bucketed,
     save_chart_table,
     save_summary_table,
     save_tables,
@@ -229,6 +232,26 @@ def test_sinks_write_only_with_a_path(spark, tmp_path, rows):
     assert back.columns == df.columns and rows(back.select(column("País"))) == [("Bolivia",)]
 
 
+def test_bucketed_tables_need_no_exchange(spark, tmp_path, rows):
+    days = spark.range(4000).selectExpr("id % 40 AS place", "CAST(id DIV 40 AS int) AS day", "CAST(id AS double) AS n")
+    names = spark.range(40).selectExpr("id AS place", "CAST(id AS string) AS name")
+    stored = save_bucketed(days, "bucketed_days", "place", 4, ["day"], str(tmp_path / "days"))
+    stored = save_bucketed(days, "bucketed_days", "place", 4, ["day"], str(tmp_path / "days"))
+    other = save_bucketed(names, "bucketed_names", "place", 4, path=str(tmp_path / "names"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        aligned = align_since_threshold(stored, "place", "day", "n", 50).join(other, "place")
+        table = doubling_table(aligned, "place", "n")
+        for df in (aligned, table):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        plain = align_since_threshold(days, "place", "day", "n", 50).join(names, "place")
+        assert rows(aligned) == rows(plain) and rows(table) == rows(doubling_table(plain, "place", "n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_days")
+        spark.sql("DROP TABLE bucketed_names")
+
+
 def test_scratch_folder_follows_the_session(spark):
     class Conf:
         def __init__(self, **settings):
