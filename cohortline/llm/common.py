@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortline.session import scratch_path
 
@@ -35,6 +36,22 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to differ from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The frame's columns by their exact names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared scratch folder, read back.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, word_bounds, written
+from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, unused, word_bounds, written
 from cohortline.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -241,8 +241,9 @@ def keep_one_near_copy(docs: DataFrame, id_column: str = "doc_id", text: str = "
     Where the smallest id repeats, all its rows in the group stay; rows without an id stay. A row is
     dropped by its id and text, so another text with the same id is not dropped with it.
     """
+    left, value = unused(docs, "_id", "_value")
     dropped = near_copy_groups(docs, id_column, text).where("id <> component_id").select(
-        F.col("id").alias("_id"), F.col("value").alias("_value")
+        F.col("id").alias(left), F.col("value").alias(value)
     ).distinct()
-    same = (F.col(id_column) == F.col("_id")) & (F.xxhash64(normal(F.col(text))) == F.col("_value"))
+    same = (F.col(id_column) == F.col(left)) & (F.xxhash64(normal(F.col(text))) == F.col(value))
     return docs.join(dropped, same, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import table, written
+from cohortline.llm.common import columns_of, table, unused, written
 from cohortline.llm.registry import register
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,24 +107,26 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ep
     doc_id are told apart by size.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    numbered = docs.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(size)))
+    names = unused(docs, "_nth", "_id", "_size", "_taken", "_mixed_nth", "_copy", "_words")
+    nth, mixed_id, mixed_size, mixed_taken, mixed_nth, copy, left = names
+    numbered = docs.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(size)))
     taken = mix(docs, weights=weights, most_epochs=most_epochs).select(
-        F.col("id").alias("_id"),
-        F.col("size").alias("_size"),
-        F.col("taken").alias("_taken"),
-        F.row_number().over(W.partitionBy("id").orderBy("size")).alias("_mixed_nth"),
+        F.col("id").alias(mixed_id),
+        F.col("size").alias(mixed_size),
+        F.col("taken").alias(mixed_taken),
+        F.row_number().over(W.partitionBy("id").orderBy("size")).alias(mixed_nth),
     )
-    both = numbered.join(taken, F.expr("doc_id <=> _id AND _nth = _mixed_nth")).where("_taken > 0")
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    words = F.least(F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"), F.col("_size"))
+    both = numbered.join(taken, F.expr(f"doc_id <=> {mixed_id} AND {nth} = {mixed_nth}")).where(F.col(mixed_taken) > 0)
+    times = F.ceil(F.col(mixed_taken) / F.col(mixed_size)).cast("int")
+    copies = both.withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
+    words = F.least(F.col(mixed_taken) - (F.col(copy) - 1) * F.col(mixed_size), F.col(mixed_size))
     word = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    pieces = F.arrays_zip(F.split("text", WORD).alias("gap"), F.slice(word, 1, F.col("_words").cast("int")).alias("word"))
+    pieces = F.arrays_zip(F.split("text", WORD).alias("gap"), F.slice(word, 1, F.col(left).cast("int")).alias("word"))
     head = F.array_join(F.transform(pieces, lambda p: F.when(p["word"].isNull(), "").otherwise(F.concat(p["gap"], p["word"]))), "")
-    text = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text"))
-    cut = copies.withColumn("_words", words).withColumn("text", text)
-    n_chars = F.when(F.col("_words") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(docs.columns)
+    text = F.when(F.col(left) < F.col(mixed_size), head).otherwise(F.col("text"))
+    cut = copies.withColumn(left, words).withColumn("text", text)
+    n_chars = F.when(F.col(left) < F.col(mixed_size), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(columns_of(docs))
 
 
 ORACLE = r"""

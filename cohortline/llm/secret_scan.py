@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm.common import table, written
+from cohortline.llm.common import columns_of, table, unused, written
 from cohortline.llm.registry import register
 
 #: More owners than this make a value a widely copied example.
@@ -156,10 +156,11 @@ def redacted(docs: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     All documents stay; texts without secrets stay as they are.
     """
     found = candidates(docs)
+    key, hashed, reported = unused(docs, "_key", "_hashed", "_spans")
     spans = judged(found, most_owners).join(found.select("row", "key"), "row")
-    by_text = spans.groupBy(F.col("key").alias("_hashed")).agg(F.first(F.filter("judged", _reported)).alias("_spans")).where("size(_spans) > 0")
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    both = keyed.join(by_text, F.col("_key") == F.col("_hashed"), "left")
+    by_text = spans.groupBy(F.col("key").alias(hashed)).agg(F.first(F.filter("judged", _reported)).alias(reported)).where(F.size(reported) > 0)
+    keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    both = keyed.join(by_text, F.col(key) == F.col(hashed), "left")
     text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
@@ -170,14 +171,14 @@ def redacted(docs: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     by_value = F.array_sort(
-        F.transform("_spans", lambda s: F.struct((s["end"] - s["size"]).alias("start"), s["end"].alias("end"), s["size"].alias("size")))
+        F.transform(reported, lambda s: F.struct((s["end"] - s["size"]).alias("start"), s["end"].alias("end"), s["size"].alias("size")))
     )
     clean = F.aggregate(
         by_value, first, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
     )
-    changed = both.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
-    n_chars = F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", n_chars).select(docs.columns)
+    changed = both.withColumn("text", F.when(F.col(reported).isNotNull(), clean).otherwise(text))
+    n_chars = F.when(F.col(reported).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).select(columns_of(docs))
 
 
 @register()

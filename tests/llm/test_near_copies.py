@@ -112,3 +112,22 @@ def test_another_text_of_a_dropped_id_stays(documents, shipped):
     rows = [(1, "the same few words here", "a"), (5, "the same few words here", "a"), (5, "quite other words stand here", "a")]
     kept = corpus_pipeline.without_near_copies(shipped, documents(rows), "").collect()
     assert sorted((r["doc_id"], r["text"][:3]) for r in kept) == [(1, "the"), (5, "qui")]
+
+
+def test_stages_keep_columns_whose_names_they_use(shipped):
+    """Columns with the names of helper columns come back as they are."""
+    helpers = ["_nth", "_id", "_size", "_taken", "_copy", "_words", "_key", "_hashed", "_spans", "_value", "a.b"]
+    texts = ["password = hunter2secret one", "a few plain words of no weight at all", "a few plain words of no weight at all", None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), *range(10 * i, 10 * i + len(helpers))) for i, t in enumerate(texts)]
+    kinds = ", ".join(f"`{h}` long" for h in helpers)
+    docs = shipped.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {kinds}")
+    for stage, ids in (
+        (corpus_pipeline.without_near_copies, {0, 1, 3}),
+        (corpus_pipeline.without_secrets, {0, 1, 2, 3, 4}),
+        (corpus_pipeline.mixed, {0, 1, 2}),
+    ):
+        got = stage(shipped, docs, "").collect()
+        assert {r["doc_id"] for r in got} == ids, stage
+        for r in got:
+            assert r.asDict().keys() == set(docs.columns)
+            assert [r[h] for h in helpers] == list(range(10 * r["doc_id"], 10 * r["doc_id"] + len(helpers)))
