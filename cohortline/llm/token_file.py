@@ -46,7 +46,9 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     at = min(len(rest) - 1, int(len(rest) * percentile / 100))
     width = int(np.partition(rest, at)[at]).bit_length()
     wide = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - width :]
+    held = 16 if width <= 16 else 32  # bits of the numbers that are taken apart
+    low = rest.astype(np.uint16).byteswap() if held == 16 else rest.byteswap()
+    bits = np.unpackbits(low.view(np.uint8)).reshape(-1, held)[:, held - width :]
     header = np.array([(least, len(ids), width, len(wide))], BLOCK_HEADER)
     return b"".join(
         [header.tobytes(), np.packbits(bits).tobytes(), wide.astype("<u2").tobytes(), rest[wide].astype("<u4").tobytes()]
@@ -60,9 +62,10 @@ def unpack_block(data: bytes, at: int) -> np.ndarray:
     at += BLOCK_HEADER.itemsize
     size = (count * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width).reshape(count, width)
-    full = np.zeros((count, 32), np.uint8)
-    full[:, 32 - width :] = bits
-    rest = np.packbits(full, axis=1).view(">u4").ravel().astype(np.uint32)
+    held = 16 if width <= 16 else 32
+    full = np.zeros((count, held), np.uint8)
+    full[:, held - width :] = bits
+    rest = np.packbits(full.ravel()).view(f">u{held // 8}").astype(np.uint32)
     at += size
     places = np.frombuffer(data, "<u2", exceptions, at)
     rest[places] = np.frombuffer(data, "<u4", exceptions, at + 2 * exceptions)
