@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -123,8 +124,8 @@ class WordTokenizer:
         lines = pc.ascii_lower(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
         lists = pc.split_pattern(pc.replace_substring_regex(lines, "([a-z0-9])([,.]) ", r"\1 \2 "), " ")
         words = lists.values.dictionary_encode()
-        packed = self._packed(words.dictionary.to_pylist())
-        sizes = np.array([len(ids) // 4 for ids in packed], np.int64)
+        packed = self._packed(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         table = np.frombuffer(b"".join(packed), "<u4")
         places = words.indices.to_numpy()
         taken = sizes[places]
@@ -139,24 +140,30 @@ class WordTokenizer:
         if len(self.known) >= REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        found = [known.get(word) for word in words]
+        found = list(map(known.get, words))
         gaps = [i for i, packed in enumerate(found) if packed is None]
         missing = []
         for i in gaps:
             packed = found[i] = older.get(words[i])
             if packed is None:
                 missing.append(i)
-        for at in range(0, len(missing), 1024):
-            places = missing[at : at + 1024]
-            some = [words[i] for i in places]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            # an id belongs to the word in which it starts
-            ends = np.cumsum([len(word) + 1 for word in some])
-            starts = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(starts, ends).tolist()
-            ids = np.array(encoded.ids, "<u4").tobytes()
-            for i, low, high in zip(places, [0, *cuts], cuts):
-                found[i] = ids[4 * low : 4 * high]
+        collects = gc.isenabled()
+        gc.disable()  # offsets come as millions of pairs, none of them in a cycle
+        try:
+            for at in range(0, len(missing), 1024):
+                places = missing[at : at + 1024]
+                some = [words[i] for i in places]
+                encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                # an id belongs to the word in which it starts
+                ends = np.cumsum([len(word) + 1 for word in some])
+                starts = np.array([start for start, _ in encoded.offsets], np.int64)
+                cuts = np.searchsorted(starts, ends).tolist()
+                ids = np.array(encoded.ids, "<u4").tobytes()
+                for i, low, high in zip(places, [0, *cuts], cuts):
+                    found[i] = ids[4 * low : 4 * high]
+        finally:
+            if collects:
+                gc.enable()
         known.update((words[i], found[i]) for i in gaps if len(words[i]) <= LONGEST_REMEMBERED)
         return found
 
