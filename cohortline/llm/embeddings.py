@@ -263,7 +263,32 @@ def _verified(inside: pd.DataFrame, coming: pd.DataFrame, threshold: float, word
     return pd.DataFrame({"node": nodes[seen], "links": links[seen], "other": pd.array(other, "Int64")})
 
 
-@register()
+#: Brute force: the cosine of all pairs, and all that links reach.
+LINKS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scaled AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM scaled a JOIN scaled b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+),
+reached(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+),
+counted AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
+SELECT a AS vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(b) AS component_id, a = min(b) AS kept
+FROM reached LEFT JOIN counted USING (a) GROUP BY a
+"""
+
+
+@register(LINKS_SQL)
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
