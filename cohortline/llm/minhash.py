@@ -1,4 +1,4 @@
-"""MinHash bands over word shingles, candidates verified by exact Jaccard similarity."""
+"""Near copies: SimHash groups and MinHash bands over word shingles, candidates verified by exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.common import MULTIPLIER, SliceHash, mix, slabs, unused, word_bounds, written
 from cohortline.llm.components import components
+from cohortline.llm.simhash import near_duplicate_groups
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -210,8 +211,10 @@ def near_copy_groups(
 ) -> DataFrame:
     """``id, value, component_id`` per row of the documents.
 
-    Documents whose sets of five-word shingles have at least this Jaccard similarity are linked;
-    component_id is the smallest id reachable over links. ``value`` is the hash of a text's words
+    Documents whose sets of five-word shingles have at least this Jaccard similarity are linked. Candidates are
+    those that SimHash groups (op10's operator, over the same shingles with their repeats) and those that share a
+    MinHash band: fingerprints two bits apart find what differs little, or only beside what a text repeats,
+    bands find the rest down to this similarity. component_id is the smallest id reachable over links. ``value`` is the hash of a text's words
     in lower case: equal ones are one node of the graph, as are all texts without words. Texts of fewer
     than five words are linked to equal ones only. A null id counts only if no other id is in its group.
     """
@@ -226,7 +229,10 @@ def near_copy_groups(
         one = rows.join(values, "value", "left_semi").groupBy("value").agg(F.first("words").alias("words"))
         return one.mapInPandas(_shingles, "value long, shingles array<long>")
 
-    groups = components(linked(sets.select("value", "keys"), shingles_of, similarity))
+    alike = near_duplicate_groups(rows.select("value", "words"), "value", "words", SHINGLE_WORDS)
+    alike = alike.select(F.col("id").alias("value"), F.xxhash64(F.lit("simhash"), "component_id").alias("alike")).distinct()
+    keyed = sets.where("size(keys) > 0").join(alike, "value").select("value", F.concat("keys", F.array("alike")).alias("keys"))
+    groups = components(linked(keyed, shingles_of, similarity))
     grouped = sets.join(groups.withColumnRenamed("node", "value"), "value", "left").select(
         "value", "least", F.coalesce("component", "value").alias("component")
     )

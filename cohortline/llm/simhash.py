@@ -44,13 +44,15 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+def with_fingerprint(
+    docs: DataFrame, text: str = "text", name: str = "fingerprint", words: int = SHINGLE_WORDS
+) -> DataFrame:
     """Adds the fingerprint of the whole text as a signed long (a null text has 0)."""
 
     @F.pandas_udf("long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            values = np.array([simhash(t) for t in texts], dtype=np.uint64)
+            values = np.array([simhash(t, words) for t in texts], dtype=np.uint64)
             yield pd.Series(values.view(np.int64))
 
     return docs.withColumn(name, fingerprint(F.col(text)))
@@ -116,17 +118,19 @@ def near_pairs(prints: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicate_groups(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS
+) -> DataFrame:
     """``id, fingerprint (long), component_id`` per row of the documents.
 
-    Documents whose SimHash fingerprints differ in two bits or fewer are linked; component_id
+    Documents whose SimHash fingerprints (of shingles of ``words`` words) differ in two bits or fewer are linked; component_id
     is the smallest id reachable over links. Exact copies, texts without words and null texts
     (fingerprint 0) share a fingerprint and are one node of the graph. A null id stays in the
     result and counts only if no other id is in its group. Repeated rows stay repeated; other
     columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    rows = written(with_fingerprint(rows).select("id", "fingerprint"), "fingerprints")
+    rows = written(with_fingerprint(rows, words=words).select("id", "fingerprint"), "fingerprints")
     prints = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least"))
     groups = components(near_pairs(prints.select("fp")))
     grouped = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(

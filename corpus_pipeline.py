@@ -26,7 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by five-word Jaccard similarity of 0.8 or more."""
+    """One document, that with the smallest id, of each group linked by five-word Jaccard similarity of 0.8 or more.
+
+    Candidates come from SimHash fingerprints, as in op10, and from MinHash bands.
+    """
     ship(spark)
     return keep_one_near_copy(docs)
 

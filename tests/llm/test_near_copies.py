@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cohortline.llm import minhash
+from cohortline.llm import minhash, simhash
 
 
 def shingle_set(text):
@@ -100,6 +100,23 @@ def test_blocks_connect_what_similar_pairs_connect(shipped, monkeypatch, block):
     assert named([(r["a"], r["b"]) for r in found]) == named(across)
 
 
+def test_fingerprints_find_what_no_band_finds(documents, shipped):
+    """Equal fingerprints are candidates; which of them are near copies, the exact similarity says."""
+    rng = np.random.default_rng(480)
+    words = [f"w{n}" for n in rng.integers(0, 10**6, 44)]
+    edited = [*words[:20], "edit", *words[21:]]
+    other = [f"v{n}" for n in rng.integers(0, 10**6, 44)]
+    texts = [" ".join(["all day long we sing"] * 200 + tail) for tail in (words, edited, other)]
+    assert len({simhash.simhash(text, minhash.SHINGLE_WORDS) for text in texts}) == 1
+    assert similarity(*map(shingle_set, texts[:2])) >= 0.8 > similarity(*map(shingle_set, texts[1:]))
+    counts = np.array([len(text.split()) for text in texts])
+    keys = minhash.band_keys(*minhash.shingle_runs([text.encode() for text in texts], counts))
+    assert not set(keys[0]) & set(keys[1])
+    rows = [(i, text, "a") for i, text in enumerate(texts)] + [(3, "all day", "a"), (4, "all night", "a")]
+    kept = corpus_pipeline.without_near_copies(shipped, documents(rows), "").collect()
+    assert {r["doc_id"] for r in kept} == {0, 2, 3, 4}
+
+
 def test_pipeline_drops_edited_copies(documents, odd_rows, shipped):
     rows = odd_rows + near_copies()
     kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(shipped, documents(rows), "").collect()}
