@@ -35,6 +35,18 @@ def ship(spark: SparkSession) -> None:
 
 _shipped: set[str] = set()
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the batches that Python functions of this session get, unless the session has a bound.
+
+    By default only rows are bounded (10,000), so that a batch of texts is a whole task's input, held several
+    times over: in the executor's Arrow buffers and in the Python worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
 
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores added as it takes to differ from the frame's columns."""

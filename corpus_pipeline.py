@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortline.llm.bpe import RANKS_FILE, token_table
-from cohortline.llm.common import ship, table, written
+from cohortline.llm.common import bound_batches, ship, table, written
 from cohortline.llm.minhash import keep_one_near_copy
 from cohortline.llm.mixing import mixed_documents
 from cohortline.llm.secret_scan import redacted
@@ -21,6 +21,7 @@ from cohortline.llm.toxicity import toxicity, trained
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labelled ones among docs."""
     ship(spark)
+    bound_batches(spark)
     model = trained(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity(F.col("text"), model) < 0.5)
 
@@ -31,6 +32,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Candidates come from SimHash fingerprints, as in op10, and from MinHash bands.
     """
     ship(spark)
+    bound_batches(spark)
     return keep_one_near_copy(docs)
 
 
@@ -47,6 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix."""
     ship(spark)
+    bound_batches(spark)
     return token_table(docs, public_tokenizers.path(RANKS_FILE))
 
 

@@ -1,6 +1,7 @@
 """Near copies of the pipeline against brute-force Jaccard similarity."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -148,3 +149,23 @@ def test_stages_keep_columns_whose_names_they_use(shipped):
         for r in got:
             assert r.asDict().keys() == set(docs.columns)
             assert [r[h] for h in helpers] == list(range(10 * r["doc_id"], 10 * r["doc_id"] + len(helpers)))
+
+
+@pytest.mark.parametrize("stage", ["without_toxic", "without_near_copies", "tokens"])
+def test_batches_of_stages_with_python_are_bounded(documents, shipped, tmp_path, stage):
+    """A task's long texts do not reach Python in one batch."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    shipped.conf.unset(setting)
+    docs = documents([(i, "some words " * 50_000, "a") for i in range(24)]).coalesce(1)
+    shipped.createDataFrame([(0, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    getattr(corpus_pipeline, stage)(shipped, docs, str(tmp_path))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 16
+    shipped.conf.set(setting, "64m")
+    getattr(corpus_pipeline, stage)(shipped, docs, str(tmp_path))
+    assert shipped.conf.get(setting) == "64m"
+    shipped.conf.unset(setting)
