@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +27,8 @@ BAND_ROWS = 4
 #: Hashes that a text may give, for the size of the sketch: one for so many characters.
 CHARS_PER_HASH = 20
 SLAB = 1 << 18
-SENTENCE_END = re.compile(r"""[.!?:…。！？]["')\]»”’*_]*$""")
+#: A sentence ends with one of these, whatever closes it.
+SENTENCE_ENDS, CLOSERS = tuple(".!?:…。！？"), """"')]»”’*_"""
 
 
 def paragraphs_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
@@ -52,7 +52,7 @@ def paragraphs_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
             continue
         words += found
         lines.append((at, len(words)))
-        if SENTENCE_END.search(line.rstrip()):
+        if line.rstrip().rstrip(CLOSERS).endswith(SENTENCE_ENDS):
             sentences.append((sentence, len(words)))
             sentence = len(words)
     sentences.append((sentence, len(words)))
@@ -70,32 +70,36 @@ def _parsed(
     ``ANCHOR_SPAN`` neighbouring ones. Anchors depend on the words around them alone, so a
     passage of 52 words or more holds the same whole window wherever it stands.
     """
-    row, first, end, joined, windows = [], [], [], [], []
+    words, held, row, first, end = [], [], [], [], []
     for number, text in enumerate(texts):
-        words, places = paragraphs_of(text)
+        found, places = paragraphs_of(text)
+        words += found
+        held.append(len(found))
         for low, high in places:
             if high - low >= least_words:
                 row.append(number)
                 first.append(low)
                 end.append(high)
-                joined.append(b" ".join(words[low:high]))
-        if keys and len(words) >= WINDOW_WORDS:
-            data = np.frombuffer(b" ".join(words), np.uint8)
-            starts, ends = word_bounds(data)
-            hashed = SliceHash(data)
-            grams = hashed(starts[: len(words) - ANCHOR_WORDS + 1], ends[ANCHOR_WORDS - 1 :])
-            if len(grams) >= ANCHOR_SPAN:
-                view = np.lib.stride_tricks.sliding_window_view(grams, ANCHOR_SPAN)
-                anchors = np.unique(view.argmin(1) + np.arange(len(view)))
-                anchors = anchors[anchors + WINDOW_WORDS <= len(words)]
-                values = hashed(starts[anchors], ends[anchors + WINDOW_WORDS - 1])
-                windows.append((np.full(len(anchors), number), anchors, values.view(np.int64)))
-    lines = pd.DataFrame({"row": np.array(row, np.int64), "first": np.array(first, np.int64), "end": np.array(end, np.int64)})
-    lines["whole"] = np.array([xxhash.xxh64_intdigest(words) for words in joined], np.uint64)
     none = np.empty(0, np.int64)
+    buffer = b" ".join(words)
+    data = np.frombuffer(buffer, np.uint8)
+    starts, ends = word_bounds(data)
+    hashed = SliceHash(data)  # one for all texts: hashes of slices do not depend on where they stand
+    held = np.array(held, np.int64)
+    bases = np.cumsum(held) - held
+    lines = pd.DataFrame({"row": np.array(row, np.int64), "first": np.array(first, np.int64), "end": np.array(end, np.int64)})
     counts = np.array(lines["end"] - lines["first"])
+    begin = bases[lines["row"]] + lines["first"].to_numpy()
+    cuts = zip(starts[begin].tolist(), ends[begin + counts - 1].tolist())
+    lines["whole"] = np.array([xxhash.xxh64_intdigest(buffer[low:high]) for low, high in cuts], np.uint64)
     long = np.flatnonzero(counts >= SHINGLE_WORDS)
-    hashes, at = shingle_runs([joined[i] for i in long], counts[long]) if len(long) else (none, none)
+    sizes = counts[long] - SHINGLE_WORDS + 1
+    at = np.cumsum(sizes) - sizes
+    grams = hashed(starts[: 1 - SHINGLE_WORDS], ends[SHINGLE_WORDS - 1 :])
+    hashes = grams[np.arange(sizes.sum()) + np.repeat(begin[long] - at, sizes)]
+    anchors = _anchors(hashed(starts[: 1 - ANCHOR_WORDS], ends[ANCHOR_WORDS - 1 :]), held) if keys else none
+    values = hashed(starts[anchors], ends[anchors + WINDOW_WORDS - 1]).view(np.int64)
+    owner = np.repeat(np.arange(len(held)), held)[anchors]
     found_keys, found_shingles = [none] * len(lines), [none] * len(lines)
     if keys and len(long):
         for i, found in zip(long, band_keys(hashes, at, BAND_ROWS)):
@@ -105,8 +109,28 @@ def _parsed(
             found_shingles[i] = np.unique(hashes[low:high]).view(np.int64)
     lines["keys"] = pd.Series(found_keys, dtype=object)
     lines["shingles"] = pd.Series(found_shingles, dtype=object)
-    held = [np.concatenate([none, *[w[i] for w in windows]]) for i in range(3)]
-    return lines, pd.DataFrame({"row": held[0], "first": held[1], "value": held[2]})
+    return lines, pd.DataFrame({"row": owner, "first": anchors - bases[owner], "value": values})
+
+
+def _anchors(grams: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Places among all words of texts that hold so many words each, at which windows start.
+
+    The first least hash of each span that lies within one text, for all spans at once: spans of twice the length are
+    put together from two, the last length from two that overlap.
+    """
+    least, place, length = grams, np.arange(len(grams)), 1
+    while length < ANCHOR_SPAN:
+        step = min(length, ANCHOR_SPAN - length)
+        later = least[step:] < least[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        least = np.where(later, least[step:], least[:-step])
+        length += step
+    ends = np.repeat(np.cumsum(held), held)
+    long = np.repeat(held >= WINDOW_WORDS, held)
+    spans = np.arange(len(place))
+    inside = long[: len(place)] & (spans + ANCHOR_SPAN + ANCHOR_WORDS - 1 <= ends[: len(place)])
+    anchors = np.unique(place[inside])
+    return anchors[anchors + WINDOW_WORDS <= ends[anchors]]
 
 
 PARSED = "id long, body long, kind string, first int, end int, value long, keys array<long>"

@@ -1,8 +1,10 @@
 """Passages that stand next to each other, short ones and wrapped ones."""
 
 import numpy as np
+import xxhash
 
-from cohortline.llm import passages
+from cohortline.llm import minhash, passages
+from cohortline.llm.common import SliceHash
 
 
 def prose(rng, count):
@@ -72,3 +74,40 @@ def test_short_and_wrapped_paragraphs_match_brute_force(documents):
         # a run between two edits may hold a window
         assert all(any(i == p[0] and p[1] <= low < high <= p[2] for p in places) for i, low, high in found - places)
         assert {r["id"] for r in got if r["kept"]} == ({1, 3, 5, 7} if least == 1 else {1, 3, 5})
+
+
+def test_texts_of_a_slab_are_hashed_at_once(monkeypatch):
+    """Paragraphs and windows are those of each text by itself, from one buffer of hashes."""
+    rng = np.random.default_rng(23)
+    texts = [" ".join(rng.choice(["a", "b", "c\n", "d.\n", "e.*\n\n", "f"], n)) for n in (0, 3, 31, 32, 33, 60, 400)]
+    made = []
+
+    class Counted(SliceHash):
+        def __init__(self, data):
+            made.append(len(data))
+            super().__init__(data)
+
+    monkeypatch.setattr(passages, "SliceHash", Counted)
+    monkeypatch.setattr(minhash, "SliceHash", Counted)
+    lines, windows = passages._parsed(texts, 1)
+    assert len(made) == 1
+    paragraphs, anchors = [], []
+    for number, text in enumerate(texts):
+        words, places = passages.paragraphs_of(text)
+        for low, high in places:
+            part = b" ".join(words[low:high])
+            hashes, at = minhash.shingle_runs([part], np.array([high - low]))
+            keys = minhash.band_keys(hashes, at, passages.BAND_ROWS)[0].tolist() if len(hashes) else []
+            paragraphs.append((number, low, high, xxhash.xxh64_intdigest(part), keys, np.unique(hashes).view(np.int64).tolist()))
+
+        def gram(at, size):
+            part = b" ".join(words[at : at + size])
+            return int(SliceHash(np.frombuffer(part, np.uint8))(np.array([0]), np.array([len(part)]))[0])
+
+        spans = range(len(words) - 20 if len(words) >= 32 else 0)
+        found = sorted({min(range(i, i + 18), key=lambda at: gram(at, 4)) for i in spans})
+        anchors += [(number, at, gram(at, 32)) for at in found if at + 32 <= len(words)]
+    assert len(anchors) > 20 and len(paragraphs) > 50
+    got = zip(lines["row"], lines["first"], lines["end"], lines["whole"], map(list, lines["keys"]), map(list, lines["shingles"]))
+    assert list(got) == paragraphs
+    assert list(zip(windows["row"], windows["first"], windows["value"].to_numpy().view(np.uint64))) == anchors
