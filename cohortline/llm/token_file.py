@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from cohortline.llm.common import slabs, table
 from cohortline.llm.registry import register
@@ -30,6 +31,8 @@ SEGMENT_IDS = BLOCK * SEGMENT_BLOCKS
 PERCENTILE = 95
 REMEMBERED_WORDS = 300_000
 LONGEST_REMEMBERED = 48
+#: Words that are encoded in one call.
+CALL_WORDS = 1024
 SLAB = 1 << 21
 
 HEADER = np.dtype([("ids", "<u4"), ("blocks", "<u4")])
@@ -98,12 +101,19 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are spread by Spark; threads would spin beside them
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # exact ones are cut out before; lowering may make others
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {token.content: np.array([i], "<u4").tobytes() for i, token in added.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # whether an id ends a piece, where every piece of bytes has an end of its own
+        if suffix and all(byte + suffix in vocabulary for byte in pre_tokenizers.ByteLevel.alphabet()):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -147,25 +157,45 @@ class WordTokenizer:
             packed = found[i] = older.get(words[i])
             if packed is None:
                 missing.append(i)
+        letters, others = [], []
+        for i in missing:
+            (letters if words[i].isalpha() else others).append(i)
+        for places, encoded in ((letters, self._whole), (others, self._cut)):
+            for at in range(0, len(places), CALL_WORDS):
+                some = places[at : at + CALL_WORDS]
+                ids, cuts = encoded([words[i] for i in some])
+                packed = ids.tobytes()
+                for i, low, high in zip(some, [0, *cuts], cuts):
+                    found[i] = packed[4 * low : 4 * high]
+        known.update((words[i], found[i]) for i in gaps if len(words[i]) <= LONGEST_REMEMBERED)
+        return found
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of words of letters, and where each word ends in them.
+
+        The library may split a word into several pieces, never into none: if there are as many ends of pieces as words,
+        each word is one piece, and no offsets are needed. If not, offsets tell.
+        """
+        if self.ends is not None:
+            encoded = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(encoded.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                return ids, cuts.tolist()
+        return self._cut(words)
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of words, and where each word ends in them: an id belongs to the word in which it starts."""
         collects = gc.isenabled()
         gc.disable()  # offsets come as millions of pairs, none of them in a cycle
         try:
-            for at in range(0, len(missing), 1024):
-                places = missing[at : at + 1024]
-                some = [words[i] for i in places]
-                encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-                # an id belongs to the word in which it starts
-                ends = np.cumsum([len(word) + 1 for word in some])
-                starts = np.array([start for start, _ in encoded.offsets], np.int64)
-                cuts = np.searchsorted(starts, ends).tolist()
-                ids = np.array(encoded.ids, "<u4").tobytes()
-                for i, low, high in zip(places, [0, *cuts], cuts):
-                    found[i] = ids[4 * low : 4 * high]
+            encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            starts = np.array([start for start, _ in encoded.offsets], np.int64)
         finally:
             if collects:
                 gc.enable()
-        known.update((words[i], found[i]) for i in gaps if len(words[i]) <= LONGEST_REMEMBERED)
-        return found
+        ends = np.cumsum([len(word) + 1 for word in words])
+        return np.array(encoded.ids, "<u4"), np.searchsorted(starts, ends).tolist()
 
 
 @lru_cache(maxsize=2)
