@@ -33,7 +33,7 @@ REMEMBERED_WORDS = 300_000
 LONGEST_REMEMBERED = 48
 #: Words that are encoded in one call.
 CALL_WORDS = 1024
-SLAB = 1 << 21
+SLAB = 1 << 23
 
 HEADER = np.dtype([("ids", "<u4"), ("blocks", "<u4")])
 BLOCK_HEADER = np.dtype([("least", "<u4"), ("ids", "<u2"), ("width", "u1"), ("exceptions", "<u2")])
